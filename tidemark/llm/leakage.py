@@ -39,9 +39,12 @@ BLOCK = 20_000
 
 # Letters of other scripts that look like Latin ones, after decomposition and lower-casing.
 LOOK_ALIKES = str.maketrans(
-    "абсԁеһіјӏкморԛгѕтцѵԝхузьвнпαβγδεηικνοορςτυωχϲϳıȷøłđħß",
-    "abcdehijlkmopqrstuvwxyzbbhnaβydeniknoopstuwxcjijoldhs",
-)
+    dict(
+        а="a", б="b", с="c", ԁ="d", е="e", һ="h", і="i", ј="j", ӏ="l", к="k", м="m", о="o", р="p", ԛ="q", г="r", ѕ="s", т="t", ѵ="v", ԝ="w", х="x", у="y", з="z", ь="b", в="b", н="h", п="n",
+        α="a", γ="y", δ="d", ε="e", η="n", ι="i", κ="k", ν="v", ο="o", ρ="p", σ="o", τ="t", υ="u", ω="w", χ="x", ϲ="c", ϳ="j",
+        ı="i", ȷ="j", ø="o", ł="l", đ="d", ħ="h", ɡ="g", ɑ="a", ß="ss", æ="ae", œ="oe",
+    )
+)
 _TAGS = re.compile(r"</?(?:a|b|i|u|p|s|q|em|strong|code|pre|div|span|br|hr|li|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|h[1-6]|blockquote|html|head|body|title|section|article|main|header|footer|nav|sup|sub|small|mark|kbd|samp|tt|font|center|img|link|meta|script|style|label)(?:\s[^<>]{0,400})?/?>", re.I)
 _ESCAPES = re.compile(r"\\(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|[nrtfvb](?![a-z]{0,2}\\)|.)", re.S)
 _NUMBERED = re.compile(r"^[ \t]*(?:[-+>#*/|;%]{1,3}[ \t]*)?\d{1,6}[ \t]*[|:│][ \t]?", re.M)
