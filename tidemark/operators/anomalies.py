@@ -213,7 +213,8 @@ def _score_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def forest_by_source(described: DataFrame) -> DataFrame:
     """The score of each description that a source has: metric, cell, score."""
     counts = described.groupBy("metric", "cell").agg(F.count(F.lit(1)).alias("n"))
-    return counts.repartition("metric").sortWithinPartitions("metric", "cell").mapInArrow(_score_slice, "metric string, cell int, score double")
+    tasks = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: the work is in Python, few bytes mean much of it
+    return counts.repartition(tasks, "metric").sortWithinPartitions("metric", "cell").mapInArrow(_score_slice, "metric string, cell int, score double")
 
 
 def frozen_metrics(described: DataFrame) -> DataFrame:
