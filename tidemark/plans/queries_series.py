@@ -39,8 +39,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_totals(spark: SparkSession, sf: str) -> DataFrame:
     totals = trailing_totals(_table(spark, sf, "level_rows"))
-    digits = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.round(F.col(c) / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))), 6)).alias(c)  # noqa: E731  sums differ by the order of addition
-    return totals.select("metric", "t", "c_7", "c_30", F.round("s_7", 2).alias("s_7"), F.round("s_30", 2).alias("s_30"), digits("i_30"), F.round("c_avg_7", 6).alias("c_avg_7"))
+    digits = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.round(F.col(c) / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))) + 3.3e-8, 6)).alias(c)  # noqa: E731  seven digits, off the ties: sums differ by the order of addition
+    return totals.select("metric", "t", "c_7", "c_30", digits("s_7"), digits("s_30"), digits("i_30"), F.round("c_avg_7", 6).alias("c_avg_7"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,5 +104,5 @@ def oracle_sql() -> dict[str, str]:
             days AS (SELECT metric, w, k * w // 86400000000000 AS day, unnest(range(min(k), max(k) + 1)) AS k FROM slots GROUP BY metric, w, k * w // 86400000000000)
             SELECT d.metric, d.k * d.w AS t FROM days d ANTI JOIN slots s ON s.metric = d.metric AND s.k = d.k""",
         "p5_found": _CALENDAR + "SELECT metric, t FROM totals WHERE c_7 = 0 AND c_30 > 0",
-        "p5_totals": _CALENDAR + """SELECT metric, t, c_7, c_30, round(s_7, 2) AS s_7, round(s_30, 2) AS s_30, CASE WHEN i_30 = 0 THEN 0 ELSE round(i_30 / pow(10.0, floor(log10(abs(i_30)))), 6) END AS i_30, round(c_7 / 7.0, 6) AS c_avg_7 FROM totals""",
+        "p5_totals": _CALENDAR + f"""SELECT metric, t, c_7, c_30, {", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE round({c} / pow(10.0, floor(log10(abs({c})))) + 3.3e-8, 6) END AS {c}" for c in ("s_7", "s_30", "i_30"))}, round(c_7 / 7.0, 6) AS c_avg_7 FROM totals""",
     }
