@@ -34,7 +34,7 @@ DELIVERY = ["recorder_id", "arrived"]
 def list_deliveries(rows: DataFrame, content: list[str]) -> DataFrame:
     """One row per delivery of ``rows`` (with recorder_id, arrived): its size in rows and a checksum.
 
-    The checksum is the sum of the row hashes modulo 2^64 (as two 32-bit halves, so that nothing overflows), hence independent of order and sensitive
+    The checksum is a hash of the sums of the upper and lower halves of the row hashes, hence independent of order and sensitive
     to repeated rows. Sizes and sums combine before the shuffle, so one huge delivery costs no more than many.
     """
     h = F.xxhash64(*content)
@@ -45,7 +45,7 @@ def list_deliveries(rows: DataFrame, content: list[str]) -> DataFrame:
             F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("__low"),
             F.sum(F.shiftright(h, 32)).alias("__high"),
         )
-        .select(*DELIVERY, "size", F.concat_ws(":", "__low", "__high").alias("checksum"))
+        .select(*DELIVERY, "size", F.xxhash64("__low", "__high").alias("checksum"))
     )
 
 
