@@ -11,6 +11,7 @@ from tidemark.operators.anomalies import implausible_readings, score_readings
 from tidemark.operators.incremental import new_or_changed
 from tidemark.operators.regrid import regrid
 from tidemark.operators.trailing import trailing_totals
+from tidemark.sources.shared import materialize
 
 VALUES = ["mn", "mx", "s", "c", "i", "a"]
 
@@ -34,7 +35,8 @@ def p2_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_grid(spark, sf).where("missing").select("metric", "t")
+    """The marks of the whole grid: it is written first, else the optimizer would leave the regression out for want of its columns."""
+    return materialize(p2_grid(spark, sf), "grid").where("missing").select("metric", "t")
 
 
 def p5_totals(spark: SparkSession, sf: str) -> DataFrame:
