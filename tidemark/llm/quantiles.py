@@ -241,7 +241,8 @@ def merge_sketches(sketches: DataFrame, keys: list[str], salts: int = 16) -> Dat
             if total is not None:
                 yield out()
 
-        return df.select(*names).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: few bytes of sketches mean much work
+        return df.select(*names).repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
     salted = sketches.withColumn("__salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)).cast("int"))
     return fold(fold(salted, [*keys, "__salt"]).drop("__salt"), keys)
