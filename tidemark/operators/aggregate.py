@@ -10,7 +10,12 @@ from tidemark.functions.ordered import with_previous
 from tidemark.model import VALUES, merged
 from tidemark.operators.scans import time_range
 
-IDENTITY = [F.lit(float("inf")), F.lit(float("-inf")), F.lit(0.0), F.lit(0).cast("bigint"), F.lit(0.0), F.lit(0).cast("bigint")]
+IDENTITY = [float("inf"), float("-inf"), 0.0, 0, 0.0, 0]
+
+
+def _or_identity(ranges: DataFrame, found: DataFrame) -> DataFrame:
+    columns = (F.coalesce(F.col(c), F.lit(x).cast("bigint" if c in "ca" else "double")).alias(c) for c, x in zip(VALUES, IDENTITY, strict=True))
+    return ranges.select("metric").join(found, "metric", "left").select("metric", *columns)
 
 
 def _clamped(points: DataFrame, begin: int, end: int) -> DataFrame:
@@ -40,7 +45,7 @@ def aggregate(points: DataFrame, begin: int, end: int) -> DataFrame:
     # the first point at or after e is the one whose predecessor lies before e (or, with b = e, the first from b on)
     rows = near.where("t >= b and (p is null or p < e or (b = e and p < b))")
     out = _pieces(rows).groupBy("metric").agg(*merged())
-    return ranges.select("metric").join(out, "metric", "left").select("metric", *(F.coalesce(F.col(c), x).alias(c) for c, x in zip(VALUES, IDENTITY, strict=True)))
+    return _or_identity(ranges, out)
 
 
 def plan_pieces(config: RollupConfig, b: int, e: int) -> list[tuple[int, int, int]]:
@@ -96,4 +101,4 @@ def aggregate_hierarchical(points: DataFrame, levels: DataFrame, config: RollupC
     both = with_previous(within.unionByName(nearest.select(*within.columns)), w, keys=("metric", "b", "e")).withColumn("p", F.coalesce("p", "b"))
     parts = rows.unionByName(_pieces(both))
     out = parts.groupBy("metric").agg(*merged())
-    return ranges.select("metric").join(out, "metric", "left").select("metric", *(F.coalesce(F.col(c), x).alias(c) for c, x in zip(VALUES, IDENTITY, strict=True)))
+    return _or_identity(ranges, out)

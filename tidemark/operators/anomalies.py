@@ -39,7 +39,7 @@ STAND_OFF = 12.0
 #: Of the stand-off, the most that the readings before and after a spike may differ by.
 RETURN = 0.3
 #: The score from which a reading can be a spike.
-MIN_SCORE = 0.58
+MIN_SCORE = 0.55
 #: Consecutive changes within the deadband that make a nearly constant stretch.
 STEADY = 4
 #: Changes that the usual change is the median of, at most, and the least that it takes.
