@@ -49,7 +49,7 @@ _SEPARATORS = (",", ";", "\t", "|")
 _WORD = re.compile(r"\w+")
 _ENDS = (".", "!", "?", '"', "'", "…", ":", ";", ")", "”", "。")
 _VOWELS = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûåæøœаеиоуыэюяαεηιουω]", re.I)
-_CODE = re.compile(r"[;{}]$|^(?:def|class|return|import|from|if|for|while|func|fn|let|var|const|static|public|package|use|using|#include|SELECT|INSERT|CREATE|UPDATE)\b|^(?:\}|</?\w)|[\w\])]\s{0,8}[-+*/]?=\s{0,8}\S|\w\([^)]{0,200}\)\s{0,8}[;{:]?$")
+_CODE = re.compile(r"[;{}]$|^(?:def|class|return|import|from|if|for|while|func|fn|let|var|const|static|public|package|use|using|#include|SELECT|INSERT|CREATE|UPDATE)\b|^(?:\}|</?\w)|[\w\])]\s{0,8}[-+*/]?=\s{0,8}\S|\w\([^)]{0,200}\)\s{0,8}[;{:]?$|0x[0-9a-fA-F]{1,16}\w?,|^[-\d.,\s]+,$")
 _YAML = re.compile(r"^\s*(?:-\s+)?[\w.\"'/-]+\s*:(?:\s|$)", re.M)
 
 
