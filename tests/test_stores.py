@@ -64,11 +64,11 @@ def test_binary_files(spark, tmp_path):
     config = RollupConfig(10, 1000, 10)
     (tmp_path / "m").mkdir()
     raw = np.array([(23, 1.5), (45, 2.5)], binary.POINT)
-    path = str(tmp_path / "m/raw.hta")
+    path = str(tmp_path / "m/raw.rec")
     binary.write_file(path, config, raw)
     with open(path, "ab") as f:
         f.write(b"half a")
-    binary.write_file(str(tmp_path / "m/10.hta"), config, np.array([(20, 1, 2, 3, 1, 4, 10)], binary.ROW), 10)
+    binary.write_file(str(tmp_path / "m/10.rec"), config, np.array([(20, 1, 2, 3, 1, 4, 10)], binary.ROW), 10)
     assert [tuple(r) for r in binary.read_records(spark, str(tmp_path)).collect()] == [("m", 0, 23, 1.5), ("m", 1, 45, 2.5)]
     assert [tuple(r) for r in binary.read_records(spark, str(tmp_path), 10, "m").collect()] == [("m", 10, 20, 1.0, 2.0, 3.0, 1, 4.0, 10)]
     assert [(r.entries, r.first, r.last) for r in binary.describe_files(spark, str(tmp_path)).orderBy("interval").collect()] == [(2, 23, 45), (1, 20, 20)]

@@ -72,7 +72,7 @@ class _Reader(DataSourceReader):
         self.path, self.interval, self.metric = options["path"], int(options.get("interval", 0)), options.get("metric")
 
     def partitions(self):
-        name = f"{self.interval}.hta" if self.interval else "raw.hta"
+        name = f"{self.interval}.*" if self.interval else "raw.*"  # whatever the ending
         parts = []
         for path in sorted(glob.glob(os.path.join(glob.escape(self.path), glob.escape(self.metric) if self.metric else "*", name))):
             n = read_header(path)["records"]
@@ -126,7 +126,7 @@ def read_records(spark: SparkSession, path: str, interval: int = 0, metric: str
 def describe_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: metric, file, the header's fields, entries, first and last time."""
     rows = []
-    for file in sorted(glob.glob(os.path.join(glob.escape(path), "*", "*.hta"))):
+    for file in sorted(glob.glob(os.path.join(glob.escape(path), "*", "*.*"))):
         h = read_header(file)
         ends = [None, None]
         if h["records"]:
