@@ -29,11 +29,10 @@ COMMON_WORDS = frozenset(
     mas más muy ni o para pero por porque que se si sin sobre son su sus también un una uno y ya""".split()
 )
 
-# The kinds of lines, tried in this order on the line without outer white space.
+# The kinds of lines, tried in this order on the line without outer white space (ruled ones have few different characters).
 KINDS = ("ruled", "hex", "log", "pipe", "blob", "item", "lock", "aligned", "word")
 _LINE = re.compile(
-    r"""(?P<ruled>(?P<c>[^\w\s])(?:(?P=c)|\s){7,}$|(?P<d>\S)(?P=d){7,}$|(?P<e>\S{1,4})(?:\s?(?P=e)){5,}$)
-    |(?P<hex>(?:0x)?[0-9a-fA-F]{4,16}[:\s]\s*(?:[0-9a-fA-F]{2,8}\s+){3,}|(?:[0-9a-fA-F]{2}[\s:]){7,}[0-9a-fA-F]{2}\b)
+    r"""(?P<hex>(?:0x)?[0-9a-fA-F]{4,16}[:\s]\s*(?:[0-9a-fA-F]{2,8}\s+){3,}|(?:[0-9a-fA-F]{2}[\s:]){7,}[0-9a-fA-F]{2}\b)
     |(?P<log>\[?(?:\d{4}[-/]\d\d[-/]\d\d[T\s]\d\d:\d\d|\d{10}(?:\.\d+)?\s|\d\d:\d\d:\d\d|[A-Z][a-z]{2}\s+\d\d?\s\d\d:\d\d:\d\d)|<\d+>|(?:\d{1,3}\.){3}\d{1,3}\s.*\[)
     |(?P<pipe>\|.*\|$|\+[-=+]{5,}\+$)
     |(?P<blob>[A-Za-z0-9+/_-]{32,}={0,2}$)
@@ -44,6 +43,7 @@ _LINE = re.compile(
     """,
     re.X | re.S,
 )
+_RULED = re.compile(r"([^\w\s])(?:\1|\s){7,}$|(\S)\2{7,}$|(\S{1,4})(?:\s?\3){5,}$")
 _CELL = re.compile(r"[\w.+:%/-]*$")
 _SEPARATORS = (",", ";", "\t", "|")
 _WORD = re.compile(r"\w+")
@@ -77,7 +77,7 @@ def _garbled(s: str) -> bool:
         odd = sum(1 for c in s if c > "\x7f" and not ("\u00c0" <= c <= "\u024f" or "\u0370" <= c <= "\u04ff" or c.isalnum() or c in "–—…“”„‘’«»•°§€£©®→←✓×\u00a0\u2003"))
         if odd > 0.12 * n and odd >= 3:
             return True
-    if 8 * sum(map(s.count, "aeiouAEIOU")) < n:
+    if 8 * sum(map(s.count, "aeiou")) < n and 8 * sum(map(s.count, "aeiouAEIOU")) < n:
         words = [w for w in _WORD.findall(s) if len(w) > 2 and w.isalpha()]
         if len(words) >= 4:
             letters = sum(map(len, words))
@@ -96,11 +96,11 @@ _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
 
 def _kind(line: str) -> str:
     s = line.strip()
+    if len(set(s)) < 7 and _RULED.match(s):
+        return "ruled"
     m = _LINE.match(s)
     if m:
         kind = m.lastgroup
-        if kind in ("c", "d", "e"):
-            kind = "ruled"
         if kind == "blob" and (s.isalpha() and (s.islower() or s.isupper()) or s.count("_") + s.count("-") > len(s) / 10):
             return "text"
         if kind == "aligned" and _CODE.search(s):
@@ -162,7 +162,7 @@ def statistics(text: str) -> tuple:
     for k, x in zip(kinds, lines, strict=True):
         chars[k] += len(x)
     body = max(1, sum(chars.values()))
-    source_lines = sum(len(x) for k, x in zip(kinds, lines) if k in ("text", "word") and _CODE.search(x))
+    source_lines = sum(len(x) for k, x in zip(kinds, lines) if k in ("text", "word") and (x[-1] in ";{}" or _CODE.search(x)))
     source = source_lines / body
     config = bool(number["item"] or number["word"]) and len(_YAML.findall(text)) > 0.3 * len(lines)
     # separated values: one number of cells for most rows
