@@ -1,5 +1,7 @@
 """Leakage, mixing and text statistics."""
 
+import base64
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +128,7 @@ def test_mix_edges(spark):
 # --- text statistics --------------------------------------------------------------------------------------------------
 
 PROSE = "The grey heron waits beside a shallow pond, and nobody sees it.\nThen it strikes with one quick thrust.\n"
+BLOB = "".join(base64.b64encode(np.random.default_rng(k).bytes(48)).decode() + "\n" for k in range(6))
 KEEP = {
     "prose": PROSE,
     "terms": "1. You may copy this file for your own use as long as this notice\nstays in place with it.\n\n2. There is no promise of any kind, and nobody owes you a repair\nof anything at all.\n",
@@ -137,6 +140,7 @@ KEEP = {
     "json": '{\n  "a": {"mode": "R", "n": 3},\n  "b": {"mode": "W", "n": 4}\n}\n',
     "html": "<ul>\n<li>One thing</li>\n<li>Another thing</li>\n</ul>\n" + "<p>Some more text that goes on.</p>\n" * 2,
     "german": "Eine alte Reihe schreibt der Stufe, obwohl die Grenze ohne Fehler bleibt.\nDie kleine Lücke prüft das Ende.\n",
+    "embedded": "def key(x):\n    y = load(x, 3)\n    if y is None:\n        return None\n    k = decode(y)\n    return k\n" + '"""\n' + BLOB + '"""\n',
     "empty": "",
     "blank": " \n\n \t\n",
 }

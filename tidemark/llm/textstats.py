@@ -53,6 +53,10 @@ _CODE = re.compile(r"[;{}]$|^(?:def|class|return|import|from|if|for|while|func|f
 _YAML = re.compile(r"^\s*(?:-\s+)?[\w.\"'/-]+\s*:(?:\s|$)", re.M)
 
 
+#: From this share of source lines on, encoded blobs are embedded literals.
+SOURCE = 0.1
+
+
 def _cells(line: str) -> tuple[str, int] | None:
     """The separator and the number of cells of a line that may be a row of separated values."""
     for sep in _SEPARATORS:
@@ -181,7 +185,8 @@ def statistics(text: str) -> tuple:
     if source < 0.3 and not config:
         repeated = max(repeated, duplicate_lines if duplicate_lines > 0.5 else 0.0, max(top) if max(top) > 0.5 else 0.0)
     garbled = chars["garbled"] / body
-    junk = list_share + table + log + blob + repeated + garbled
+    # a blob between lines of source is a literal of the program
+    junk = list_share + table + log + (blob if source < SOURCE else 0.0) + repeated + garbled
     return (
         len(text), n_words, len(lines), total / n_words if n_words else 0.0, symbols / len(text) if text else 0.0, digits / len(text) if text else 0.0,
         ends / len(lines) if lines else 0.0, common / n_words if n_words else 0.0, duplicate_lines, _duplicates([p.strip() for p in re.split(r"\r?\n\s*\n", text) if p.strip()]),
