@@ -13,6 +13,8 @@ from tidemark.model import VALUES, mean, mean_integral, mean_sum
 from tidemark.operators import aggregate as agg
 from tidemark.operators import quality, retrieve, rollup, scans
 from tidemark.operators.scans import CLOSED, EXTENDED, INFINITY, OPEN
+from tidemark.sources.binary import describe_files, read_records, write_records
+from tidemark.sources.catalog import Catalog
 from tidemark.sources.shared import shared_dir
 from tidemark.sources.synthetic import dummy_points
 
@@ -26,6 +28,8 @@ EARLY = 1_600_000_000 * SECOND
 LATE = 1_900_000_000 * SECOND
 SPLIT = 1_705_000_000 * SECOND
 COOLDOWN = 2 * HOUR
+#: 1995-06-01
+MIDDLE = 801_964_800 * SECOND
 NAMES = {"open": OPEN, "closed": CLOSED, "extended": EXTENDED, "infinity": INFINITY}
 
 
@@ -98,6 +102,29 @@ def _incremental(spark, sf) -> DataFrame:
     return shaped(old.unionByName(rollup.extend_pyramid(old, all_, CONFIG)))
 
 
+def _files(spark: SparkSession, sf: str) -> str:
+    """The events and their hourly level as binary files."""
+    import uuid
+
+    at = shared_dir(spark).removeprefix("file://") + f"/records-{uuid.uuid4().hex}"
+    rows = points(spark, sf)
+    write_records(rows, at, CONFIG)
+    write_records(rollup.lowest_level(rows, HOUR), at, CONFIG, HOUR)
+    return at
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The levels of a stored metric that was inserted in two parts."""
+    import uuid
+
+    config = {"type": "file", "path": f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", "metrics": {"orders": {"prefix": True, **WEEKS.to_dict()}}}
+    metric = Catalog.from_config(spark, config)["orders.total"]
+    rows = order_points(spark, sf)
+    metric.insert(rows.where(F.col("t") < MIDDLE))
+    metric.insert(rows.where(F.col("t") >= MIDDLE))
+    return shaped(metric.levels()).withColumn("i_s", F.round("i_s", 0))  # integrals of whole days are whole numbers
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "rollup_hourly": _rollup(HOUR),
@@ -142,6 +169,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "synthetic_dummy": lambda s, d: dummy_points(s, 100_000),
         "row_text": lambda s, d: rollup.one_level(points(s, d), CONFIG, DAY).select("metric", "t", row_text().alias("text")),
         "stream_rollup": _stream,
+        "binary_points": lambda s, d: read_records(s, _files(s, d)).select("metric", "t", "v"),
+        "binary_level": lambda s, d: shaped(read_records(s, _files(s, d), HOUR)),
+        "binary_headers": lambda s, d: describe_files(s, _files(s, d)).select("metric", "interval", "interval_min", "interval_factor", "interval_max", "entries", "first", "last"),
+        "catalog_levels": _stored,
     }
     for a, x in NAMES.items():
         for b, y in NAMES.items():
@@ -267,6 +298,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT r.metric, r.t, r.v FROM steps s JOIN raw r ON r.metric = s.metric AND r.t = s.t""",
         "synthetic_dummy": "SELECT 'dummy' AS metric, (50 * range + 1) * 1000000 AS t, CAST(42 AS DOUBLE) AS v FROM range(100000)",
     }
+    out["binary_points"] = f"WITH {_RAW} SELECT metric, t, v FROM raw"
+    out["binary_level"] = level(HOUR)
+    settings = f"CAST({HOUR} AS BIGINT) AS interval_min, CAST(24 AS BIGINT) AS interval_factor, CAST({24 * DAY} AS BIGINT) AS interval_max, count(*) AS entries, min(t) AS first, max(t) AS last"
+    out["binary_headers"] = f"WITH {_RAW}, {_level(HOUR)} SELECT metric, CAST(0 AS BIGINT) AS interval, {settings} FROM raw GROUP BY metric UNION ALL SELECT metric, interval, {settings} FROM level GROUP BY metric, interval"
+    weeks = " UNION ALL ".join(f"SELECT 'orders.total' AS metric, interval, t, {_ROUNDED} FROM l{k}" for k in range(len(WEEKS.levels)))
+    weeks = weeks.replace("round(i / 1e9, 2) AS i_s", "round(i / 1e9, 0) AS i_s")
+    out["catalog_levels"] = f"WITH {_ORDERS}, " + ", ".join(_level(w, name=f"l{k}") for k, w in enumerate(WEEKS.levels)) + " " + weeks
     for x in NAMES:
         for y in NAMES:
             out[f"count_scope_{x}_{y}"] = f"WITH {_RAW}, {_NEIGHBOURS} SELECT metric, count(*) AS n FROM near WHERE {_raw_where(B, E, x, y)} GROUP BY metric"

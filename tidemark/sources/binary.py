@@ -10,11 +10,13 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.config import RollupConfig
@@ -62,6 +64,49 @@ def write_file(path: str, config: RollupConfig, records: np.ndarray, interval: i
         f.write(np.ascontiguousarray(records, ROW if interval else POINT).tobytes())
 
 
+def write_records(rows: DataFrame, path: str, config: RollupConfig, interval: int = 0, suffix: str = "rec") -> None:
+    """Writes one file a metric under ``path`` (a folder that all executors share) from points or the rows of one level.
+
+    Each metric streams through one task in order of time; a file appears under its name only when it is complete,
+    so a task that is tried again leaves nothing half-written.
+    """
+    kind = ROW if interval else POINT
+    name = f"{interval}.{suffix}" if interval else f"raw.{suffix}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        metric, part, file = None, "", None
+
+        def finish() -> None:
+            if file is not None:
+                file.close()
+                os.replace(part, os.path.join(os.path.dirname(part), name))
+
+        for batch in batches:
+            labels = batch.column("metric").dictionary_encode()
+            code, names = labels.indices.to_numpy(zero_copy_only=False), labels.dictionary.to_pylist()
+            data = np.empty(batch.num_rows, kind)
+            for c in kind.names:
+                data[c] = batch.column(c).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(code[1:] != code[:-1]) + 1
+            for i, j in zip([0, *edges], [*edges, len(code)], strict=True) if len(code) else []:
+                if names[code[i]] != metric:
+                    finish()
+                    metric = names[code[i]]
+                    os.makedirs(os.path.join(path, metric), exist_ok=True)
+                    part = os.path.join(path, metric, f".{uuid.uuid4().hex}")
+                    write_file(part, config, np.empty(0, kind), interval)
+                    file = open(part, "ab")  # noqa: SIM115  closed by finish
+                file.write(data[i:j].tobytes())
+        finish()
+        yield from ()
+
+    rows = rows.where("metric is not null")
+    if interval:
+        rows = rows.where(F.col("interval") == interval)
+    rows = rows.select("metric", *kind.names).repartition("metric").sortWithinPartitions("metric", "t")
+    rows.mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, metric: str, first: int, count: int):
         self.path, self.metric, self.first, self.count = path, metric, first, count
