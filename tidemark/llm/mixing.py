@@ -1,33 +1,41 @@
 """Mixing sources to target weights, with exact block quotas dealt to shards by a splitting tree.
 
 1. Every document's size is counted in tokens of a public tokenizer and kept as a narrow table, so that texts are
-   read once. A hash puts each document into one of ``BLOCKS`` blocks of its source, and one of ``SUBS``
-   parts of the block; only sums by block come to the driver: at most sources x BLOCKS numbers.
-2. The total is the greatest at which every source that has documents can meet its target share within its
-   allowed repeats (or the total asked for, filled up in proportion where a source runs out). A source's
-   quota is so many whole passes over its blocks, a further prefix of its permuted blocks, and a part of one
-   block for the rest.
+   read once. A hash puts each document into a block of its source, and into one of ``SUBS`` parts of the block.
+   A source has about one block for ``BLOCK_TOKENS`` tokens, at least ``LEAST_BLOCKS`` and at most ``MOST_BLOCKS``.
+2. The total is a share of the tokens of all sources with a target (``fraction``), or the total asked for. Each
+   source's quota is its target share of it; a source that runs out at its allowed repeats gives all that it has,
+   and what it lacks is spread over the others in proportion. ``feasible_total`` is the greatest total without such
+   a lack. A quota is so many whole passes over the source's blocks, a further prefix of its permuted blocks, and
+   a part of one block for the rest.
 3. The draws of all sources are split among the output shards by a tree: each node draws the left half's
    share of each source from a multivariate hypergeometric distribution, so the sums stay exact and every shard
    gets a fair mixture. A leaf takes that many draws off each source's permuted list: disjoint blocks.
-4. Within a shard the rows are ordered by a random key.
+4. The rows are dealt out: each shard lies whole in one partition, in the order of a random key within the shard.
 
-The draw table has at most sources x BLOCKS x max_repeats rows; it is broadcast below ``MAX_BROADCAST`` rows and joined by exchange beyond.
+The driver holds one number a source and the tree's (shards x sources) counts, for at most ``MAX_SOURCES`` sources.
+Blocks, permutations and draws are made in tasks, one source (at most ``MOST_BLOCKS`` rows) at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import materialize
 
-BLOCKS = SUBS = 4096
+SUBS = 4096
+BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 20, 64, 4096
+#: Sources with a target: their sizes are held on the driver. More are refused.
+MAX_SOURCES = 100_000
+#: Draw tables of up to so many rows are broadcast, larger ones joined by exchange.
 MAX_BROADCAST = 1_000_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits a text before the merges of this vocabulary.
@@ -74,19 +82,25 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return documents.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, tokens bigint")
 
 
-def quotas(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, float]:
-    """Tokens to take from each source. ``targets``: source → (share, most repeats).
+def _live(available: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int]]:
+    """source → (share, tokens at the most repeats) of the sources that can give anything."""
+    return {s: (w, m * available.get(s, 0)) for s, (w, m) in targets.items() if w > 0 and m > 0 and available.get(s, 0) > 0}
 
-    Without ``total``, the greatest total at which all sources with documents meet their shares exactly, the
-    shares of the others being spread in proportion. With it, sources that run out give what they can.
+
+def feasible_total(available: dict[str, int], targets: dict[str, tuple[float, int]]) -> float:
+    """The greatest total at which all sources with documents meet their shares exactly, the shares of the others being spread in proportion."""
+    live = _live(available, targets)
+    whole = sum(w for w, _ in live.values())
+    return min((c * whole / w for w, c in live.values()), default=0.0)
+
+
+def quotas(available: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
+    """Tokens to take from each source for a sample of ``total`` tokens. ``targets``: source → (share, most repeats).
+
+    A source that would have to be used more than its repeats allow gives all that it has; the rest is shared by
+    the others in proportion to their targets. No choice of repeats comes nearer to the shares at this total.
     """
-    live = {s: (w, m * available.get(s, 0)) for s, (w, m) in targets.items() if w > 0 and m > 0 and available.get(s, 0) > 0}
-    if not live:
-        return {}
-    if total is None:
-        whole = sum(w for w, _ in live.values())
-        scale = min(c * whole / w for w, c in live.values())
-        return {s: scale * w / whole for s, (w, _) in live.items()}
+    live = _live(available, targets)
     out: dict[str, float] = {}
     left = float(min(total, sum(c for _, c in live.values())))
     while live:
@@ -111,88 +125,110 @@ def split_tree(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
     return np.vstack([split_tree(taken, left, rng), split_tree(draws - taken, shards - left, rng)])
 
 
-def _draws(sums: dict[int, int], quota: float, rng: np.random.Generator) -> tuple[list[tuple[int, int]], tuple[int, int, float] | None]:
-    """The (copy, block) draws for a quota, and the block that is drawn in part: (copy, block, tokens of it)."""
-    total = sum(sums.values())
-    blocks = np.array(sorted(sums))
+def blocks_of(tokens: int) -> int:
+    """How many blocks a source of so many tokens has: a power of two."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (int(tokens) // BLOCK_TOKENS).bit_length()))
+
+
+def draw_plan(source: str, blocks: np.ndarray, sums: np.ndarray, quota: float, seed: int) -> tuple[int, np.ndarray, tuple[int, float] | None]:
+    """(whole passes, blocks of the prefix after them, (block drawn in part, tokens wanted of it) or None)."""
+    total = int(sums.sum())
+    if total <= 0 or quota <= 0:
+        return 0, blocks[:0], None
     passes = int(quota // total)
-    out = [(c, int(b)) for c in range(passes) for b in blocks]
     rest = quota - passes * total
-    for b in rng.permutation(blocks):
-        if sums[int(b)] > rest:
-            return out, (passes, int(b), rest)
-        out.append((passes, int(b)))
-        rest -= sums[int(b)]
-    return out, None
+    order = np.random.default_rng([seed, zlib.crc32(source.encode())]).permutation(np.argsort(blocks, kind="stable"))
+    run = np.cumsum(sums[order])
+    n = int(np.searchsorted(run, rest, side="right"))
+    if n == len(order):
+        return passes, blocks[order], None
+    return passes, blocks[order[:n]], (int(blocks[order[n]]), float(rest - (run[n - 1] if n else 0)))
+
 
+def _nearest_prefix(tokens: np.ndarray, wanted: float) -> int:
+    """How many of the leading parts come nearest to the tokens wanted."""
+    run = np.r_[0, np.cumsum(tokens)]
+    return int(np.abs(run - wanted).argmin())
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: int | None = None, shards: int = 64, seed: int = 1) -> DataFrame:
+
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: int | None = None, shards: int = 64, seed: int = 1, fraction: float = 0.25) -> DataFrame:
     """A sample whose token shares by source meet the targets: doc_id, source, tokens, copy, shard, shuffle_key.
 
-    One row per copy of a document, at most max_repeats copies; sort a shard by shuffle_key to read it in random
-    order. Deterministic for equal inputs and seeds, whatever the partitioning.
+    The sample holds ``total_tokens``, or ``fraction`` of the tokens of all sources with a target. One row per copy
+    of a document, at most max_repeats copies. Each shard is whole in one partition and in random order there. The
+    rows are the same for equal inputs and seeds, whatever the partitioning.
 
     Nulls: documents with a null source or a source without target are left out, as are sources with a null, zero
     or negative share or max_repeats; of repeated targets the first in order counts. Empty texts have no tokens and come
     with their block. Repeated documents count as often as they occur. Empty tables give no rows; further columns are ignored.
     """
     spark = documents.sparkSession
+    rows = targets.select("source", "target_share", "max_repeats").where("source is not null").distinct().limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} targets")
     wanted: dict[str, tuple[float, int]] = {}
-    for r in sorted(targets.select("source", "target_share", "max_repeats").where("source is not null").distinct().toLocalIterator(), key=repr):
+    for r in sorted(rows, key=repr):
         wanted.setdefault(r["source"], (float(r["target_share"] or 0), int(r["max_repeats"] or 0)))
-    pick = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("doc_id")), F.lit(BLOCKS if salt == "block" else SUBS)).cast("int")
-    own = documents.where(F.col("source").isin(*wanted)) if wanted else documents.where("false")
-    sizes = materialize(token_sizes(own, tokenizer), "tokens").withColumn("block", pick("block")).withColumn("sub", pick("sub"))
-
-    sums: dict[str, dict[int, int]] = {}
-    for r in sizes.groupBy("source", "block").agg(F.sum("tokens").alias("n")).toLocalIterator():
-        sums.setdefault(r["source"], {})[r["block"]] = r["n"]
-    quota = quotas({s: sum(b.values()) for s, b in sums.items()}, wanted, total_tokens)
-    rng = np.random.default_rng(seed)
-    names = sorted(quota)
-    lists, parts = {}, {}
-    for s in names:
-        lists[s], part = _draws(sums[s], quota[s], rng)
-        if part:
-            parts[s] = part
-    limits = _part_limits(sizes, parts)
-    for s, (c, b, _) in parts.items():
+    names = F.broadcast(spark.createDataFrame([(s,) for s in sorted(wanted)], "source string"))
+    sizes = materialize(token_sizes(documents.join(names, "source", "left_semi"), tokenizer), "tokens")
+
+    available = {r["source"]: int(r["n"]) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a subset of the targets
+    total = fraction * sum(available.get(s, 0) for s, (w, m) in wanted.items() if w > 0 and m > 0) if total_tokens is None else total_tokens
+    quota = quotas(available, wanted, total)
+    plan = spark.createDataFrame([(s, blocks_of(available[s]), float(q)) for s, q in sorted(quota.items())], "source string, blocks int, quota double")
+    slot = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "doc_id"), n).cast("int")
+    placed = sizes.join(F.broadcast(plan.select("source", "blocks")), "source").withColumn("block", slot("block", F.col("blocks"))).withColumn("sub", slot("sub", F.lit(SUBS)))
+
+    # one source's blocks at a time: at most MOST_BLOCKS rows
+    sums = materialize(placed.groupBy("source", "block").agg(F.sum("tokens").alias("n")), "blocks").join(F.broadcast(plan), "source")
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf["source"].iloc[0]
+        passes, prefix, part = draw_plan(s, pdf["block"].to_numpy(), pdf["n"].to_numpy(), float(pdf["quota"].iloc[0]), seed)
+        block, wanted_ = part or (-1, 0.0)
+        return pd.DataFrame({"source": [s], "draws": [passes * len(pdf) + len(prefix)], "part": [block], "part_tokens": [wanted_]})
+
+    parts = sums.groupBy("source").applyInPandas(partial, "source string, draws bigint, part int, part_tokens double").collect()
+    part_of = {r["source"]: r for r in parts}
+    limits = _part_limits(placed, part_of)
+    count = {s: part_of[s]["draws"] + (1 if limits.get(s, 0) else 0) for s in sorted(part_of)}
+    dealt = split_tree(np.array(list(count.values()), np.int64), shards, np.random.default_rng(seed)) if count else np.zeros((shards, 0), int)
+    column = {s: k for k, s in enumerate(count)}
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf["source"].iloc[0]
+        blocks = np.sort(pdf["block"].to_numpy())
+        passes, prefix, part = draw_plan(s, pdf["block"].to_numpy(), pdf["n"].to_numpy(), float(pdf["quota"].iloc[0]), seed)
+        block = np.r_[np.tile(blocks, passes), prefix]
+        copy = np.r_[np.repeat(np.arange(passes), len(blocks)), np.full(len(prefix), passes)]
+        limit = np.full(len(block), SUBS)
         if limits.get(s, 0):
-            lists[s].append((c, b))
-    dealt = split_tree(np.array([len(lists[s]) for s in names], np.int64), shards, rng) if names else np.zeros((shards, 0), int)
-    rows = []
-    for k, s in enumerate(names):
-        order = rng.permutation(len(lists[s]))
-        for at, shard in zip(order, np.repeat(np.arange(shards), dealt[:, k]), strict=True):
-            c, b = lists[s][at]
-            limit = limits[s] if s in parts and (c, b) == parts[s][:2] else SUBS
-            rows.append((s, b, c, int(shard), limit))
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-    table = spark.createDataFrame(pa.table(dict(zip(["source", "block", "copy", "shard", "limit"], columns, strict=True))))
-    out = sizes.join(F.broadcast(table) if len(rows) <= MAX_BROADCAST else table, ["source", "block"]).where("sub < limit")
+            block, copy, limit = np.r_[block, part[0]], np.r_[copy, passes], np.r_[limit, limits[s]]
+        order = np.random.default_rng([seed, 1, zlib.crc32(s.encode())]).permutation(len(block))
+        out = pd.DataFrame({"source": s, "block": block[order], "copy": copy[order], "shard": np.repeat(np.arange(shards), dealt[:, column[s]]), "limit": limit[order]})
+        return out.astype({c: "int32" for c in ("block", "copy", "shard", "limit")})
+
+    table = sums.groupBy("source").applyInPandas(deal, "source string, block int, copy int, shard int, limit int")
+    out = placed.join(F.broadcast(table) if sum(count.values()) <= MAX_BROADCAST else table, ["source", "block"]).where("sub < limit")
     key = F.xxhash64(F.lit(seed), F.lit("order"), "shard", "copy", "doc_id")
-    return out.select("doc_id", "source", "tokens", "copy", "shard", key.alias("shuffle_key"))
+    out = out.select("doc_id", "source", "tokens", "copy", "shard", key.alias("shuffle_key"))
+    return out.repartition("shard").sortWithinPartitions("shard", "shuffle_key")
 
 
-def _part_limits(sizes: DataFrame, parts: dict[str, tuple[int, int, float]]) -> dict[str, int]:
+def _part_limits(placed: DataFrame, parts: dict) -> dict[str, int]:
     """How far into the parts of the block that is drawn in part each source goes: as near to the rest of its quota as the parts allow."""
-    if not parts:
+    drawn = [(s, r["part"], r["part_tokens"]) for s, r in parts.items() if r["part"] >= 0]
+    if not drawn:
         return {}
-    where = F.lit(False)
-    for s, (_, b, _) in parts.items():
-        where = where | ((F.col("source") == s) & (F.col("block") == b))
-    by: dict[str, dict[int, int]] = {}
-    for r in sizes.where(where).groupBy("source", "sub").agg(F.sum("tokens").alias("n")).toLocalIterator():
-        by.setdefault(r["source"], {})[r["sub"]] = r["n"]
-    out = {}
-    for s, (_, _, rest) in parts.items():
-        best, limit, run = rest, 0, 0
-        for sub in sorted(by.get(s, {})):
-            run += by[s][sub]
-            if abs(run - rest) < best:
-                best, limit = abs(run - rest), sub + 1
-        out[s] = limit
-    return out
+    table = placed.sparkSession.createDataFrame(drawn, "source string, block int, wanted double")
+    by = placed.join(F.broadcast(table), ["source", "block"]).groupBy("source", "wanted", "sub").agg(F.sum("tokens").alias("n"))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sub")
+        n = _nearest_prefix(pdf["n"].to_numpy(), float(pdf["wanted"].iloc[0]))
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "limit": [int(pdf["sub"].iloc[n - 1]) + 1 if n else 0]})
+
+    return {r["source"]: r["limit"] for r in by.groupBy("source").applyInPandas(nearest, "source string, limit int").collect()}
 
 
 def reached_shares(sample: DataFrame, targets: DataFrame) -> DataFrame:
