@@ -1,15 +1,16 @@
 """Evaluation texts in training texts: rare n-gram seeds, then Smith-Waterman alignment.
 
-The held-out set is stated and small; its texts become an index that every task gets whole, after a check of its
-size, in blocks if there are many. The corpus streams past once, each document whole, with no exchange. Both sides go through the same
-normalisation (layout, case, punctuation, markup, comment marks, quoting, escaping, look-alike letters).
+The held-out set is stated and small; its texts are counted first (``MAX_CHARS``) and become an index that is built once and
+broadcast, in blocks of ``BLOCK`` texts. The corpus streams past once (once a block), each document whole, with no exchange. Both sides
+go through the same normalisation (layout, case, punctuation, markup, comment marks, quoting, escaping, look-alike letters).
 
 A seed is an n-gram of an item's words that few items share; where a window of an item has too few rare ones,
 all of its n-grams are seeds. A document and an item text with enough seeds close to each other on close
-diagonals are aligned there (local alignment, gaps and mismatches at unit cost), so copies with changed, added and dropped words are
-found, and an alignment counts if it covers enough of the item's words with few enough edits.
+diagonals are aligned in the band of those diagonals (local alignment, gaps and mismatches at unit cost), so copies with
+changed, added and dropped words are found. An alignment is then cut into passages (see ``qualifying``), and the pair
+counts if one of them covers enough of the item's words with few enough edits.
 
-With 20 words of which one in ten is changed at least 11 of the 3-grams stay intact, so ``MIN_SEEDS`` loses nothing.
+Some 20 words of a passage have two edits at most, each of which breaks up to three 3-grams: 8 of 14 rare ones stay intact (``MIN_SEEDS``).
 """
 
 from __future__ import annotations
@@ -29,13 +30,18 @@ N = 3
 #: An n-gram in at most so many item texts is rare.
 RARE = 3
 #: Rare seeds that each window of WINDOW words should have; else all n-grams of the window are seeds.
-WINDOW, WINDOW_SEEDS = 20, 10
+WINDOW, WINDOW_SEEDS = 20, 14
 #: Seeds within REACH words of one another and DIAGONAL of one another's diagonals that call for an alignment.
-MIN_SEEDS, REACH, DIAGONAL = 5, 40, 8
-#: What makes a case: words of the item covered, and edits per aligned word.
-MIN_WORDS, MAX_EDITS = 20, 0.15
-#: Item texts a block of the index holds: an index is at most some ten MB.
-BLOCK = 20_000
+MIN_SEEDS, REACH, DIAGONAL = 8, 40, 8
+#: What makes a case: words of the item covered; what an edit costs if a match counts 1; the worth of a clean part of a text with more edits; edits in a row that end a passage.
+MIN_WORDS, EDIT_COST, CLEAN, BREAK = 20, 7, 24, 5
+#: Edits that the best MIN_WORDS words of a passage have at most, and the least score that an alignment with a passage has.
+WINDOW_EDITS = MIN_WORDS // (EDIT_COST + 1)
+MIN_SCORE = MIN_WORDS - 2 * WINDOW_EDITS - 1
+#: The largest area that is aligned at once, in words of the item and diagonals.
+MOST_ROWS, MOST_BAND = 4096, 1024
+#: Item texts that a block of the index holds, and characters that all item texts may have.
+BLOCK, MAX_CHARS = 20_000, 1 << 30
 
 # Letters of other scripts that look like Latin ones, after decomposition and lower-casing.
 LOOK_ALIKES = str.maketrans(
@@ -150,7 +156,7 @@ class ItemIndex:
         return self.text[rows], self.at[rows], np.repeat(where, n)
 
     def found(self, words: list[str]) -> dict[int, tuple[int, float]]:
-        """The items that a document holds: item_id → (words covered, edits per word) of the longest alignment."""
+        """The items that a document holds: item_id → (words covered, edits per word) of the longest passage found."""
         ids = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
         text, at, doc = self.hits(ids)
         out: dict[int, tuple[int, float]] = {}
@@ -163,15 +169,19 @@ class ItemIndex:
             if b - a < MIN_SEEDS:
                 continue
             k = int(text[a])
-            for d0, d1, i0, i1 in _clusters(doc[a:b], at[a:b]):
-                span, rate = align(self.words[k][max(0, i0 - REACH) : i1 + N + REACH], ids[max(0, d0 - REACH) : d1 + N + REACH])
-                if span >= MIN_WORDS and rate <= MAX_EDITS and span > out.get(self.items[k], (0, 0.0))[0]:
+            for area in _clusters(doc[a:b], at[a:b]):
+                span, rate = best_passage(self.words[k], ids, *area)
+                if span > out.get(self.items[k], (0, 0.0))[0]:
                     out[self.items[k]] = (span, rate)
         return out
 
 
 def _clusters(doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges (document, item) around seeds that lie together: grouped by close diagonals, then cut at long gaps."""
+    """Areas (first and last word of the item, least and greatest diagonal) around seeds that lie together: grouped by close diagonals, then cut at long gaps.
+
+    Neither side of an area is longer than ``MOST_ROWS`` or ``MOST_BAND``; longer ones are cut with an overlap that
+    holds a passage of ``MIN_WORDS``, so a passage that lies in two areas is found in at least one.
+    """
     diagonal = doc - at
     order = np.lexsort((doc, diagonal))
     doc, at, diagonal = doc[order], at[order], diagonal[order]
@@ -179,42 +189,102 @@ def _clusters(doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int,
     for a, b in zip([0, *cut], [*cut, len(doc)], strict=True):
         if b - a < MIN_SEEDS:
             continue
-        by = np.argsort(doc[a:b], kind="stable")
-        d, i = doc[a:b][by], at[a:b][by]
-        gaps = np.flatnonzero(np.diff(d) > REACH) + 1
-        for x, y in zip([0, *gaps], [*gaps, len(d)], strict=True):
-            if len(np.unique(d[x:y])) >= MIN_SEEDS:
-                yield int(d[x]), int(d[y - 1]), int(i[x:y].min()), int(i[x:y].max())
-
-
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, float]:
-    """Smith-Waterman with match 1, mismatch and gap -1. Returns the item's words that the best local alignment covers and its edits per aligned word."""
-    n, m = len(item), len(doc)
-    if not n or not m:
-        return 0, 1.0
-    h = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = h[i]
-        prev = h[i - 1]
-        row[1:] = np.maximum(prev[:-1] + np.where(doc == item[i - 1], 1, -1), prev[1:] - 1)
-        np.maximum(row, 0, out=row)
-        row[:] = np.maximum.accumulate(row + ramp) - ramp  # gaps in the item: best of row[j - g] - g
-    i, j = divmod(int(h.argmax()), m + 1)
-    end, edits, steps = i, 0, 0
-    while h[i, j] > 0:
-        steps += 1
-        same = item[i - 1] == doc[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (1 if same else -1):
-            edits += not same
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - 1:
-            edits += 1
-            i -= 1
-        else:
-            edits += 1
-            j -= 1
-    return end - i, edits / steps if steps else 1.0
+        for lo in range(int(diagonal[a]), int(diagonal[b - 1]) + 1, MOST_BAND - 4 * DIAGONAL):
+            x, y = a + np.searchsorted(diagonal[a:b], [lo, lo + MOST_BAND])
+            by = np.argsort(at[x:y], kind="stable")
+            d, i, g = doc[x:y][by], at[x:y][by], diagonal[x:y][by]
+            gaps = np.flatnonzero(np.diff(i) > REACH) + 1
+            for u, w in zip([0, *gaps], [*gaps, len(i)], strict=True):
+                if w - u >= MIN_SEEDS and len(np.unique(d[u:w])) >= MIN_SEEDS:
+                    for top in range(int(i[u]), int(i[w - 1]) + 1, MOST_ROWS - 4 * REACH):
+                        bottom = min(top + MOST_ROWS, int(i[w - 1]))
+                        inside = g[u + np.searchsorted(i[u:w], top) : u + np.searchsorted(i[u:w], bottom, side="right")]
+                        if len(inside) >= MIN_SEEDS:
+                            yield top, bottom, int(inside.min()), int(inside.max())
+
+
+def align(item: np.ndarray, doc: np.ndarray, first: int, last: int, low: int, high: int) -> Iterator[np.ndarray]:
+    """Smith-Waterman (match 1, mismatch and gap -1) of item words ``first`` to ``last`` on the diagonals ``low`` to ``high``, best alignment first.
+
+    Yields each alignment as an array of steps (item word, document word, is a match). The matches of an alignment
+    are taken out before the next one is sought, until none can hold a passage.
+    """
+    rows = np.arange(first, last + 1)
+    width = high - low + 1
+    ramp = np.arange(width, dtype=np.int32)
+    columns = rows[:, None] + low + np.arange(width)[None, :]
+    inside = (columns >= 0) & (columns < len(doc))
+    same = inside & (doc[np.clip(columns, 0, len(doc) - 1)] == item[rows][:, None])
+    h = np.zeros((len(rows) + 1, width + 1), np.int32)  # the last column stays 0: beyond the band
+    while True:
+        # some MIN_WORDS words of a passage have no more than their share of edits: without such a stretch there is none
+        held = np.r_[0, np.cumsum(same.any(axis=1))]
+        if len(rows) < MIN_WORDS or (held[MIN_WORDS:] - held[:-MIN_WORDS]).max() < MIN_WORDS - WINDOW_EDITS:
+            return
+        for r in range(1, len(rows) + 1):
+            row = np.maximum(h[r - 1, :width] + np.where(same[r - 1], 1, -1), h[r - 1, 1:] - 1)
+            np.maximum(row, 0, out=row)
+            h[r, :width] = np.maximum.accumulate(row + ramp) - ramp  # gaps in the item: best of row[c - g] - g
+        r, c = divmod(int(h.argmax()), width + 1)
+        if h[r, c] < MIN_SCORE:
+            return
+        steps = []
+        while r > 0 and h[r, c] > 0:
+            here = h[r, c]
+            hit = bool(same[r - 1, c])
+            if here == h[r - 1, c] + (1 if hit else -1):
+                steps.append((first + r - 1, columns[r - 1, c], hit))
+                r -= 1
+            elif here == h[r - 1, c + 1] - 1:
+                steps.append((first + r - 1, columns[r - 1, c], False))
+                r, c = r - 1, c + 1
+            else:
+                steps.append((first + r - 1, columns[r - 1, c], False))
+                c -= 1
+        path = np.array(steps[::-1])
+        yield path
+        hits = path[path[:, 2] == 1]
+        same[hits[:, 0] - first, hits[:, 1] - hits[:, 0] - low] = False
+        h[:] = 0
+
+
+def qualifying(path: np.ndarray) -> tuple[int, float]:
+    """The longest passage in an alignment that is a case: (item words covered, edits per step); (0, 1.0) if there is none.
+
+    An alignment is cut at ``BREAK`` edits in a row: what lies on either side are passages of their own. A match
+    counts 1 and an edit -``EDIT_COST``. A passage is a case if it is worth 0 or more as a whole, that is if about one
+    word in ten is edited. Of a passage with more edits a part is a case if it is worth ``CLEAN``: that is more than chance
+    leaves in a text of which a fifth of the words was replaced.
+    """
+    hit = path[:, 2] == 1
+    ends = np.flatnonzero(hit)
+    best = (0, 1.0)
+    if not len(ends):
+        return best
+    cuts = np.flatnonzero(np.diff(ends) > BREAK)
+    for x, y in zip(ends[np.r_[0, cuts + 1]], ends[np.r_[cuts, len(ends) - 1]] + 1, strict=True):
+        worth = np.r_[0, np.cumsum(np.where(hit[x:y], 1, -EDIT_COST))]
+        u, w = 0, y - x
+        if worth[-1] < 0:
+            gain = worth - np.minimum.accumulate(worth)
+            w = int(gain.argmax())
+            u = int(worth[: w + 1].argmin())
+            if gain[w] < CLEAN:
+                continue
+        span = int(path[x + w - 1, 0] - path[x + u, 0] + 1)
+        if span >= MIN_WORDS and span > best[0]:
+            best = span, float(1 - hit[x + u : x + w].mean())
+    return best
+
+
+def best_passage(item: np.ndarray, doc: np.ndarray, first: int, last: int, low: int, high: int) -> tuple[int, float]:
+    """The longest qualifying passage of the first alignment around an area of seeds that has one."""
+    lo, hi = max(0, first - REACH), min(len(item) - 1, last + N - 1 + REACH)
+    for path in align(item, doc, lo, hi, low - DIAGONAL, high + DIAGONAL):
+        span, rate = qualifying(path)
+        if span:
+            return span, rate
+    return 0, 1.0
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -222,10 +292,15 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Nulls: null and empty texts hold nothing; item texts shorter than ``MIN_WORDS`` words are in no document.
     Repeated documents give repeated rows, repeated items none. Null ids are kept for documents and ignored for
-    items. Empty tables give no rows; further columns are ignored.
+    items. Empty tables give no rows; further columns are ignored. More than ``MAX_CHARS`` characters of items raise.
     """
+    spark = documents.sparkSession
+    items = items.select("item_id", "prompt", "solution").where("item_id is not null").distinct()
+    chars = items.agg(F.sum(F.coalesce(F.length("prompt"), F.lit(0)).cast("bigint") + F.coalesce(F.length("solution"), F.lit(0)))).first()[0] or 0
+    if chars > MAX_CHARS:
+        raise ValueError(f"the held-out texts have {chars} characters, more than {MAX_CHARS}")
     texts: list[tuple[int, list[str]]] = []
-    for row in items.select("item_id", "prompt", "solution").where("item_id is not null").distinct().toLocalIterator():
+    for row in items.collect():
         for text in (row["prompt"], row["solution"]):
             words = normal_words(text or "")
             if len(words) >= MIN_WORDS:
@@ -233,17 +308,14 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts.sort()
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id bigint, n_words int, edit_rate double"
 
-    def search(block: list[tuple[int, list[str]]]):
-        index: list[ItemIndex] = []
-
+    def search(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not index:
-                index.append(ItemIndex(block))
+            index = held.value
             for batch in batches:
                 ids, rows = batch.column("doc_id"), []
                 for at, text in enumerate(batch.column("text").to_pylist()):
                     if text:
-                        rows += [(at, item, span, rate) for item, (span, rate) in index[0].found(normal_words(text)).items()]
+                        rows += [(at, item, span, rate) for item, (span, rate) in index.found(normal_words(text)).items()]
                 if rows:
                     at, item, span, rate = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(item, pa.int64()), pa.array(span, pa.int32()), pa.array(rate, pa.float64())], ["doc_id", "item_id", "n_words", "edit_rate"])
@@ -253,7 +325,8 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text")
     out = None
     for i in range(0, max(1, len(texts)), BLOCK):
-        part = docs.mapInArrow(search(texts[i : i + BLOCK]), schema)
+        # built once, and sent to each executor once
+        part = docs.mapInArrow(search(spark.sparkContext.broadcast(ItemIndex(texts[i : i + BLOCK]))), schema)
         out = part if out is None else out.union(part)
     if len(texts) > BLOCK:  # an item whose two texts fell into different blocks
         out = out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.min_by("edit_rate", "n_words").alias("edit_rate"))
