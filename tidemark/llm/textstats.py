@@ -1,22 +1,30 @@
 """Per-document text statistics, and rules that tell prose and program source from lists, tables, dumps and junk.
 
-Each document is read once, whole, where it lies; there is no exchange. Besides counts of words, symbols, line
-ends and common words there are repetition statistics: the shares of duplicate lines and paragraphs and the part
-of the text that the most frequent word n-grams cover. Every line is also put into one kind (list item, table row, log or hex
-line, encoded blob, repeated, garbled, else running text or source), and the rules combine the characters of
-each kind with the repetition statistics.
+Each document is read once, whole, where it lies; there is no exchange. There are three kinds of statistics:
+
+* of the words: number, mean length, shares of symbols, digits, vowels and common words, share of lines that end in punctuation;
+* of repetition: shares of duplicate lines and paragraphs, the part of the words' characters that the most frequent 2-, 3- and
+  4-gram cover and that all 5-grams cover that occurred before, and the part of all characters in stretches that repeat with a
+  period of up to ``PERIOD`` characters;
+* of the lines: the shares of the characters in list items, table rows, log and hex lines, encoded blobs and lines of source.
+
+``verdict`` combines them. A form of line alone decides nothing where another statistic speaks against it: items
+that wrap or read as sentences are terms of a text, separated values in running words are enumerations, stars in
+source are comments, blobs and repetitions in source are literals. Random text is told by its words alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from types import SimpleNamespace
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Common words of English, German and Spanish.
+#: Common words of English, German and Spanish.
 COMMON_WORDS = frozenset(
     """a about after all an and another any are as at be because been but by can could do each even every for from
     had has have he her his how i if in into is it its may might more most must no not of on one or other our out
@@ -29,96 +37,73 @@ COMMON_WORDS = frozenset(
     mas más muy ni o para pero por porque que se si sin sobre son su sus también un una uno y ya""".split()
 )
 
-# The kinds of lines, tried in this order on the line without outer white space (ruled ones have few different characters).
-KINDS = ("ruled", "hex", "log", "pipe", "blob", "item", "lock", "aligned", "word")
+# The kinds of lines, tried in this order on the line without outer white space.
 _LINE = re.compile(
     r"""(?P<hex>(?:0x)?[0-9a-fA-F]{4,16}[:\s]\s*(?:[0-9a-fA-F]{2,8}\s+){3,}|(?:[0-9a-fA-F]{2}[\s:]){7,}[0-9a-fA-F]{2}\b)
     |(?P<log>\[?(?:\d{4}[-/]\d\d[-/]\d\d[T\s]\d\d:\d\d|\d{10}(?:\.\d+)?\s|\d\d:\d\d:\d\d|[A-Z][a-z]{2}\s+\d\d?\s\d\d:\d\d:\d\d)|<\d+>|(?:\d{1,3}\.){3}\d{1,3}\s.*\[)
     |(?P<pipe>\|.*\|$|\+[-=+]{5,}\+$)
     |(?P<blob>[A-Za-z0-9+/_-]{32,}={0,2}$)
-    |(?P<item>(?:[-*+•·‣◦–]|\(?\d{1,6}[.)]|\(?[a-zA-Z][.)]|\[[\sx]\])\s+(?=\S)(?!.*[;{}=:]$)\S+(?:\s+\S+){0,7}$)
+    |(?P<item>(?:[-*+•·‣◦–]|\(?\d{1,6}[.)]|\(?[a-zA-Z][.)]|\[[\sx]\])\s+\S.*(?<![;{}=:])$)
     |(?P<lock>[\w.@/-]+(?:\s|\s?[=@>]=?\s?)v?\d+\.\d+(?:\.\d+)?\S*(?:\s+[0-9a-zA-Z:/+=-]{8,})*\s*$)
-    |(?P<aligned>\S+(?:[ ]\S+){0,2}(?:(?:[ ]{2,}|\t+[ ]*)\S+(?:[ ]\S+){0,2}){2,}$)
     |(?P<word>[^\W\d_][\w.'-]*[,;]?$)
     """,
     re.X | re.S,
 )
-_RULED = re.compile(r"([^\w\s])(?:\1|\s){7,}$|(\S)\2{7,}$|(\S{1,4})(?:\s?\3){5,}$")
-_CELL = re.compile(r"[\w.+:%/-]*$")
+_GAP = re.compile(r"[ ]{2,}|\t+[ ]*")
 _SEPARATORS = (",", ";", "\t", "|")
+_QUOTED = re.compile(r'"[^"]*"')
+_NESTED = re.compile(r"[{}\[\]<>]|\w\(|\b0x")
 _WORD = re.compile(r"\w+")
 _ENDS = (".", "!", "?", '"', "'", "…", ":", ";", ")", "”", "。")
-_VOWELS = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûåæøœаеиоуыэюяαεηιουω]", re.I)
+_VOWELS = "aeiouyäöüáéíóúàèìòùâêîôûåæøœаеиоуыэюяαεηιουω"
+_LETTERS = re.compile("[a-z\u00df-\u024f\u0370-\u04ff]")
 _CODE = re.compile(r"[;{}]$|^(?:def|class|return|import|from|if|for|while|func|fn|let|var|const|static|public|package|use|using|#include|SELECT|INSERT|CREATE|UPDATE)\b|^(?:\}|</?\w)|[\w\])]\s{0,8}[-+*/]?=\s{0,8}\S|\w\([^)]{0,200}\)\s{0,8}[;{:]?$|0x[0-9a-fA-F]{1,16}\w?,|^[-\d.,\s]+,$")
 _YAML = re.compile(r"^\s*(?:-\s+)?[\w.\"'/-]+\s*:(?:\s|$)", re.M)
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
+_SPACES = re.compile(r"\s+")
 
-
-#: From this share of source lines on, encoded blobs are embedded literals.
-SOURCE = 0.1
+#: The longest period of repeated characters, and the least length of a stretch of them.
+PERIOD, STRETCH = 4, 9
 
 
 def _cells(line: str) -> tuple[str, int] | None:
     """The separator and the number of cells of a line that may be a row of separated values."""
+    if '"' in line:
+        line = _QUOTED.sub("q", line)
     for sep in _SEPARATORS:
         n = line.count(sep)
-        if n >= 2:
-            cells = line.split(sep)
-            if cells[-1] and not any(x.lstrip()[:2] == "0x" for x in cells) and all(_CELL.match(x.strip().strip("\"'")) for x in cells):
-                return sep, n
+        if n and not _NESTED.search(line):
+            return sep, n
     return None
 
 
-_NAMED = re.compile(r"[A-Za-z_]{4,}[ (.\[=:]")
-_SYMBOL = re.compile(r"[^A-Za-z0-9 ]")
-# where the class of the character changes: letter, digit, space, other, or lower to upper case
-_CHANGE = re.compile(r"[A-Za-z](?![A-Za-z])|[0-9](?![0-9])|\s(?!\s)|[^A-Za-z0-9\s](?=[A-Za-z0-9\s])|[a-z](?=[A-Z])")
-
-
-def _garbled(s: str) -> bool:
-    """Random characters: hardly any ordinary letters, digits and spaces, or words without vowels."""
-    n = len(s)
-    if not s.isascii():
-        odd = sum(1 for c in s if c > "\x7f" and not ("\u00c0" <= c <= "\u024f" or "\u0370" <= c <= "\u04ff" or c.isalnum() or c in "–—…“”„‘’«»•°§€£©®→←✓×\u00a0\u2003"))
-        if odd > 0.12 * n and odd >= 3:
-            return True
-    if 8 * sum(map(s.count, "aeiou")) < n and 8 * sum(map(s.count, "aeiouAEIOU")) < n:
-        words = [w for w in _WORD.findall(s) if len(w) > 2 and w.isalpha()]
-        if len(words) >= 4:
-            letters = sum(map(len, words))
-            without = sum(len(w) for w in words if len(_VOWELS.findall(w)) * 6 < len(w))
-            if without > 0.6 * letters and letters > 0.4 * n:
-                return True
-    if n >= 24 and 8 * s.count(" ") < n and s.isascii() and not _NAMED.search(s):
-        symbols = len(_SYMBOL.findall(s))
-        if symbols > 0.25 * n and len(_CHANGE.findall(s)) > 0.5 * n:
-            return True
-    return False
-
-
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
-
-
-def _kind(line: str) -> str:
-    s = line.strip()
-    if len(set(s)) < 7 and _RULED.match(s):
-        return "ruled"
+def _kind(s: str) -> str:
     m = _LINE.match(s)
     if m:
         kind = m.lastgroup
         if kind == "blob" and (s.isalpha() and (s.islower() or s.isupper()) or s.count("_") + s.count("-") > len(s) / 10):
             return "text"
-        if kind == "aligned" and _CODE.search(s):
-            return "text"
         return kind
-    if len(_CONTROL.findall(s)) > 0.05 * len(s):
-        return "garbled"
-    if _cells(s):
-        return "cells"
-    if _garbled(s):
-        return "garbled"
+    if ("  " in s or "\t" in s) and len(_GAP.split(s)) >= 3:
+        return "aligned"
     return "text"
 
 
+def _periodic(text: str) -> float:
+    """The share of the characters other than white space in stretches of at least ``STRETCH`` that repeat with a period of up to ``PERIOD``."""
+    c = np.frombuffer(_SPACES.sub("", text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(c) < STRETCH:
+        return 0.0
+    inside = np.zeros(len(c) + 1, np.int32)
+    for p in range(1, PERIOD + 1):
+        edges = np.flatnonzero(np.diff(np.r_[0, (c[p:] == c[:-p]).view(np.int8), 0]))
+        begin, end = edges[::2], edges[1::2] + p
+        long = end - begin >= max(STRETCH, 3 * p)
+        inside[begin[long]] += 1
+        np.subtract.at(inside, end[long], 1)
+    return float((np.cumsum(inside)[:-1] > 0).mean())
+
+
 def _coverage(words: list[str], total: int) -> tuple[float, float, float]:
     """Shares of the characters of all words that lie in the most frequent 2-, 3- and 4-gram (occurring at least twice)."""
     if not total or len(words) < 4:
@@ -133,6 +118,23 @@ def _coverage(words: list[str], total: int) -> tuple[float, float, float]:
     return out[0], out[1], out[2]
 
 
+def _repeated_5grams(words: list[str], total: int) -> float:
+    """The share of the characters of all words that lie in 5-grams that have occurred before."""
+    if len(words) < 10:
+        return 0.0
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+    key = ids[:-4].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, 5):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - 4 + k]
+    _, first = np.unique(key, return_index=True)
+    again = np.ones(len(key), np.int64)
+    again[first] = 0
+    cover = np.convolve(again, np.ones(5, np.int64)) > 0
+    return float(np.fromiter(map(len, words), np.int64, len(words))[cover].sum() / total)
+
+
 def _duplicates(parts: list[str]) -> float:
     """The share of the characters that lie in repeats of a part that came before."""
     total = sum(map(len, parts))
@@ -142,58 +144,100 @@ def _duplicates(parts: list[str]) -> float:
 
 
 FIELDS = {
-    "n_chars": "bigint", "n_words": "bigint", "n_lines": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double",
-    "punctuated_lines": "double", "common_words": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double",
-    "top_2gram": "double", "top_3gram": "double", "top_4gram": "double", "list_share": "double", "table_share": "double",
-    "log_share": "double", "blob_share": "double", "repeated_share": "double", "garbled_share": "double", "source_share": "double", "not_prose": "boolean",
+    "n_chars": "bigint", "n_words": "bigint", "n_lines": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "vowel_ratio": "double",
+    "control_ratio": "double", "punctuated_lines": "double", "common_words": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double",
+    "top_2gram": "double", "top_3gram": "double", "top_4gram": "double", "repeated_5grams": "double", "periodic_share": "double",
+    "item_share": "double", "item_words": "double", "word_list_share": "double", "lock_share": "double", "row_share": "double", "cells_share": "double", "aligned_share": "double",
+    "log_share": "double", "blob_share": "double", "source_share": "double", "config_share": "double", "not_prose": "boolean",
 }
 
+#: From this share of common words on a text has a voice: it is written in sentences.
+VOICE = 0.15
+#: Shares of source lines from which encoded blobs, and other forms and repetitions, are parts of a program.
+EMBEDDED, PROGRAM = 0.1, 0.3
 
-def statistics(text: str) -> tuple:
-    """The values of ``FIELDS`` for one text."""
-    words = _WORD.findall(text.lower())
-    total = sum(map(len, words))
-    n_words = len(words)
+
+def verdict(s: SimpleNamespace) -> bool:
+    """Whether more than half of a text with these statistics is a list, table, dump or junk."""
+    voice, program, config = s.common_words >= VOICE, s.source_share >= PROGRAM, s.config_share > 0.3
+    listed = 0.0
+    if not config:
+        listed = s.lock_share + s.word_list_share
+        # items of a text in sentences that are sentences themselves are its numbered terms; in source they are comments
+        if not (voice and (s.source_share >= EMBEDDED or s.item_words >= 15 and s.punctuated_lines >= 0.5)):
+            listed += s.item_share
+    table = s.row_share
+    if not voice and not program and not config:
+        table += s.cells_share + s.aligned_share
+    repeated = 0.0
+    if not program and not config:
+        # periods cover their own characters only; a passage that makes up half of a text makes all of it repetition
+        whole = max(s.duplicate_lines, s.duplicate_paragraphs, s.top_2gram, s.top_3gram, s.top_4gram, s.repeated_5grams)
+        repeated = max(s.periodic_share, whole if whole > 0.5 else 0.0)
+    blob = s.blob_share if s.source_share < EMBEDDED else 0.0
+    form = listed + table + s.log_share + blob
+    # no known form, no voice, no source: signs instead of words, words without vowels, or characters that aren't text
+    signs = s.symbol_ratio > 0.3 and s.source_share < PROGRAM and not config
+    mute = s.vowel_ratio < 0.15 and s.n_words >= 4 and s.source_share < PROGRAM and not config
+    random = mute or not voice and (signs or s.control_ratio > 0.02)
+    return bool(form + repeated > 0.5 or random and s.n_chars >= 16)
+
+
+def measures(text: str) -> SimpleNamespace:
+    """The statistics of one text."""
+    lower = text.lower()
+    words = _WORD.findall(lower)
+    total, n_words, n = sum(map(len, words)), len(words), max(1, len(text))
     spaces = sum(map(text.count, (" ", "\n", "\t", "\r")))
-    digits = sum(map(text.count, "0123456789"))
-    symbols = max(0, len(text) - spaces - total)
-    common = sum(map(COMMON_WORDS.__contains__, words))
+    letters = len(_LETTERS.findall(lower))
     lines = [x for x in (y.strip() for y in text.splitlines()) if x]
-    ends = sum(1 for x in lines if x.endswith(_ENDS))
     kinds = [_kind(x) for x in lines]
-    chars = Counter()
-    number = Counter(kinds)
+    chars, number = Counter(), Counter(kinds)
     for k, x in zip(kinds, lines, strict=True):
         chars[k] += len(x)
     body = max(1, sum(chars.values()))
-    source_lines = sum(len(x) for k, x in zip(kinds, lines) if k in ("text", "word") and (x[-1] in ";{}" or _CODE.search(x)))
-    source = source_lines / body
-    config = bool(number["item"] or number["word"]) and len(_YAML.findall(text)) > 0.3 * len(lines)
-    # separated values: one number of cells for most rows
-    if number["cells"]:
-        shapes = Counter(_cells(x) for k, x in zip(kinds, lines, strict=True) if k == "cells")
-        if shapes.most_common(1)[0][1] < 0.6 * number["cells"] or number["cells"] < 3:
-            chars["cells"] = 0
-    word_list = chars["word"] if number["word"] >= 5 and number["word"] > 0.5 * len(lines) else 0
-    list_share = 0.0 if config else (chars["item"] + chars["lock"] + word_list) / body
-    table = (chars["pipe"] + chars["cells"] + chars["aligned"]) / body
-    log = (chars["hex"] + chars["log"]) / body
-    blob = chars["blob"] / body
+    code = [k in ("text", "word", "aligned", "item") and (x[-1] in ";{}" or bool(_CODE.search(x))) for k, x in zip(kinds, lines, strict=True)]
+    source = sum(len(x) for k, x, c in zip(kinds, lines, code, strict=True) if c and k in ("text", "word", "aligned"))
+    # an item that goes on in the next line is the beginning of a paragraph
+    whole = [x for k, x, c, after, stop in zip(kinds, lines, code, [*kinds[1:], ""], [*lines[1:], ""], strict=False) if k == "item" and not (after == "text" and stop[:1].islower())]
+    # separated values: one number of cells for most of the lines that may be rows
+    shapes: Counter = Counter()
+    size: Counter = Counter()
+    for k, x, c in zip(kinds, lines, code, strict=True):
+        if k == "text" and not c and (shape := _cells(x)):
+            shapes[shape] += 1
+            size[shape] += len(x)
+    cells = certain = 0
+    if shapes:
+        shape, rows = shapes.most_common(1)[0]
+        if rows >= 5 and shape[1] > 1 and rows >= 0.9 * len(lines):
+            certain = size[shape]  # running words don't keep this up
+        elif rows >= 3 and rows >= (0.6 if shape[1] > 1 else 0.9) * max(sum(shapes.values()), number["text"] / 2):
+            cells = sum(size.values())
+    aligned = sum(len(x) for k, x, c in zip(kinds, lines, code, strict=True) if k == "aligned" and not c)
     top = _coverage(words, total)
-    duplicate_lines = _duplicates(lines)
-    repeated = chars["ruled"] / body
-    if source < 0.3 and not config:
-        repeated = max(repeated, duplicate_lines if duplicate_lines > 0.5 else 0.0, max(top) if max(top) > 0.5 else 0.0)
-    garbled = chars["garbled"] / body
-    # a blob between lines of source is a literal of the program
-    junk = list_share + table + log + (blob if source < SOURCE else 0.0) + repeated + garbled
-    return (
-        len(text), n_words, len(lines), total / n_words if n_words else 0.0, symbols / len(text) if text else 0.0, digits / len(text) if text else 0.0,
-        ends / len(lines) if lines else 0.0, common / n_words if n_words else 0.0, duplicate_lines, _duplicates([p.strip() for p in re.split(r"\r?\n\s*\n", text) if p.strip()]),
-        *top, list_share, table, log, blob, repeated, garbled, source, bool(junk > 0.5),
+    share = lambda x: x / body
+    return SimpleNamespace(
+        n_chars=len(text), n_words=n_words, n_lines=len(lines), mean_word_length=total / n_words if n_words else 0.0,
+        symbol_ratio=max(0, len(text) - spaces - total) / n, digit_ratio=sum(map(text.count, "0123456789")) / n,
+        vowel_ratio=sum(map(lower.count, _VOWELS)) / letters if 2 * letters > total else 1.0, control_ratio=len(_CONTROL.findall(text)) / n,
+        punctuated_lines=sum(x.endswith(_ENDS) for x in lines) / max(1, len(lines)), common_words=sum(map(COMMON_WORDS.__contains__, words)) / max(1, n_words),
+        duplicate_lines=_duplicates(lines), duplicate_paragraphs=_duplicates([q.strip() for q in re.split(r"\r?\n\s*\n", text) if q.strip()]),
+        top_2gram=top[0], top_3gram=top[1], top_4gram=top[2], repeated_5grams=_repeated_5grams(words, total), periodic_share=_periodic(text),
+        item_share=share(sum(map(len, whole))), item_words=sum(len(x.split()) for x in whole) / max(1, len(whole)),
+        word_list_share=share(chars["word"]) if number["word"] >= 5 and number["word"] > 0.5 * len(lines) else 0.0, lock_share=share(chars["lock"]),
+        row_share=share(chars["pipe"] + certain), cells_share=share(cells), aligned_share=share(aligned),
+        log_share=share(chars["hex"] + chars["log"]), blob_share=share(chars["blob"]), source_share=share(source),
+        config_share=len(_YAML.findall(text)) / max(1, len(lines)) if number["item"] or number["word"] or number["text"] else 0.0,
     )
 
 
+def statistics(text: str) -> tuple:
+    """The values of ``FIELDS`` for one text."""
+    s = measures(text)
+    return (*(getattr(s, f) for f in FIELDS if f != "not_prose"), verdict(s))
+
+
 def text_statistics(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: its key and the columns of ``FIELDS``; ``not_prose`` marks lists, tables, dumps and junk.
 
