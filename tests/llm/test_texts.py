@@ -223,7 +223,7 @@ KEEP = {
     "array": "static const int t[] = {\n" + "    0x1897348f, 0x2be4c87c, 0xeb02d1c8,\n" * 20 + "};\n",
     "minified": 'var e={a:5,b:!1};g&&(s=x["k"]||[]).push(g);function et(t,u){return t*22+u.w}if(x>289)h(m,!0);else x--;' * 4,
     "yaml": "servers:\n  - name: one\n    port: 80\n  - name: two\n    port: 81\n",
-    "yaml lists": "".join(f"{a}:\n  - {b} {a} value\n" for a, b in zip(OTHER, WORDS)),
+    "yaml lists": "".join(f"{a.title()}:\n  - {b} {a} value\n" for a, b in zip(OTHER, WORDS)),
     "json": '{\n  "a": {"mode": "R", "n": 3},\n  "b": {"mode": "W", "n": 4}\n}\n',
     "html": "<ul>\n<li>One thing</li>\n<li>Another thing</li>\n</ul>\n" + "<p>Some more text that goes on.</p>\n" * 2,
     "german": "Eine alte Reihe schreibt der Stufe, obwohl die Grenze ohne Fehler bleibt.\nDie kleine Lücke prüft das Ende.\n",
