@@ -56,11 +56,8 @@ _NESTED = re.compile(r"[{}\[\]<>]|\w\(|\b0x")
 _WORD = re.compile(r"\w+")
 _ENDS = (".", "!", "?", '"', "'", "…", ":", ";", ")", "”", "。")
 _VOWELS = "aeiouyäöüáéíóúàèìòùâêîôûåæøœаеиоуыэюяαεηιουω"
-_LETTERS = re.compile("[a-z\u00df-\u024f\u0370-\u04ff]")
 _CODE = re.compile(r"[;{}]$|^(?:def|class|return|import|from|if|for|while|func|fn|let|var|const|static|public|package|use|using|#include|SELECT|INSERT|CREATE|UPDATE)\b|^(?:\}|</?\w)|[\w\])]\s{0,8}[-+*/]?=\s{0,8}\S|\w\([^)]{0,200}\)\s{0,8}[;{:]?$|0x[0-9a-fA-F]{1,16}\w?,|^[-\d.,\s]+,$")
 _YAML = re.compile(r"^\s*(?:-\s+)?[\w.\"'/-]+\s*:(?:\s|$)", re.M)
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
-_SPACES = re.compile(r"\s+")
 
 #: The longest period of repeated characters, and the least length of a stretch of them.
 PERIOD, STRETCH = 4, 9
@@ -72,8 +69,8 @@ def _cells(line: str) -> tuple[str, int] | None:
         line = _QUOTED.sub("q", line)
     for sep in _SEPARATORS:
         n = line.count(sep)
-        if n and not _NESTED.search(line):
-            return sep, n
+        if n:
+            return None if _NESTED.search(line) else (sep, n)
     return None
 
 
@@ -89,50 +86,65 @@ def _kind(s: str) -> str:
     return "text"
 
 
-def _periodic(text: str) -> float:
-    """The share of the characters other than white space in stretches of at least ``STRETCH`` that repeat with a period of up to ``PERIOD``."""
-    c = np.frombuffer(_SPACES.sub("", text).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _classes() -> np.ndarray:
+    """For each code point up to the last Cyrillic letter, and one more for all beyond: bits for white space, digit, letter with vowels, vowel, control."""
+    out = np.zeros(0x501, np.int8)
+    for bit, chars in enumerate((" \n\t\r", "0123456789", "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0x250), *range(0x370, 0x500)])), _VOWELS, "".join(map(chr, [*range(9), *range(14, 32), 127])))):
+        out[[ord(c) for c in chars]] |= 1 << bit
+    return out
+
+
+_CLASS = _classes()
+_SPACE, _DIGIT, _LETTER, _VOWEL, _CONTROL = (1 << k for k in range(5))
+
+
+def _periodic(c: np.ndarray) -> float:
+    """The share of the characters in stretches of at least ``STRETCH`` that repeat with a period of up to ``PERIOD``."""
     if len(c) < STRETCH:
         return 0.0
-    inside = np.zeros(len(c) + 1, np.int32)
+    inside = None
     for p in range(1, PERIOD + 1):
-        edges = np.flatnonzero(np.diff(np.r_[0, (c[p:] == c[:-p]).view(np.int8), 0]))
+        same = np.zeros(len(c) - p + 2, np.int8)
+        np.equal(c[p:], c[:-p], out=same[1:-1].view(bool))
+        edges = np.flatnonzero(same[1:] != same[:-1])
         begin, end = edges[::2], edges[1::2] + p
         long = end - begin >= max(STRETCH, 3 * p)
-        inside[begin[long]] += 1
-        np.subtract.at(inside, end[long], 1)
-    return float((np.cumsum(inside)[:-1] > 0).mean())
-
-
-def _coverage(words: list[str], total: int) -> tuple[float, float, float]:
-    """Shares of the characters of all words that lie in the most frequent 2-, 3- and 4-gram (occurring at least twice)."""
-    if not total or len(words) < 4:
-        return 0.0, 0.0, 0.0
-    out = [0.0, 0.0, 0.0]
-    for i, grams in enumerate((zip(words, words[1:]), zip(words, words[1:], words[2:]), zip(words, words[1:], words[2:], words[3:]))):
-        count = Counter(grams)
-        best = max(count, key=count.__getitem__)
-        if count[best] < 2:
-            break  # nor does any longer one repeat
-        out[i] = min(1.0, count[best] * sum(map(len, best)) / total)
-    return out[0], out[1], out[2]
-
-
-def _repeated_5grams(words: list[str], total: int) -> float:
-    """The share of the characters of all words that lie in 5-grams that have occurred before."""
-    if len(words) < 10:
-        return 0.0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
-    key = ids[:-4].copy()
+        if long.any():
+            if inside is None:
+                inside = np.zeros(len(c) + 1, np.int32)
+            np.add.at(inside, begin[long], 1)
+            np.subtract.at(inside, end[long], 1)
+    return 0.0 if inside is None else float((np.cumsum(inside)[:-1] > 0).mean())
+
+
+def _grams(words: list[str]) -> tuple[float, float, float, float]:
+    """Shares of the characters of all words that lie in the 2-, 3- and 4-gram covering most of them (occurring at least twice), and in 5-grams that have occurred before."""
+    out = [0.0, 0.0, 0.0, 0.0]
+    if len(words) < 4:
+        return tuple(out)
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    if len(number) == len(words):
+        return tuple(out)
+    ids = np.array(list(map(number.__getitem__, words)), np.uint64)
+    size = np.array(list(map(len, number)), np.int64)[ids.astype(np.int64)]
+    ends = np.r_[0, np.cumsum(size)]
+    key = ids
     with np.errstate(over="ignore"):
-        for k in range(1, 5):
-            key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - 4 + k]
-    _, first = np.unique(key, return_index=True)
-    again = np.ones(len(key), np.int64)
-    again[first] = 0
-    cover = np.convolve(again, np.ones(5, np.int64)) > 0
-    return float(np.fromiter(map(len, words), np.int64, len(words))[cover].sum() / total)
+        for n in range(2, 6):
+            if len(words) < n:
+                break
+            key = (key[:-1] ^ (key[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[n - 1 :]
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
+            many = count > 1
+            if not many.any():
+                break  # nor does any longer one repeat
+            if n < 5:
+                out[n - 2] = min(1.0, float((count[many] * (ends[first[many] + n] - ends[first[many]])).max() / ends[-1]))
+            else:
+                again = np.ones(len(key), np.int64)
+                again[first] = 0
+                out[3] = float(size[np.convolve(again, np.ones(n, np.int64)) > 0].sum() / ends[-1])
+    return tuple(out)
 
 
 def _duplicates(parts: list[str]) -> float:
@@ -188,8 +200,11 @@ def measures(text: str) -> SimpleNamespace:
     lower = text.lower()
     words = _WORD.findall(lower)
     total, n_words, n = sum(map(len, words)), len(words), max(1, len(text))
-    spaces = sum(map(text.count, (" ", "\n", "\t", "\r")))
-    letters = len(_LETTERS.findall(lower))
+    points = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind_of = _CLASS[np.minimum(points, 0x500)]
+    n_of = np.bincount(kind_of, minlength=32)
+    of = lambda bit: int(n_of[[k for k in range(32) if k & bit]].sum())
+    letters = of(_LETTER)
     lines = [x for x in (y.strip() for y in text.splitlines()) if x]
     kinds = [_kind(x) for x in lines]
     chars, number = Counter(), Counter(kinds)
@@ -215,15 +230,15 @@ def measures(text: str) -> SimpleNamespace:
         elif rows >= 3 and rows >= (0.6 if shape[1] > 1 else 0.9) * max(sum(shapes.values()), number["text"] / 2):
             cells = sum(size.values())
     aligned = sum(len(x) for k, x, c in zip(kinds, lines, code, strict=True) if k == "aligned" and not c)
-    top = _coverage(words, total)
+    top = _grams(words)
     share = lambda x: x / body
     return SimpleNamespace(
         n_chars=len(text), n_words=n_words, n_lines=len(lines), mean_word_length=total / n_words if n_words else 0.0,
-        symbol_ratio=max(0, len(text) - spaces - total) / n, digit_ratio=sum(map(text.count, "0123456789")) / n,
-        vowel_ratio=sum(map(lower.count, _VOWELS)) / letters if 2 * letters > total else 1.0, control_ratio=len(_CONTROL.findall(text)) / n,
+        symbol_ratio=max(0, len(text) - of(_SPACE) - total) / n, digit_ratio=of(_DIGIT) / n,
+        vowel_ratio=of(_VOWEL) / letters if 2 * letters > total else 1.0, control_ratio=(of(_CONTROL) + text.count("\ufffd")) / n,
         punctuated_lines=sum(x.endswith(_ENDS) for x in lines) / max(1, len(lines)), common_words=sum(map(COMMON_WORDS.__contains__, words)) / max(1, n_words),
         duplicate_lines=_duplicates(lines), duplicate_paragraphs=_duplicates([q.strip() for q in re.split(r"\r?\n\s*\n", text) if q.strip()]),
-        top_2gram=top[0], top_3gram=top[1], top_4gram=top[2], repeated_5grams=_repeated_5grams(words, total), periodic_share=_periodic(text),
+        top_2gram=top[0], top_3gram=top[1], top_4gram=top[2], repeated_5grams=top[3], periodic_share=_periodic(points[kind_of & _SPACE == 0]),
         item_share=share(sum(map(len, whole))), item_words=sum(len(x.split()) for x in whole) / max(1, len(whole)),
         word_list_share=share(chars["word"]) if number["word"] >= 5 and number["word"] > 0.5 * len(lines) else 0.0, lock_share=share(chars["lock"]),
         row_share=share(chars["pipe"] + certain), cells_share=share(cells), aligned_share=share(aligned),
