@@ -3,11 +3,14 @@
 Readings are indexed by slot, ``k = t div interval``. With an Epanechnikov kernel whose half-width is
 ``radius + 1/2`` slots, the support around the middle of slot k is exactly the slots k-radius .. k+radius. The
 kernel is a polynomial, so each slot's readings enter the regression at any nearby middle through a few moments
-of (distance, value) only. The moments are summed per slot before anything is exchanged, each occupied slot then
-hands its moments to the 2·radius+1 grid points it influences, and no reading is ever compared with another.
+of (distance, value) only. The readings are exchanged once, by ranges of (metric, t), so that all versions of one
+share a task and a slot of a fast metric may be cut across tasks; moments are summed within each task
+before the next exchange. Each occupied slot then hands its moments to the 2·radius+1 grid points it influences,
+and no reading is ever compared with another.
 
-A grid point gets the estimate, the effective support (Σw)²/Σw² of the readings under the kernel, how many readings the slot itself
-has, and marks: ``missing`` (no usable reading in the slot) and ``filled`` (missing, but with support enough for an estimate).
+A grid point gets the estimate, the effective support (Σw)²/Σw² of the readings under the kernel, the part of it
+that lies in the slot itself (``own_support``), and marks: ``missing`` where the own support is below
+``least_own`` readings, and ``filled`` where it is missing but the support is enough for an estimate.
 """
 
 from __future__ import annotations
@@ -21,18 +24,19 @@ from tidemark.operators.series import is_usable
 DAY_NS = 86_400_000_000_000
 
 
-def current_usable(points: DataFrame, key: list[str]) -> DataFrame:
-    """The usable current readings. ``key`` holds columns that are functions of (metric, t): versions share them, so the exchange may use them."""
-    w = Window.partitionBy(*key, "t").orderBy(F.col("arrived_at").desc_nulls_last(), F.col("point_id").desc_nulls_last())
+def current_usable(points: DataFrame) -> DataFrame:
+    """The usable current readings."""
+    w = Window.partitionBy("metric", "t").orderBy(F.col("arrived_at").desc_nulls_last(), F.col("point_id").desc_nulls_last())
     return points.withColumn("__rank", F.row_number().over(w)).where((F.col("__rank") == 1) & is_usable()).drop("__rank")
 
 
-def regrid(points: DataFrame, configs: DataFrame, radius: int = 2, min_support: float = 2.0) -> DataFrame:
+def regrid(points: DataFrame, configs: DataFrame, radius: int = 2, min_support: float = 2.0, least_own: float = 1.0) -> DataFrame:
     """One row per metric, UTC day and slot between the day's first and last occupied slot.
 
-    Returns metric, t (slot start), interval_min, n (usable readings in the slot), value, support, missing, filled. ``value`` is
+    Returns metric, t (slot start), interval_min, n (usable readings in the slot), value, support, own_support, missing, filled. ``value`` is
     the local linear estimate at the slot's middle (the local mean where all the readings under the kernel share
     one time) and null where ``support`` is below ``min_support``, except that a slot with a reading of its own always has a value.
+    One reading alone has a support of 1, so with ``least_own`` of 1 a slot is missing if it has none; a higher one asks for more.
 
     Nulls: rows without metric, t or v, with t <= 0, or of a metric without a configuration are no readings; NaN,
     infinite and absurd values aren't usable. Of repeated or restated rows the last by (arrived_at, point_id) counts.
@@ -40,8 +44,7 @@ def regrid(points: DataFrame, configs: DataFrame, radius: int = 2, min_support:
     """
     base = attach_configs(points.select("metric", "t", "v", "arrived_at", "point_id"), configs, ["interval_min"])
     base = base.where("t > 0 and metric is not null and interval_min > 0").withColumn("slot", F.expr("t div interval_min"))
-    base = base.repartition("metric", "slot")
-    readings = current_usable(base, ["metric", "slot"])
+    readings = current_usable(base.repartitionByRange("metric", "t"))
 
     # distance from the slot's middle in slots, and moments of it
     x = F.expr("(cast(t - slot * interval_min as double) / interval_min) - 0.5")
@@ -84,17 +87,20 @@ def regrid(points: DataFrame, configs: DataFrame, radius: int = 2, min_support:
         part(m[0] - d2 / h2).alias("w0"), part(d1 - d3 / h2).alias("w1"), part(d2 - d4 / h2).alias("w2"),
         part(y[0] - e2 / h2).alias("v0"), part(e1 - e3 / h2).alias("v1"),
         part(m[0] - 2 * d2 / h2 + d4 / (h2 * h2)).alias("ww"),
+        F.sum(F.when(~F.col("grid") & (s == 0), m[0] - d2 / h2)).alias("o0"), F.sum(F.when(~F.col("grid") & (s == 0), m[0] - 2 * d2 / h2 + d4 / (h2 * h2))).alias("oo"),
     ).where("on_grid")
-    support = F.when(F.col("ww") > 1e-12, F.col("w0") * F.col("w0") / F.col("ww")).otherwise(F.lit(0.0))
+    effective = lambda w, ww: F.when(F.col(ww) > 1e-12, F.col(w) * F.col(w) / F.col(ww)).otherwise(F.lit(0.0))
+    missing = F.col("own_support") < least_own - 1e-6
     det = F.expr("w0 * w2 - w1 * w1")
     fit = F.when(det > F.expr("1e-6 * w0 * w0"), F.expr("(w2 * v0 - w1 * v1)") / F.when(det > 0, det)).when(F.col("w0") > 1e-12, F.expr("v0 / nullif(w0, 0)"))
     enough = F.col("support") >= min_support
     return (
-        points_.withColumn("support", support)
+        points_.withColumn("support", effective("w0", "ww"))
+        .withColumn("own_support", effective("o0", "oo"))
         .withColumn("fit", fit)
         .select(
             "metric", F.expr("k * interval_min").alias("t"), "interval_min", "n",
-            F.when(enough, F.col("fit")).when(F.col("n") > 0, F.col("own") / F.col("n")).alias("value"), "support",
-            (F.col("n") == 0).alias("missing"), ((F.col("n") == 0) & enough & F.col("fit").isNotNull()).alias("filled"),
+            F.when(enough, F.col("fit")).when(F.col("n") > 0, F.col("own") / F.col("n")).alias("value"), "support", "own_support",
+            missing.alias("missing"), (missing & enough & F.col("fit").isNotNull()).alias("filled"),
         )
     )
