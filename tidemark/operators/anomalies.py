@@ -1,17 +1,20 @@
-"""Implausible readings: an isolation forest per source on local features, physical limits, and an exact check.
+"""Implausible readings: an isolation forest per source on local and seasonal features, and physical limits.
 
 1. Each task walks its sorted slice of the readings and describes every reading by level (distance from the
-   median of the readings around it), difference (how far it stands off the readings before and after), season
+   median of the readings around it), difference (how far it stands off the readings before and after), course
    (distance from the slow course of the metric at that time) and run length, all in units of the usual change
    from reading to reading at that time, on monotone steps of half a power of two. The descriptions depend on the nearest
    ``HALO`` readings only; for the readings nearest to a slice's ends they are made in a second step from
    both neighbouring slices, so that results don't depend on how the rows were cut.
-2. All readings of a source are counted by description. The forest of the source is grown and evaluated on these
+2. For metrics that span ``PHASED`` days or more, season is added: the distance from what the metric has at that hour of the day, in
+   units of its spread at that hour. (Shorter series have no profile by hour; there the course has to do.)
+3. All readings of a source are counted by description. The forest of the source is grown and evaluated on these
    counts, so every reading has part in it and gets the score of its description, and the largest source costs
-   no more than any other.
-3. Explicit rules: impossible (not usable or beyond the limits of the metric's configuration) and frozen (at
-   least ``FROZEN`` equal readings in a row in a metric of which such stretches are less than a fifth) hold by themselves; a
-   spike has to have a score of at least ``MIN_SCORE`` and to pass the exact check of ``_spikes``.
+   no more than any other. A reading with a score below ``MIN_SCORE`` is no spike, whatever else holds: the forest
+   proposes few of the readings, and not even most of those that stand off by half of what a spike does.
+4. Explicit rules: impossible (not usable or beyond the limits of the metric's configuration) and frozen (at
+   least ``FROZEN`` equal readings in a row in a metric of which such stretches are less than a fifth) hold by themselves.
+   Of the forest's proposals, spikes are those that the exact check confirms: the kind of metric, the stand-off, and the return.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +42,20 @@ FROZEN = 25
 STAND_OFF = 12.0
 #: Of the stand-off, the most that the readings before and after a spike may differ by.
 RETURN = 0.3
-#: The score from which a reading can be a spike.
-MIN_SCORE = 0.55
+#: The score from which the forest proposes a reading as a spike.
+MIN_SCORE = 0.57
+#: Days from which a metric has a profile by hour of the day.
+PHASED = 2
 #: Consecutive changes within the deadband that make a nearly constant stretch.
 STEADY = 4
 #: Changes that the usual change is the median of, at most, and the least that it takes.
 CHANGES, LEAST_CHANGES = 61, 8
 
 IMPOSSIBLE, IS_FROZEN, OFF = 1, 2, 4
-_SCHEMA = "metric string, t bigint, v double, cell int, flags int, kind int, gap boolean"
+#: The features of a description, four bits each: level, difference, course, run length, season.
+FEATURES = (0, 4, 8, 12, 16)
+HOUR_NS, DAY_NS = 3_600_000_000_000, 86_400_000_000_000
+_SCHEMA = "metric string, t bigint, v double, cell int, flags int, kind int, slice int, part int"
 
 
 def _run_ids(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,18 +120,18 @@ def describe(t: np.ndarray, v: np.ndarray, config: dict | None) -> tuple[np.ndar
     good = np.flatnonzero(~bad)
     if len(good):
         w = v[good]
-        level = season = best = np.zeros(len(w))
+        level = course = best = np.zeros(len(w))
         if len(w) > 1:
             change = _usual_change(w, float(config.get("deadband") or 0.0))
             at = np.r_[change[:1], change]  # of the change that leads to the reading
             series = pd.Series(w)
             with np.errstate(divide="ignore", invalid="ignore"):
                 level = np.abs(w - series.rolling(31, center=True, min_periods=1).median().to_numpy()) / at
-                season = np.abs(w - series.rolling(181, center=True, min_periods=1).median().to_numpy()) / at
+                course = np.abs(w - series.rolling(181, center=True, min_periods=1).median().to_numpy()) / at
             best, exact = _spikes(w, change)
             if config.get("kind") in ("gauge", "counter"):
                 flags[good[exact]] |= OFF
-        cell[good] = _steps(level) | _steps(best) << 4 | _steps(season) << 8
+        cell[good] = _steps(level) | _steps(best) << 4 | _steps(course) << 8
     cell |= np.log2(np.minimum(run, 32)).astype(np.int32) << 12
     return cell, flags
 
@@ -138,40 +147,45 @@ def _edges(n: int, open_start: bool, open_end: bool) -> tuple[np.ndarray, np.nda
     return undecided, sent
 
 
-def _rows(metric: str, t, v, cell, flags, kind, gap) -> pa.RecordBatch:
+def _rows(metric: str, t, v, cell, flags, kind, at: int, part) -> pa.RecordBatch:
     n = len(t)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([metric], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(t), pa.array(v), pa.array(cell, pa.int32()), pa.array(flags, pa.int32()), pa.array(np.broadcast_to(np.int32(kind), n) if np.isscalar(kind) else kind, pa.int32()), pa.array(gap if len(np.shape(gap)) else np.full(n, gap))],
-        names=["metric", "t", "v", "cell", "flags", "kind", "gap"],
-    )
+    ints = (pa.array(np.broadcast_to(np.asarray(x, np.int32), n)) for x in (cell, flags, kind, at, part))
+    return pa.RecordBatch.from_arrays([pa.array([metric], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(t), pa.array(v), *ints], names=["metric", "t", "v", "cell", "flags", "kind", "slice", "part"])
 
 
 def _describe_slice(table: ConfigTable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()  # slices are ranges of (metric, t) in the order of their numbers
+        name, part = None, 0
         for s in stretches(batches, HALO):
+            if s.metric != name:
+                name, part = s.metric, 0
             cell, flags = describe(s.t, s.v, table.find(s.metric))
             undecided, sent = _edges(len(s.t), s.open_start, s.open_end)
             done = ~undecided
             done[: s.lo] = done[s.hi :] = False
             if done.any():
-                yield _rows(s.metric, s.t[done], s.v[done], cell[done], flags[done], 0, False)
+                yield _rows(s.metric, s.t[done], s.v[done], cell[done], flags[done], 0, at, 0)
             if sent.any():
-                # a row that doesn't follow on the row sent before it begins a new contiguous piece
-                gap = sent & ~np.r_[s.open_start, sent[:-1]]
-                kind = np.where(undecided, 1, 2).astype(np.int32)
-                yield _rows(s.metric, s.t[sent], s.v[sent], cell[sent], flags[sent], kind[sent], gap[sent])
+                # a row that doesn't follow on the row sent before it begins a new contiguous piece; part 0 goes on from the slice before
+                parts = part + np.cumsum(sent & ~np.r_[s.open_start, sent[:-1]])
+                part = int(parts[-1])
+                kind = np.where(undecided, 1, 2)
+                yield _rows(s.metric, s.t[sent], s.v[sent], cell[sent], flags[sent], kind[sent], at, parts[sent])
 
     return run
 
 
 def describe_readings(points: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every reading of the series with its description and flags: metric, t, v, cell, flags. Writes a table in the shared folder."""
+    """Every reading of the series with its description (without season) and flags: metric, t, v, cell, flags. Writes a table in the shared folder."""
     table = load_configs(configs)
     out = ordered_versions(points).mapInArrow(_describe_slice(table), _SCHEMA)
     out = materialize(out.withColumn("edge", F.col("kind") > 0), "described", ("edge",))
-    # the few rows at the ends of slices: contiguous pieces of at most a few HALO readings each
-    w = Window.partitionBy("metric").orderBy("t")
-    ends = out.where("edge").withColumn("piece", F.sum(F.col("gap").cast("int")).over(w))
+    # the few rows at the ends of slices: contiguous pieces of at most a few HALO readings each, numbered by one row a slice
+    ends = out.where("edge")
+    before = Window.partitionBy("metric").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = ends.groupBy("metric", "slice").agg(F.max("part").alias("parts")).select("metric", "slice", F.coalesce(F.sum("parts").over(before), F.lit(0)).alias("first"))
+    ends = ends.join(cuts, ["metric", "slice"]).withColumn("piece", F.col("first") + F.col("part"))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -182,11 +196,27 @@ def describe_readings(points: DataFrame, configs: DataFrame) -> DataFrame:
     return out.where("not edge").select("metric", "t", "v", "cell", "flags").unionByName(decided)
 
 
+def with_season(described: DataFrame) -> DataFrame:
+    """The descriptions with their season: the distance from the mean at that hour of the day in standard deviations, 0 for metrics of less than ``PHASED`` days.
+
+    The profiles, 24 rows a metric, are written to the shared folder, so that they are broadcast only if they are known to be small.
+    """
+    hour = F.expr(f"t % {DAY_NS} div {HOUR_NS}")
+    good = F.col("flags").bitwiseAND(F.lit(IMPOSSIBLE)) == 0
+    by = described.groupBy("metric", hour.alias("hour")).agg(F.avg(F.when(good, F.col("v"))).alias("usual"), F.stddev_pop(F.when(good, F.col("v"))).alias("spread"), F.min("t").alias("a"), F.max("t").alias("b"))
+    days = (F.max("b").over(Window.partitionBy("metric")) - F.min("a").over(Window.partitionBy("metric"))) / DAY_NS
+    profile = materialize(by.withColumn("days", days).where((F.col("days") >= PHASED) & (F.col("spread") > 0)).select("metric", "hour", "usual", "spread"), "profile")
+    z = F.abs(F.col("v") - F.col("usual")) / F.col("spread")
+    code = F.when(F.isnan(z) | (z > 200), 15).otherwise(F.least(F.floor(2 * F.log2(1 + z)), F.lit(15))).cast("int")
+    out = described.withColumn("hour", hour).join(profile, ["metric", "hour"], "left")
+    return out.select("metric", "t", "v", F.col("cell").bitwiseOR(F.shiftleft(F.coalesce(code, F.lit(0)), 16)).alias("cell"), "flags")
+
+
 def _score_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forests for each metric of a slice of (metric, cell, n) that is sorted by metric; a metric has a bounded number of descriptions."""
 
     def score(metric: str, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        x = np.stack([cell >> s & 15 for s in (0, 4, 8, 12)], axis=1).astype(float)
+        x = np.stack([cell >> s & 15 for s in FEATURES], axis=1).astype(float)
         s = forest_scores(x, n.astype(float), zlib.crc32(metric.encode()))
         return pa.RecordBatch.from_arrays([pa.array([metric] * len(cell)), pa.array(cell, pa.int32()), pa.array(s)], ["metric", "cell", "score"])
 
@@ -225,7 +255,7 @@ def frozen_metrics(described: DataFrame) -> DataFrame:
 
 def score_readings(points: DataFrame, configs: DataFrame) -> DataFrame:
     """Every reading of the series with the score of its source's forest: metric, t, v, score, flags."""
-    described = describe_readings(points, configs)
+    described = with_season(describe_readings(points, configs))
     return described.join(forest_by_source(described), ["metric", "cell"]).select("metric", "t", "v", "score", "flags")
 
 
@@ -236,7 +266,7 @@ def implausible_readings(points: DataFrame, configs: DataFrame) -> DataFrame:
     (arrived_at, point_id) counts. A metric without a configuration has no limits, a deadband of 0 and no spikes.
     Empty input gives no rows; a metric with fewer than ``LEAST_CHANGES`` changes has no spikes; further columns are ignored.
     """
-    described = describe_readings(points, configs)
+    described = with_season(describe_readings(points, configs))
     has = lambda bit: F.col("flags").bitwiseAND(F.lit(bit)) > 0
     flagged = described.where("flags > 0")
     out = (
