@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import anomalies
 from tidemark.operators.forest import forest_scores
-from tidemark.operators.incremental import IncrementalRun, list_deliveries, new_or_changed, pending_inputs
+from tidemark.operators import incremental
+from tidemark.operators.incremental import STEPS, FolderRuns, Stopped, TableRuns
 from tidemark.operators.metric_configs import ConfigTable, attach_configs, load_configs
 from tidemark.operators.regrid import regrid
 from tidemark.operators.trailing import DAY_NS, trailing_totals
@@ -39,39 +40,109 @@ def test_configs(spark, configs):
 # --- 1 --------------------------------------------------------------------------------------------------------------
 
 
-def test_new_or_changed(spark):
-    at = lambda s: T0 + dt.timedelta(seconds=s)
-    rows = [(1, "m", 5, 1.0, 1, at(1)), (2, "m", 5, 1.0, 1, at(2)), (3, "m", 5, 2.0, 1, at(3)), (4, "m", 0, NAN, 2, at(1)), (5, "m", 0, NAN, 2, at(2)), (6, "m", 7, None, 1, at(3)), (7, "m", 7, None, 1, at(3)), (8, "m", 8, 1.0, None, at(1)), (9, "m", 9, 1.0, 1, None), (10, "m", 9, 1.0, 1, at(9))]
-    raw = spark.createDataFrame(rows, POINTS).withColumn("arrived", F.col("arrived_at")).withColumn("size", F.lit("clash"))
-    runs = spark.createDataFrame([(1, "raw", "ok", at(2)), (1, "raw", "failed", at(99)), (1, "raw", "ok", None), (1, "raw", "ok", at(1)), (1, "level", "ok", at(99)), (2, "raw", "killed", at(9))], "recorder_id int, feed string, run_status string, upto timestamp_ntz")
-    found = lambda x: sorted(r.row_id for r in new_or_changed(x, runs, "raw", ["metric", "t"], "point_id", ["v"]).collect())
-    assert found(raw) == [3, 4, 6, 8, 9]
-    assert found(raw.where("false")) == []
+RUNS = "recorder_id int, feed string, run_status string, upto timestamp_ntz"
+at = lambda s: T0 + dt.timedelta(seconds=s)
+
 
+def table_runs(spark, path):
+    job = TableRuns(spark, f"file://{path}")
+    return job, lambda raw, runs, **more: job.run({"raw": (raw, ["metric", "t"], "point_id", ["v"])}, runs, **more)
 
-def test_listing_sees_changes_and_repeats(spark):
+
+def test_new_or_changed(spark, tmp_path):
+    rows = [(1, "m", 5, 1.0, 1, at(1)), (2, "m", 5, 1.0, 1, at(2)), (3, "m", 5, 2.0, 1, at(3)), (4, "m", 0, NAN, 2, at(1)), (5, "m", 0, NAN, 2, at(2)), (6, "m", 7, None, 1, at(3)), (7, "m", 7, None, 1, at(3)), (8, "m", 8, 1.0, None, at(1)), (9, "m", 9, 1.0, 1, None), (10, "m", 9, 1.0, 1, at(9))]
+    raw = spark.createDataFrame(rows, POINTS).withColumn("arrived", F.col("arrived_at")).withColumn("size", F.lit("clash"))
+    runs = spark.createDataFrame([(1, "raw", "ok", at(2)), (1, "raw", "failed", at(99)), (1, "raw", "ok", None), (1, "raw", "ok", at(1)), (1, "level", "ok", at(99)), (2, "raw", "killed", at(9))], RUNS)
+    job, run = table_runs(spark, tmp_path / "a")
+    found = lambda batch: sorted(r.row_id for r in job.results(batch).collect())
+    batch = run(raw, runs)
+    assert found(batch) == [3, 4, 6, 8, 9]
+    empty, run_empty = table_runs(spark, tmp_path / "b")
+    assert run_empty(raw.where("false"), runs) is None
+    # the log goes on: everything is read now, and nothing but rows that no mark can cover is pending
+    later = runs.union(spark.createDataFrame([(r, "raw", "ok", at(99)) for r in (1, 2)], RUNS))
+    assert found(run(raw, later)) == [8, 9]
+    # a late row, in an input that is in the manifest
+    late = raw.unionByName(spark.createDataFrame([(11, "m", 5, 7.0, 1, at(100))], POINTS).withColumn("arrived", F.col("arrived_at")).withColumn("size", F.lit("")))
+    assert found(run(late, later)) == [8, 9, 11]
+
+
+def test_size_and_checksum_decide(spark, tmp_path):
+    """An input that has the same rows as the manifest says is done; with another number or content it is pending."""
     rows = make(spark, [("m", 1, 1.0), ("m", 2, 2.0)]).withColumn("arrived", F.lit(T0))
-    one = list_deliveries(rows, ["metric", "t", "v"])
-    assert pending_inputs(list_deliveries(rows.orderBy(F.desc("t")), ["metric", "t", "v"]), one, ["recorder_id", "arrived"]).count() == 0
+    job, _ = table_runs(spark, tmp_path)
+    runs = spark.createDataFrame([(1, "raw", "ok", at(5))], RUNS)
+    listing = lambda x: TableRuns.listing(TableRuns.keyed(x, runs, "raw"), ["metric", "t", "v"])
+    job.adopt(listing(rows))
+    assert job.manifest.entries().count() == 1 and job.manifest.pending(listing(rows.orderBy(F.desc("t")))).count() == 0
     for other in (rows.union(rows), rows.withColumn("v", F.col("v") + 1), rows.where("t = 1")):
-        assert pending_inputs(list_deliveries(other, ["metric", "t", "v"]), one, ["recorder_id", "arrived"]).count() == 1
+        assert job.manifest.pending(listing(other)).count() == 1
 
 
-def test_runs_over_a_folder_survive_failures(spark, tmp_path):
-    run = IncrementalRun(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/manifest")
+def test_table_runs_survive_failures(spark, tmp_path):
+    raw = make(spark, [("m", k, float(k)) for k in range(1, 9)]).withColumn("arrived", F.col("arrived_at"))
+    runs = spark.createDataFrame([(1, "raw", "ok", at(3))], RUNS)
+    for step in STEPS:
+        job, run = table_runs(spark, tmp_path / step)
+        with pytest.raises(Stopped):
+            run(raw, runs, stop=step)
+        again = run(raw, runs)
+        assert (again is None) == (step == "committed")  # done already
+        names = [r.batch_id for r in job.manifest.entries().select("batch_id").distinct().collect() if r.batch_id != "log"]
+        assert len(names) == 1 and sorted(r.row_id for r in job.results(names[0]).collect()) == [4, 5, 6, 7]
+
+
+def folder_runs(spark, tmp_path, **more):
+    run = FolderRuns(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/manifest", **more)
     write = lambda name, lo, hi: spark.range(lo, hi).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in/{name}")
-    same = lambda df: df.select("id")
-    ids = lambda: sorted(r.id for r in run.results().collect())
+    return run, write, lambda: sorted(r.id for r in run.results().collect())
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_runs_over_a_folder_survive_failures(spark, tmp_path, step):
+    run, write, ids = folder_runs(spark, tmp_path)
+    same = lambda df: df.select("id", "input")
     write("a", 0, 5)
-    with pytest.raises(RuntimeError):
-        run.run(same, fail_before_commit=True)
-    assert run.processed().count() == 0
-    first = run.run(same)
-    assert first and ids() == list(range(5)) and run.run(same) is None
-    write("b", 5, 9)
-    assert run.run(same) not in (None, first) and ids() == list(range(9))
-    write("a", 0, 2)  # changed in place: taken again
-    assert run.run(same) and ids() == sorted([*range(9), 0, 1])
+    with pytest.raises(Stopped):
+        run.run(same, stop=step)
+    assert run.manifest.entries().count() == (1 if step == "committed" else 0)
+    run.run(same)
+    assert ids() == list(range(5)) and run.run(same) == []
+
+
+def test_a_file_that_changes_in_place_is_superseded(spark, tmp_path):
+    import os
+    import shutil
+
+    run, _, ids = folder_runs(spark, tmp_path)
+    same = lambda df: df.select("id", "input")
+
+    def put(name, lo, hi):
+        spark.range(lo, hi).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/new")
+        part = next(x for x in os.listdir(f"{tmp_path}/new") if x.startswith("part-"))
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        shutil.copyfile(f"{tmp_path}/new/{part}", f"{tmp_path}/in/{name}.parquet")
+
+    put("with a space", 0, 5)
+    assert len(run.run(same)) == 1 and ids() == list(range(5))
+    put("with a space", 0, 7)
+    assert len(run.run(same)) == 1 and ids() == list(range(7))
+    put("b", 7, 9)
+    put("with a space", 0, 5)  # back to the first version
+    assert len(run.run(same)) == 1 and ids() == [0, 1, 2, 3, 4, 7, 8] and run.run(same) == []
+    os.utime(f"{tmp_path}/in/b.parquet", (1, 1))
+    assert run.run(same) == []  # read again, and found the same
+    with pytest.raises(ValueError, match="input"):
+        put("c", 9, 11)
+        run.run(lambda df: df.select("id"))
+
+
+def test_many_files_are_taken_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "MAX_INPUTS", 2)
+    run, write, ids = folder_runs(spark, tmp_path)
+    for k in range(5):
+        write(f"f{k}", 3 * k, 3 * k + 3)
+    assert len(run.run(lambda df: df.select("id", "input"))) == 3 and ids() == list(range(15))
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------
@@ -167,6 +238,37 @@ def test_results_do_not_depend_on_the_cuts(spark, configs):
     assert results[0] == want and results[1] == want and results[2] == want
 
 
+def test_the_forest_proposes(spark, configs, monkeypatch):
+    """Without the forest's score there are no spikes; it proposes few readings, all spikes, and by no means all that stand off less."""
+    v = wave(4000, 2)
+    v[50::100] += 40
+    near = np.arange(20, 4000, 100)
+    v[near] += np.where(near // 100 % 2, 4, -4)
+    pts = make(spark, [("a.x", 10 * (k + 1), float(x)) for k, x in enumerate(v)]).cache()
+    rows = {r.t // 10 - 1: r for r in anomalies.score_readings(pts, configs).collect()}
+    proposed = {k for k, r in rows.items() if r.score >= anomalies.MIN_SCORE}
+    spikes = set(range(50, 4000, 100))
+    assert spikes <= proposed and len(proposed) < 0.15 * len(v)
+    assert len(set(near.tolist()) - proposed) >= len(near) / 4
+    found = lambda: {r.t // 10 - 1 for r in anomalies.implausible_readings(pts, configs).where("spike").collect()}
+    assert found() == spikes
+    monkeypatch.setattr(anomalies, "MIN_SCORE", 0.99)
+    assert found() == set()
+
+
+def test_season_is_the_hour_of_the_day(spark, configs):
+    """Metrics of several days: a reading that is usual at noon stands out at night."""
+    step = 600_000_000_000
+    t = np.arange(1, 5 * 144)
+    v = 500 + 300 * np.sin(t * step % anomalies.DAY_NS / anomalies.DAY_NS * 2 * np.pi) + np.random.default_rng(4).normal(size=len(t))
+    v[300] = 1000 - v[300]
+    pts = make(spark, [("a.x", int(k * step), float(x)) for k, x in zip(t, v, strict=True)] + [("a.y", int(k * 1000), float(x)) for k, x in zip(t, v, strict=True)])
+    got = {(r.metric, r.t): r.cell >> 16 for r in anomalies.with_season(anomalies.describe_readings(pts, configs)).collect()}
+    own = [got["a.x", int(k * step)] for k in t]
+    assert own[300] >= 3 and np.mean(np.array(own) >= 3) < 0.1
+    assert not any(got["a.y", int(k * 1000)] for k in t)  # less than a day: no profile
+
+
 def test_forest_finds_the_rare():
     x = np.array([[0, 0], [1, 0], [0, 1], [1, 1], [15, 15]], float)
     s = forest_scores(x, np.array([200, 200, 200, 200, 2.0]), 1)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.anomalies import implausible_readings, score_readings
-from tidemark.operators.incremental import new_or_changed
+from tidemark.operators.incremental import TableRuns
 from tidemark.operators.regrid import regrid
 from tidemark.operators.trailing import trailing_totals
-from tidemark.sources.shared import materialize
+from tidemark.sources.shared import shared_path
 
 VALUES = ["mn", "mx", "s", "c", "i", "a"]
 
@@ -21,12 +21,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    runs = _table(spark, sf, "ingest_runs")
+    """The results of the next run, from its committed batch. What came before is taken over from the log into a new manifest."""
     raw = _table(spark, sf, "raw_points").withColumn("arrived", F.col("arrived_at"))
     level = _table(spark, sf, "level_rows").withColumn("arrived", F.col("written_at"))
-    return new_or_changed(raw, runs, "raw", ["metric", "t"], "point_id", ["v"]).union(
-        new_or_changed(level, runs, "level", ["metric", "interval_ns", "t"], "row_id", VALUES)
-    )
+    job = TableRuns(spark, shared_path(spark, "ingest"))
+    batch = job.run({"raw": (raw, ["metric", "t"], "point_id", ["v"]), "level": (level, ["metric", "interval_ns", "t"], "row_id", VALUES)}, _table(spark, sf, "ingest_runs"))
+    return job.results(batch) if batch else spark.createDataFrame([], "feed string, row_id bigint")
 
 
 def p2_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,8 +35,8 @@ def p2_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The marks of the whole grid: it is written first, else the optimizer would leave the regression out for want of its columns."""
-    return materialize(p2_grid(spark, sf), "grid").where("missing").select("metric", "t")
+    """The slots of the grid that have no support of their own."""
+    return p2_grid(spark, sf).where("missing").select("metric", "t")
 
 
 def p5_totals(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,27 +7,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders that this process has made, for ``clear``.
+_made: dict[str, None] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). A folder of our own only where none is set and all tasks run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made[path] = None
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has made in the shared folder, once their readers are done with them; returns how many there were."""
+    n = 0
+    for path in list(_made):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+        del _made[path]
+    return n
+
+
 def materialize(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     Unlike a cache this survives the loss of any executor, and unlike a checkpoint it is columnar,
     compressed, and lets later scans prune columns and partitions.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, what)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     schema = df.schema
-    return spark.read.schema(schema).parquet(path).select(*df.columns)
+    return df.sparkSession.read.schema(schema).parquet(path).select(*df.columns)
