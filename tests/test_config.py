@@ -1,7 +1,6 @@
 import pytest
 
 from tidemark.config import DAY, SECOND, Mode, RollupConfig, grid_ceil, interval_begin, interval_end
-from tidemark.operators.aggregate import plan_pieces
 
 
 def test_defaults_and_levels():
@@ -38,13 +37,3 @@ def test_level_choice():
 
 def test_modes():
     assert Mode("R").reads and not Mode("R").writes and not Mode("W").reads and Mode("RW").writes
-
-
-def test_pieces_cover_the_range_without_overlap():
-    c = RollupConfig(10, 1000, 10)
-    for b, e in ((3, 2345), (100, 200), (5, 9), (0, 1000), (995, 1005)):
-        pieces = plan_pieces(c, b, e)
-        assert pieces[0][1] == b and pieces[-1][2] == e
-        assert all(x[2] == y[1] for x, y in zip(pieces, pieces[1:], strict=False))
-        assert all(lo % w == hi % w == 0 for w, lo, hi in pieces if w)
-        assert len(pieces) <= 2 * len(c.levels) + 1

@@ -111,14 +111,6 @@ def test_default_counts_and_range(points):
     assert scans.time_range(points).first()[1:] == (at(11), at(225))
 
 
-def test_order_is_checked(spark):
-    good = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0)], RAW)
-    assert rollup.check_order(good).count() == 2
-    for bad in ([("a", 0, 1.0)], [("a", 5, 1.0), ("a", 5, 2.0)]):
-        with pytest.raises(Exception, match="not after"):
-            rollup.check_order(spark.createDataFrame(bad, RAW)).collect()
-
-
 def test_long_gaps_and_empty(spark):
     config = RollupConfig(40 * SECOND, 400_000 * SECOND, 10)
     ts = [1_696_102_100, 1_696_112_100, 1_697_112_100]
@@ -129,8 +121,38 @@ def test_long_gaps_and_empty(spark):
     empty = spark.createDataFrame([], RAW)
     assert rollup.pyramid(empty, config).count() == 0
     assert retrieve.retrieve_flex(empty, rollup.pyramid(empty, config), config, 0, 10, -1)[1].count() == 0
-    with pytest.raises(Exception, match="too many buckets"):
-        rollup.lowest_level(spark.createDataFrame([("x", 10, 1.0), ("x", 10**12, 1.0)], RAW), 4).collect()
+    long = rollup.lowest_level(spark.createDataFrame([("x", 10, 1.0), ("x", 4 * 200_000 + 10, 1.0)], RAW), 4)
+    r = long.selectExpr("count(*) AS n", "min(t) AS a", "max(t) AS b", "sum(a) AS covered").first()
+    assert (r.n, r.a, r.b, r.covered) == (200_000, 8, 800_004, 800_008 - 10)
+
+
+def test_hierarchical_equals_direct(spark):
+    """Many metrics at once: dense and sparse ones, some that begin or end within the range, with points on and off the grid."""
+    import random
+
+    r, rows = random.Random(6), []
+    for k in range(120):
+        t = r.randrange(1, 900)
+        for _ in range(r.randrange(1, 60)):
+            rows.append((f"m{k}", t, float(r.randrange(-99, 99))))
+            t += r.choice([1, 2, 5, 8, 8, 40, 300][: r.randrange(1, 8)])
+    config = RollupConfig(8, 128, 4)
+    pts = spark.createDataFrame(rows, RAW).cache()
+    levels = rollup.pyramid(pts, config).cache()
+    flat = lambda df: {x.metric: tuple(x)[1:] for x in df.collect()}
+    for b, e in ((1, 2000), (100, 600), (104, 608), (333, 371), (97, 1201), (500, 501), (128, 640), (900, 40_000)):
+        want, got = flat(agg.aggregate(pts, b, e)), flat(agg.aggregate_hierarchical(pts, levels, config, b, e))
+        assert got == want, (b, e)
+        # and the direct one against sums over the points
+        for name in ("m0", "m7", "m33"):
+            own = [(t, v) for m, t, v in rows if m == name]
+            first, last = own[0][0], own[-1][0]
+            if e <= first or b > last:
+                assert want[name] == (math.inf, -math.inf, 0.0, 0, 0.0, 0)
+                continue
+            lo, hi = max(b, first), min(e, last)
+            assert want[name][3] == sum(lo <= t < hi for t, _ in own) and want[name][5] == hi - lo
+            assert want[name][4] == sum(v * max(0, min(t, hi) - max(p, lo)) for (p, _), (t, v) in zip(own, own[1:], strict=False))
 
 
 def folded(series, config):

@@ -30,3 +30,13 @@ def with_running_max(rows: DataFrame, order: str, value: str, chunk: int, keys:
     w = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("__own", F.max(value).over(w)).join(tops, [*keys, "__chunk"])
     return out.withColumn("before", F.greatest("__own", "__earlier")).drop("__chunk", "__own", "__earlier")
+
+
+def with_position(rows: DataFrame, order: str, chunk: int, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """Adds ``pos``, how many rows of the key come before this one in ``order``."""
+    rows = rows.withColumn("__chunk", F.expr(f"{order} div {chunk}"))
+    sizes = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    out = rows.withColumn("__own", F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy(order)) - 1).join(sizes, [*keys, "__chunk"])
+    return out.withColumn("pos", F.col("__base") + F.col("__own")).drop("__chunk", "__own", "__base")

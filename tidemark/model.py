@@ -39,7 +39,3 @@ def mean_integral() -> Column:
 def mean() -> Column:
     """The time-weighted mean where time is covered, else the mean of the points."""
     return F.when(F.col("a") != 0, mean_integral()).otherwise(mean_sum())
-
-
-def end_time() -> Column:
-    return F.col("t") + F.col("interval")

@@ -1,11 +1,13 @@
-"""Checking, repairing, thinning and copying of series. Raw rows have a stored position ``pos`` beside metric, t, v."""
+"""Checking, repairing, thinning and copying of series. Rows, raw and of levels, have their stored position ``pos`` in the metric (and level)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +31,9 @@ def _value_issue(c: str) -> Column:
     return F.when(bad, "non_finite").when(v < -ABSURD, "too_small").when(v > ABSURD, "too_large")
 
 
-def fast_part(rows: DataFrame, order: str = "pos") -> DataFrame:
+def fast_part(rows: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
     """The last ``FAST_ROWS`` stored rows of each metric; each task keeps no more before the exchange."""
-    w = Window.partitionBy("metric").orderBy(F.col(order).desc())
+    w = Window.partitionBy(*keys).orderBy(F.col("pos").desc())
     return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= FAST_ROWS).drop("__r")
 
 
@@ -44,53 +46,67 @@ def check_raw(rows: DataFrame, fast: bool = False) -> DataFrame:
     return seen.select("metric", "pos", "t", issues.alias("issue"))
 
 
-def check_level(levels: DataFrame, interval: int, points: DataFrame, fast: bool = False) -> DataFrame:
-    """metric, t, issue of one level: duplicate, gap (the row before isn't the neighbour), off_grid, first_row, last_row, non_finite."""
-    rows = levels.where(F.col("interval") == interval)
-    rows = fast_part(rows, "t") if fast else rows
-    # neighbours by an equality on the grid, not by an order over the metric: a row has a predecessor or is the first
-    prev = rows.select("metric", (F.col("t") + interval).alias("t")).distinct().withColumn("__prev", F.lit(True))
-    ends = points.groupBy("metric").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    span = rows.groupBy("metric").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    twice = rows.groupBy("metric", "t").agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in ("mn", "mx", "s", "i")))
-    all_ = twice.join(prev, ["metric", "t"], "left").join(span, "metric").join(ends, "metric")
-    finite = F.lit(True)
+def stored_ends(points: DataFrame) -> DataFrame:
+    """metric, first, last: the times of the first and the last stored point, whatever their order."""
+    return points.groupBy("metric").agg(F.min_by("t", "pos").alias("first"), F.max_by("t", "pos").alias("last"))
+
+
+def check_levels(levels: DataFrame, ends: DataFrame, fast: bool = False) -> DataFrame:
+    """metric, interval, pos, t, issue of all levels at once; ``ends`` is (metric, first, last) of the stored points.
+
+    bogus_time: the row at position k doesn't start k widths after the bucket of the first point. non_monotonic and duplicate: against
+    the greatest time stored before. non_finite: any of the values. last_row: the last stored row isn't the last closed bucket.
+    """
+    keys = ("metric", "interval")
+    rows = fast_part(levels, keys) if fast else levels
+    size = levels.groupBy(*keys).agg(F.max("pos").alias("__last"))
+    seen = with_running_max(rows, "pos", "t", CHUNK, keys).join(ends, "metric").join(size, [*keys])
+    bad = F.lit(False)
     for c in ("mn", "mx", "s", "i"):
-        finite = finite & ~(F.isnan(c) | (F.abs(F.col(c)) == float("inf")))
-    starts = F.lit(False) if fast else (F.col("t") == F.col("first")) & (F.col("t") != F.expr(f"lo - lo % {interval}"))
+        bad = bad | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
     found = [
-        F.when(F.col("n") > 1, "duplicate"),
-        F.when(F.col("__prev").isNull() & (F.col("t") > F.col("first")), "gap"),
-        F.when(F.expr(f"t % {interval} != 0"), "off_grid"),
-        F.when(starts, "first_row"),
-        F.when((F.col("t") == F.col("last")) & (F.col("t") + interval != F.expr(f"hi - hi % {interval}")), "last_row"),
-        F.when(~finite, "non_finite"),
+        F.when((F.col("pos") == F.col("__last")) & F.expr("t + interval <> last - last % interval"), "last_row"),
+        F.when(F.expr("t <> first - first % interval + pos * interval"), "bogus_time"),
+        F.when(F.col("t") < F.col("before"), "non_monotonic").when(F.col("t") == F.col("before"), "duplicate"),
+        F.when(bad, "non_finite"),
     ]
-    return all_.select("metric", "t", F.explode(F.array_compact(F.array(*found))).alias("issue"))
+    return seen.select("metric", "interval", "pos", "t", F.explode(F.array_compact(F.array(*found))).alias("issue"))
 
 
-def check_metrics(points: DataFrame, levels: DataFrame, config: RollupConfig, now: int, fast: bool = False) -> DataFrame:
-    """metric, interval (0 for raw), pos, t, issue: all checks of all metrics; the walk up the levels ends where the points lie in one bucket."""
+def check_metrics(points: DataFrame, levels: DataFrame, config: RollupConfig, now: int, fast: bool = False, headers: DataFrame | None = None) -> DataFrame:
+    """metric, interval (0 for raw), pos, t, issue: all checks of all metrics.
+
+    A metric without points has the issue empty_raw and no further ones. The walk up the levels ends with the first one
+    in whose width the first and the last point share a bucket: it has to be without rows (not_empty), and wider ones aren't looked at.
+    Below it each level is checked row by row, and may not be without rows (empty). ``headers`` (metric, interval, header_interval) are the widths that
+    the files of levels are named by and say themselves (header_interval).
+    """
     none = F.lit(None).cast("bigint")
-    raw = check_raw(points, fast).select("metric", F.lit(0).cast("bigint").alias("interval"), "pos", "t", "issue")
-    ends = points.groupBy("metric").agg(F.min_by("t", "pos").alias("first"), F.max_by("t", "pos").alias("last"))
+    zero = F.lit(0).cast("bigint")
+    ends = stored_ends(points)
+    stop = F.coalesce(*(F.when(F.expr(f"first - first % {w} = last - last % {w}"), F.lit(w)) for w in config.levels), F.lit(1 << 62))
+    ends = ends.withColumn("stop", stop.cast("bigint"))
     whole = [
         F.when(F.col("first") > F.col("last"), "first_after_last"),
         F.when((F.col("first") < GENESIS) | (F.col("first") > now), "first_out_of_time"),
         F.when((F.col("last") < GENESIS) | (F.col("last") > now), "last_out_of_time"),
     ]
-    out = raw.unionByName(ends.select("metric", F.lit(0).cast("bigint").alias("interval"), none.alias("pos"), "first", F.explode(F.array_compact(F.array(*whole))).alias("issue")).withColumnRenamed("first", "t"))
-    span = points.groupBy("metric").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    for w in config.levels:
-        one = span.where(F.expr(f"lo - lo % {w} = hi - hi % {w}")).select("metric")
-        filled = levels.where(F.col("interval") == w)
-        out = out.unionByName(check_level(filled.join(one, "metric", "left_anti"), w, points, fast).select("metric", F.lit(w).cast("bigint").alias("interval"), none.alias("pos"), "t", "issue"))
-        extra = filled.join(one, "metric", "left_semi").groupBy("metric").agg(F.min("t").alias("t"))
-        out = out.unionByName(extra.select("metric", F.lit(w).cast("bigint").alias("interval"), none.alias("pos"), "t", F.lit("not_empty").alias("issue")))
-        # a level that rows are due in, without any
-        due = span.join(one, "metric", "left_anti").join(filled.select("metric").distinct(), "metric", "left_anti")
-        out = out.unionByName(due.select("metric", F.lit(w).cast("bigint").alias("interval"), none.alias("pos"), none.alias("t"), F.lit("empty").alias("issue")))
-    return out
+    own = levels.where(F.col("interval").isin(*config.levels))
+    walked = own.join(ends.select("metric", "stop"), "metric").where("interval < stop").drop("stop")
+    per_level = own.groupBy("metric", "interval").agg(F.min("t").alias("t"))
+    due = ends.select("metric", "stop", F.explode(F.array(*(F.lit(w).cast("bigint") for w in config.levels))).alias("interval"))
+    parts = [
+        check_raw(points, fast).select("metric", zero.alias("interval"), "pos", "t", "issue"),
+        ends.select("metric", zero.alias("interval"), none.alias("pos"), F.col("first").alias("t"), F.explode(F.array_compact(F.array(*whole))).alias("issue")),
+        check_levels(walked, ends.select("metric", "first", "last"), fast),
+        per_level.join(ends.select("metric", F.col("stop").alias("interval")), ["metric", "interval"]).select("metric", "interval", none.alias("pos"), "t", F.lit("not_empty").alias("issue")),
+        due.where("interval < stop").join(per_level, ["metric", "interval"], "left_anti").select("metric", "interval", none.alias("pos"), none.alias("t"), F.lit("empty").alias("issue")),
+        levels.select("metric").distinct().join(ends, "metric", "left_anti").select("metric", zero.alias("interval"), none.alias("pos"), none.alias("t"), F.lit("empty_raw").alias("issue")),
+    ]
+    if headers is not None:
+        wrong = headers.where("interval <> header_interval").join(ends, "metric").where("interval <= stop")
+        parts.append(wrong.select("metric", "interval", none.alias("pos"), none.alias("t"), F.lit("header_interval").alias("issue")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def corrupt_metrics(points: DataFrame, levels: DataFrame, config: RollupConfig, now: int) -> DataFrame:
@@ -141,31 +157,63 @@ def clone(rows: DataFrame, config: RollupConfig) -> tuple[DataFrame, DataFrame]:
     return kept, pyramid(kept, config)
 
 
+#: Cooldowns that share a task when points are thinned out: a task holds their points.
+THROTTLE_SPAN = 16
+
+
 def throttle(points: DataFrame, cooldown: int) -> DataFrame:
-    """Keeps a point if it is more than ``cooldown`` after the last one kept.
+    """Keeps a point if it is more than ``cooldown`` after the last one kept (0 before the first). Of points with one time the one of the least value counts.
 
-    Whether a point is kept depends on all before it, so each metric is walked in order, batch by batch with one
-    number of state; the sort is by exchange and spills, and nothing is collected.
+    Whether a point is kept depends on the ones kept before it, but only through the last of them. So each metric is
+    cut into chunks of time. Where a chunk's points are kept follows from the first one kept in it, and from where that is hardly for long: walks
+    that begin at different points soon meet. A first pass walks each chunk from every point within a cooldown of its begin,
+    merging walks that meet, and gives for every entry the last point kept (``exits``). A second pass, over one row a chunk, follows these from
+    chunk to chunk; the third walks each chunk once from its true entry. Chunks, not metrics, are what a task gets whole.
     """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = points.where("metric is not null and t > 0").select("metric", "t", "v")
+    if cooldown <= 0:  # every later point is kept
+        return rows.groupBy("metric", "t").agg(F.min("v").alias("v"))
+    span = cooldown * THROTTLE_SPAN
+    rows = rows.withColumn("chunk", F.expr(f"t div {span}")).repartition("metric", "chunk")
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.unique(pdf["t"].to_numpy())
+        follow = np.searchsorted(t, t + cooldown, side="right")  # the next one kept after each
+        last = np.empty(len(t), np.int64)
+        for k in range(len(t) - 1, -1, -1):
+            last[k] = k if follow[k] == len(t) else last[follow[k]]
+        # entries: the first point at or after each time that the last one kept before the chunk can ask for
+        entry = t <= pdf["chunk"].iloc[0] * span + cooldown
+        if not entry.all():
+            entry[np.argmin(entry)] = True  # and the first one beyond
+        entries, out = t[entry], t[last[entry]]
+        end = np.r_[out[1:] != out[:-1], True]  # of entries with one exit the last
+        return pd.DataFrame({"metric": pdf["metric"].iloc[0], "chunk": pdf["chunk"].iloc[0], "entries": [entries[end].tolist()], "exits": [out[end].tolist()]})
+
+    paths = rows.groupBy("metric", "chunk").applyInPandas(exits, "metric string, chunk bigint, entries array<bigint>, exits array<bigint>")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, last = None, 0
         for batch in batches:
-            names = batch.column("metric").dictionary_encode()
-            code, labels = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
-            t = batch.column("t").to_numpy()
-            keep = np.zeros(len(t), bool)
-            edges = np.flatnonzero(code[1:] != code[:-1]) + 1
-            for i, j in zip([0, *edges], [*edges, len(t)], strict=True) if len(t) else []:
-                if labels[code[i]] != name:
-                    name, last = labels[code[i]], 0
-                while True:  # one search for each point kept
-                    i += int(np.searchsorted(t[i:j], last + cooldown, side="right"))
-                    if i >= j:
-                        break
-                    keep[i], last = True, int(t[i])
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    rows = points.where("metric is not null and t > 0").select("metric", "t", "v")
-    return rows.repartition("metric").sortWithinPartitions("metric", "t").mapInArrow(walk, rows.schema)
+            after = []
+            for row in batch.to_pylist():
+                if row["metric"] != name:
+                    name, last = row["metric"], 0
+                after.append(last)
+                k = int(np.searchsorted(row["entries"], last + cooldown, side="right"))
+                if k < len(row["entries"]):
+                    last = row["exits"][k]
+            yield pa.RecordBatch.from_arrays([batch.column("metric"), batch.column("chunk"), pa.array(after, pa.int64())], ["metric", "chunk", "after"])
+
+    paths = paths.repartition("metric").sortWithinPartitions("metric", "chunk").mapInArrow(chain, "metric string, chunk bigint, after bigint")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "v"])
+        t, after = pdf["t"].to_numpy(), int(pdf["after"].iloc[0])
+        keep, i = np.zeros(len(t), bool), int(np.searchsorted(t, after + cooldown, side="right"))
+        while i < len(t):
+            keep[i] = True
+            i = int(np.searchsorted(t, t[i] + cooldown, side="right"))
+        return pdf.loc[keep, ["metric", "t", "v"]]
+
+    return rows.join(paths, ["metric", "chunk"]).groupBy("metric", "chunk").applyInPandas(walk, "metric string, t bigint, v double")

@@ -6,7 +6,7 @@ from one count a level, and the answer is a single DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import RollupConfig
@@ -71,7 +71,7 @@ def smooth_points(points: DataFrame, begin: int, end: int, width: int) -> DataFr
     last point don't appear.
     """
     if begin >= end:
-        return points.where("false").select("metric", *[F.lit(None).cast("double").alias(c) for c in ()]).select("metric", F.lit(0).cast("bigint").alias("interval"), F.lit(0).cast("bigint").alias("t"), *[F.lit(0).cast("bigint" if c in "ca" else "double").alias(c) for c in VALUES])
+        return points.where("false").select("metric", F.lit(0).cast("bigint").alias("interval"), F.lit(0).cast("bigint").alias("t"), *[F.lit(0).cast("bigint" if c in "ca" else "double").alias(c) for c in VALUES])
     seq = with_previous(points.select("metric", "t", "v"), width * 4096)
     # of the points at or after the end only the first one counts
     seq = seq.where((F.col("t") >= begin) & (F.coalesce("p", F.lit(begin)) < end)).withColumn("p", F.coalesce("p", F.lit(begin)))
@@ -104,7 +104,8 @@ def retrieve_flex(points: DataFrame, levels: DataFrame, config: RollupConfig, be
     """The answer in the form that suits ``limit``: (kind, rows), kind being single, points or rows.
 
     limit < 0: one row for the whole range. Below the lowest level: raw points, or windows of ``limit`` for
-    metrics whose points lie closer than that (as rows, with interval 0 for the single points of the others). Else rows of a level, merged up to ``limit`` if ``smooth``.
+    metrics whose points lie closer than that (as rows, with interval 0 for the single points of the others). Else rows of a level, merged up to ``limit``,
+    or the settings' widest interval if that is less, if ``smooth``.
     """
     check_range(begin, end, scope)
     if limit < 0:
@@ -120,13 +121,4 @@ def retrieve_flex(points: DataFrame, levels: DataFrame, config: RollupConfig, be
         sparse = points_as_rows(found.where("not dense"), config.interval_min * 4096)
         return "points", smooth_points(found.where("dense"), begin, end, limit).unionByName(sparse)
     rows = chosen_level(levels, config, begin, end, limit, scope)
-    return "rows", smooth_rows(rows, limit if smooth else 1)
-
-
-def top_rows(rows: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` rows of each metric; limited within each task before the exchange."""
-    w = Window.partitionBy("metric").orderBy(F.col("t").desc())
-    return rows.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
-
-
-__all__ = ["OPEN", "chosen_level", "points_as_rows", "retrieve_flex", "retrieve_points", "retrieve_rows", "retrieve_samples", "smooth_points", "smooth_rows", "top_rows"]
+    return "rows", smooth_rows(rows, min(limit, config.interval_max) if smooth else 1)

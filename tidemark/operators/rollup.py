@@ -13,9 +13,7 @@ from tidemark.config import RollupConfig
 from tidemark.functions.ordered import with_previous
 from tidemark.model import LEVEL_COLUMNS, VALUES, merged
 
-#: Buckets that one gap between two points may fill.
-MAX_GAP = 10_000_000
-#: Buckets of the lowest level that share a task.
+#: Buckets of the lowest level that share a task, and that one step of the cutting of a long gap yields at most.
 CHUNK = 4096
 
 
@@ -31,9 +29,10 @@ def lowest_level(points: DataFrame, interval: int, starts: DataFrame | None = No
         seg = seg.join(starts.select("metric", "start"), "metric", "left").withColumn("p", F.coalesce("p", "start", "t"))
     else:
         seg = seg.withColumn("p", F.coalesce("p", "t"))
-    too_long = F.expr(f"(t - p) div {interval}") > MAX_GAP
-    seg = seg.withColumn("p", F.when(too_long, F.raise_error(F.format_string("the gap before %d in %s spans too many buckets", "t", "metric"))).otherwise(F.col("p")).cast("bigint"))
-    cut = seg.withColumn("b", F.explode(F.expr(f"sequence(p - p % {interval}, t - t % {interval}, {interval}L)")))
+    # a gap of any length is cut in two steps, so that no row holds more than its chunks or a chunk's buckets
+    wide = interval * CHUNK
+    cut = seg.withColumn("__chunk", F.explode(F.expr(f"sequence(p - p % {wide}, t - t % {wide}, {wide}L)")))
+    cut = cut.withColumn("b", F.explode(F.expr(f"sequence(greatest(p - p % {interval}, __chunk), least(t - t % {interval}, __chunk + {wide - interval}), {interval}L)")))
     own = F.col("b") == F.expr(f"t - t % {interval}")
     d = F.least("t", F.col("b") + interval) - F.greatest("p", "b")
     return (
@@ -100,11 +99,3 @@ def extend_pyramid(levels: DataFrame, points: DataFrame, config: RollupConfig) -
         child = next_level(rows, width, last)
         out = out.unionByName(child)
     return out.select(*LEVEL_COLUMNS)
-
-
-def check_order(points: DataFrame) -> DataFrame:
-    """The points, where a time that isn't positive or occurs twice in a metric raises an error as the rows are read."""
-    prev = with_previous(points, 1 << 50)
-    bad = (F.col("t") <= 0) | (F.col("t") <= F.coalesce("p", F.lit(-1)))
-    ok = F.when(bad, F.raise_error(F.format_string("time %d of %s is not after the one before", "t", "metric"))).otherwise(F.col("t"))
-    return prev.select("metric", ok.cast("bigint").alias("t"), "v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,55 +24,52 @@ def check_range(begin: int, end: int, scope: Scopes) -> None:
         raise ValueError(f"the range begins at {begin}, after its end {end}")
 
 
+def _sides(begin: int, end: int, scope: Scopes) -> tuple[Column, Column]:
+    """Plain comparisons for either side. An extended side has the open one: the point or row that it adds comes by itself."""
+    t = F.col("t")
+    left = {CLOSED: t >= begin, OPEN: t > begin, EXTENDED: t > begin, INFINITY: F.lit(True)}[scope[0]]
+    right = {CLOSED: t <= end, OPEN: t < end, EXTENDED: t < end, INFINITY: F.lit(True)}[scope[1]]
+    return left, right
+
+
+def _outermost(rows: DataFrame, which: str) -> DataFrame:
+    """The first ("min_by") or last ("max_by") row of each metric; each task keeps one a metric before the exchange."""
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    return rows.groupBy("metric").agg(getattr(F, which)(whole, "t").alias("__row")).select(*(F.col(f"__row.{c}").alias(c) for c in rows.columns))
+
+
 def raw_scan(points: DataFrame, begin: int, end: int, scope: Scopes = (CLOSED, EXTENDED)) -> DataFrame:
     """Points (metric, t, v, ...) in a range.
 
     Extended reaches back to the last point at or before the begin (the first point if there is none), and on to the first point at or
-    after the end (the last point if there is none). Those two times are found by one aggregation with a combiner; the scan
-    itself is a plain comparison that Parquet prunes by.
+    after the end (the last point if there is none). The answer is a union: what lies inside, by two comparisons with literals, and
+    for each extended side the outermost point of each metric among those beyond it, by one comparison. All of these
+    reach the scan, and nothing is joined.
     """
     check_range(begin, end, scope)
-    out = points
-    if scope[0] is CLOSED:
-        out = out.where(F.col("t") >= begin)
-    elif scope[0] is OPEN:
-        out = out.where(F.col("t") > begin)
-    if scope[1] is CLOSED:
-        out = out.where(F.col("t") <= end)
-    elif scope[1] is OPEN:
-        out = out.where(F.col("t") < end)
-    if EXTENDED not in scope:
-        return out
-    bounds = points.groupBy("metric").agg(
-        F.coalesce(F.max(F.when(F.col("t") <= begin, F.col("t"))), F.min("t")).alias("__lo"),
-        F.coalesce(F.min(F.when(F.col("t") >= end, F.col("t"))), F.max("t")).alias("__hi"),
-    )
-    out = out.join(bounds, "metric")
+    left, right = _sides(begin, end, scope)
+    out = points.where(left & right)
+    before, after = F.col("t") <= begin, F.col("t") >= end
+    if scope == (EXTENDED, EXTENDED) and begin == end:  # one point may be both
+        whole = F.struct(*(F.col(c) for c in points.columns))
+        ends = points.groupBy("metric").agg(F.array_distinct(F.array_compact(F.array(F.max_by(F.when(before, whole), F.when(before, F.col("t"))), F.min_by(F.when(after, whole), F.when(after, F.col("t")))))).alias("__rows"))
+        return ends.select(F.explode("__rows").alias("__row")).select(*(F.col(f"__row.{c}").alias(c) for c in points.columns))
     if scope[0] is EXTENDED:
-        out = out.where("t >= __lo")
+        out = out.unionByName(_outermost(points.where(before), "max_by").where(right if scope[1] is not EXTENDED else F.lit(True)))
     if scope[1] is EXTENDED:
-        out = out.where("t <= __hi")
-    return out.drop("__lo", "__hi")
+        out = out.unionByName(_outermost(points.where(after), "min_by").where(left if scope[0] is not EXTENDED else F.lit(True)))
+    return out
 
 
 def level_scan(levels: DataFrame, interval: int, begin: int, end: int, scope: Scopes = (EXTENDED, OPEN)) -> DataFrame:
-    """Rows of one level in a range, compared by their starts; extended is the row that holds the begin or end."""
+    """Rows of one level in a range, compared by their starts; extended is the row that holds the begin or end, at the end also a metric's first row if all lie after it."""
     check_range(begin, end, scope)
     rows = levels.where(F.col("interval") == interval)
-    out = rows
-    if scope[0] is CLOSED:
-        out = out.where(F.col("t") >= begin)
-    elif scope[0] is OPEN:
-        out = out.where(F.col("t") > begin)
-    elif scope[0] is EXTENDED:
-        out = out.where(F.col("t") > begin - interval)
-    if scope[1] is CLOSED:
-        out = out.where(F.col("t") <= end)
-    elif scope[1] is OPEN:
-        out = out.where(F.col("t") < end)
-    elif scope[1] is EXTENDED:
-        first = rows.groupBy("metric").agg(F.min("t").alias("__first"))
-        out = out.join(first, "metric").where((F.col("t") < end + interval) | (F.col("t") == F.col("__first"))).drop("__first")
+    left = _sides(begin - interval, end, scope)[0] if scope[0] is EXTENDED else _sides(begin, end, scope)[0]
+    right = F.col("t") < end + interval if scope[1] is EXTENDED else _sides(begin, end, scope)[1]
+    out = rows.where(left & right)
+    if scope[1] is EXTENDED:
+        out = out.unionByName(_outermost(rows, "min_by").where((F.col("t") >= end + interval) & left))
     return out
 
 

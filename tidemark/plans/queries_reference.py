@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import DAY, SECOND, RollupConfig
-from tidemark.functions.text import row_text
-from tidemark.model import VALUES, mean, mean_integral, mean_sum
+from tidemark.functions.ordered import with_position
+from tidemark.functions.text import duration_text, row_text, time_text
+from tidemark.model import LEVEL, LEVEL_COLUMNS, VALUES, mean, mean_integral, mean_sum
 from tidemark.operators import aggregate as agg
 from tidemark.operators import quality, retrieve, rollup, scans
 from tidemark.operators.scans import CLOSED, EXTENDED, INFINITY, OPEN
 from tidemark.sources.binary import describe_files, read_records, write_records
 from tidemark.sources.catalog import Catalog
-from tidemark.sources.shared import shared_dir
+from tidemark.sources.shared import shared_dir, shared_path
 from tidemark.sources.synthetic import dummy_points
 
 HOUR = 3600 * SECOND
@@ -28,6 +29,7 @@ EARLY = 1_600_000_000 * SECOND
 LATE = 1_900_000_000 * SECOND
 SPLIT = 1_705_000_000 * SECOND
 COOLDOWN = 2 * HOUR
+DENSE = 3000 * SECOND
 #: 1995-06-01
 MIDDLE = 801_964_800 * SECOND
 NAMES = {"open": OPEN, "closed": CLOSED, "extended": EXTENDED, "infinity": INFINITY}
@@ -62,11 +64,56 @@ def faulty_points(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("event_type").alias("metric"), F.col("event_id").alias("pos"), t.alias("t"), v.alias("v"))
 
 
+YEARS = RollupConfig(7 * DAY, 7 * 7**4 * DAY, 7)
+
+
+def _top_row(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("orders", 7 * 7**4 * DAY, 0, 1.0, 1.0, 1.0, 1, 1.0, 1, 0)], "metric string, interval bigint, t bigint, mn double, mx double, s double, c bigint, i double, a bigint, pos bigint")
+
+
+def _headers(spark: SparkSession) -> DataFrame:
+    """What the files of levels say their widths are: one is wrong, and one of a width that the walk doesn't come to."""
+    return spark.createDataFrame([("orders", 7 * DAY, 7 * DAY), ("orders", 49 * DAY, 50 * DAY), ("orders", 2 * 7**5 * DAY, 1)], "metric string, interval bigint, header_interval bigint")
+
+
 RULES = quality.RepairRules(drop_above=150.0, drop_below=-50.0, intervals=[(NB, NE), (SPLIT, SPLIT + 2 * HOUR)], absolute=True)
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf: str) -> str:
+    """The pyramid of the events as stored tables, built once in an application: levels (a folder an interval, in order of metric and time), and where points begin and end."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stores:
+        at, rows = shared_path(spark, "pyramid"), points(spark, sf)
+        rollup.pyramid(rows, CONFIG).repartition("interval").sortWithinPartitions("interval", "metric", "t").write.partitionBy("interval").parquet(f"{at}/levels")
+        scans.time_range(rows).coalesce(1).write.parquet(f"{at}/ends")
+        _stores[key] = at
+    return _stores[key]
+
+
 def _levels(spark, sf) -> DataFrame:
-    return rollup.pyramid(points(spark, sf), CONFIG)
+    """The stored levels."""
+    return spark.read.schema(LEVEL).parquet(f"{_store(spark, sf)}/levels").select(*LEVEL_COLUMNS)
+
+
+def _ends(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{_store(spark, sf)}/ends")
+
+
+def _positioned(levels: DataFrame) -> DataFrame:
+    """Level rows with their stored position, here that in order of time."""
+    return with_position(levels, "t", DAY * 365, ("metric", "interval"))
+
+
+def _faulty_levels(spark, sf) -> DataFrame:
+    """The stored levels with faults: rows that are left out, repeated, moved to another place or not finite. The daily level of one metric is empty, one metric has no points."""
+    rows = _positioned(_levels(spark, sf)).where(f"not (interval = {HOUR} and pos % 50 = 7) and not (interval = {DAY} and metric = 'view')")
+    rows = rows.withColumn("pos", F.when((F.col("interval") == DAY) & (F.col("pos") % 9 < 2), F.col("pos") + 1 - 2 * (F.col("pos") % 9)).otherwise(F.col("pos")))
+    rows = rows.withColumn("s", F.when((F.col("interval") == HOUR) & (F.col("pos") % 61 == 5), float("inf")).otherwise(F.col("s")))
+    extra = rows.where(f"interval = {24 * DAY}").limit(0).unionByName(rows.where(f"interval = {DAY} and metric = 'click'").withColumn("metric", F.lit("orphan")))
+    return rows.unionByName(extra)
 
 
 def shaped(rows: DataFrame, *more: str) -> DataFrame:
@@ -148,26 +195,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flex_smooth_level": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, 5 * HOUR, (EXTENDED, OPEN))[1], "span_ns"),
         "flex_single": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, -1)[1]),
         "flex_fallback": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, E, LATE, 365 * DAY, (CLOSED, EXTENDED), smooth=False)[1]),
+        "flex_clamped": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, EARLY, LATE, 365 * DAY, (EXTENDED, OPEN))[1], "span_ns"),
+        "flex_dense": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, DENSE)[1]),
         "smooth_raw": lambda s, d: shaped(retrieve.smooth_points(scans.raw_scan(points(s, d), B, E, (EXTENDED, EXTENDED)), B, E, 5000 * SECOND)),
         "smooth_levels": lambda s, d: shaped(retrieve.smooth_rows(scans.level_scan(_levels(s, d), HOUR, B, E), 7 * HOUR), "span_ns"),
         "aggregate_range": lambda s, d: shaped(agg.aggregate(points(s, d), B, E)),
-        "aggregate_hierarchical": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, B, E)),
-        "aggregate_narrow": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, NB, NE)),
+        "aggregate_hierarchical": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, B, E, _ends(s, d))),
+        "aggregate_narrow": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, NB, NE, _ends(s, d))),
         "aggregate_clamped": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, EARLY, LATE)),
+        "aggregate_by_user": lambda s, d: shaped(agg.aggregate_hierarchical(user_points(s, d), rollup.pyramid(user_points(s, d), CONFIG), CONFIG, B, E)),
         "aggregate_before_data": lambda s, d: shaped(agg.aggregate(points(s, d), EARLY, EARLY + DAY)),
         "aggregate_rows": lambda s, d: shaped(agg.aggregate_rows(_levels(s, d), DAY, B, E)),
         "means": lambda s, d: agg.aggregate(points(s, d), B, E).select("metric", F.round(mean_sum(), 6).alias("mean_sum"), F.round(mean_integral(), 6).alias("mean_integral"), F.round(mean(), 6).alias("mean")),
         "check_raw_issues": lambda s, d: quality.check_raw(faulty_points(s, d)),
         "check_raw_fast": lambda s, d: quality.check_raw(faulty_points(s, d), fast=True),
-        "check_level_density": lambda s, d: quality.check_level(rollup.lowest_level(points(s, d), HOUR).where(F.expr(f"(t div {HOUR}) % 50 <> 7")), HOUR, points(s, d)),
-        "check_metrics": lambda s, d: quality.check_metrics(faulty_points(s, d).where("not isnan(v)"), rollup.lowest_level(points(s, d), HOUR), RollupConfig(HOUR, HOUR, 24), LATE),
-        "corrupt_metrics": lambda s, d: quality.corrupt_metrics(faulty_points(s, d), _levels(s, d), CONFIG, LATE),
+        "check_level_rows": lambda s, d: quality.check_levels(_faulty_levels(s, d), _ends(s, d)),
+        "check_level_fast": lambda s, d: quality.check_levels(_faulty_levels(s, d), _ends(s, d), fast=True),
+        "check_metrics": lambda s, d: quality.check_metrics(faulty_points(s, d), _faulty_levels(s, d), CONFIG, LATE).fillna(-1, ["pos", "t"]),
+        "check_metrics_walk": lambda s, d: quality.check_metrics(order_points(s, d).withColumn("pos", F.col("t")), _positioned(rollup.pyramid(order_points(s, d), WEEKS)).unionByName(_top_row(s)), YEARS, LATE, headers=_headers(s)).fillna(-1, ["pos", "t"]),
+        "corrupt_metrics": lambda s, d: quality.corrupt_metrics(faulty_points(s, d), _positioned(_levels(s, d)), CONFIG, LATE),
         "repair_filtered": lambda s, d: quality.repair(faulty_points(s, d), RULES).select("metric", "pos", "t", "v"),
         "repair_rollup": lambda s, d: shaped(quality.repair_and_roll(faulty_points(s, d), RULES, RollupConfig(DAY, DAY, 2))[1]),
         "clone_rebucket": lambda s, d: shaped(quality.clone(faulty_points(s, d).where("abs(v) <= 1e20 and not isnan(v)"), RollupConfig(5 * HOUR, 5 * HOUR, 5))[1]),
+        "clone_points": lambda s, d: quality.clone(faulty_points(s, d), RollupConfig(5 * HOUR, 5 * HOUR, 5))[0].select("metric", "pos", "t", "v"),
+        "throttle_by_user": lambda s, d: quality.throttle(user_points(s, d), 50 * HOUR),
         "throttle_cooldown": lambda s, d: quality.throttle(points(s, d), COOLDOWN),
         "synthetic_dummy": lambda s, d: dummy_points(s, 100_000),
         "row_text": lambda s, d: rollup.one_level(points(s, d), CONFIG, DAY).select("metric", "t", row_text().alias("text")),
+        "row_times": lambda s, d: _levels(s, d).select("metric", "interval", "t", duration_text("interval").alias("width"), time_text("t").alias("begins")),
         "stream_rollup": _stream,
         "binary_points": lambda s, d: read_records(s, _files(s, d)).select("metric", "t", "v"),
         "binary_level": lambda s, d: shaped(read_records(s, _files(s, d), HOUR)),
@@ -241,13 +296,28 @@ def _smooth(n: int) -> str:
   SELECT metric, interval, t, {_ROUNDED}, CAST({n * HOUR} AS BIGINT) AS span_ns FROM merged"""
 
 
+_LEVEL_ISSUES = f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY metric, interval ORDER BY t) - 1 AS pos FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)),
+  holed AS (SELECT metric, interval, t, mn, mx, CASE WHEN interval = {HOUR} AND pos % 61 = 5 THEN CAST('Infinity' AS DOUBLE) ELSE s END AS s, i,
+    CASE WHEN interval = {DAY} AND pos % 9 < 2 THEN pos + 1 - 2 * (pos % 9) ELSE pos END AS pos
+    FROM ordered WHERE NOT (interval = {HOUR} AND pos % 50 = 7) AND NOT (interval = {DAY} AND metric = 'view')),
+  placed AS (SELECT h.*, first, last, max(t) OVER (PARTITION BY h.metric, interval ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(pos) OVER (PARTITION BY h.metric, interval) AS top
+    FROM holed h JOIN ends ON ends.metric = h.metric),
+  named AS (SELECT *, CASE WHEN pos = top AND t + interval <> last - last % interval THEN 'last_row' END AS x1, CASE WHEN t <> first - first % interval + pos * interval THEN 'bogus_time' END AS x2,
+    CASE WHEN t < before THEN 'non_monotonic' WHEN t = before THEN 'duplicate' END AS x3, CASE WHEN NOT (isfinite(mn) AND isfinite(mx) AND isfinite(s) AND isfinite(i)) THEN 'non_finite' END AS x4 FROM placed),
+  level_issues AS (SELECT metric, interval, pos, t, issue FROM (SELECT metric, interval, pos, t, unnest([x1, x2, x3, x4]) AS issue FROM named) WHERE issue IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Row texts and the stream's state have no SQL of their own; the stream's rows are those of the pyramid."""
     level = lambda w, raw=_RAW: f"WITH {raw}, {_level(w)} SELECT metric, interval, t, {_ROUNDED} FROM level"
     pyramid = " UNION ALL ".join(f"SELECT metric, interval, t, {_ROUNDED} FROM l{k}" for k in range(3))
     pyramid = f"WITH {_RAW}, " + ", ".join(_level(w, name=f"l{k}") for k, w in enumerate(CONFIG.levels)) + " " + pyramid
+    throttled = lambda raw, cooldown: f"""WITH RECURSIVE {raw}, steps AS (SELECT metric, min(t) AS t FROM raw GROUP BY metric UNION ALL
+          SELECT s.metric, (SELECT min(r.t) FROM raw r WHERE r.metric = s.metric AND r.t > s.t + {cooldown}) FROM steps s WHERE s.t IS NOT NULL)
+          SELECT r.metric, r.t, min(r.v) AS v FROM steps s JOIN raw r ON r.metric = s.metric AND r.t = s.t GROUP BY r.metric, r.t"""
     aggregate = lambda b, e: f"WITH {_RAW}, {_NEIGHBOURS}, {_aggregate(b, e)} SELECT metric, {_ROUNDED} FROM total"
     L, w5 = E, 5000 * SECOND
+    three = ", ".join(_level(w, name=f"l{k}") for k, w in enumerate(CONFIG.levels))
     smooth_raw = f"""WITH {_RAW}, {_NEIGHBOURS},
       inb AS (SELECT metric, t, v, coalesce(pt, {B}) AS p FROM near WHERE t >= {B} AND (pt IS NULL OR pt < {L})),
       cut AS (SELECT *, unnest(range(CASE WHEN p < {B} THEN 0 ELSE (p - {B}) // {w5} END, CASE WHEN t < {L} THEN (t - {B}) // {w5} ELSE ({L} - 1 - {B}) // {w5} END + 1)) AS k,
@@ -255,6 +325,14 @@ def oracle_sql() -> dict[str, str]:
       part AS (SELECT metric, k, v, k = k1 IS TRUE AND t < {L} AS mine, CASE WHEN t < {L} AND k = k1 THEN t ELSE least({B} + (k + 1) * {w5}, {L}) END - CASE WHEN k = 0 THEN p ELSE greatest(p, {B} + k * {w5}) END AS d FROM cut),
       win AS (SELECT metric, CAST({w5} AS BIGINT) AS interval, {B} + k * {w5} AS t, min(v) AS mn, max(v) AS mx, sum(CASE WHEN mine THEN v ELSE 0 END) AS s, count(*) FILTER (mine) AS c, sum(v * d) AS i, CAST(sum(d) AS BIGINT) AS a FROM part GROUP BY metric, k)
       SELECT metric, interval, t, {_ROUNDED} FROM win"""
+    # too dense: windows, anchored at the begin, of the metrics whose points lie closer than the limit; else the points as rows
+    flex_dense = f"""WITH {_RAW}, {_NEIGHBOURS},
+      got AS (SELECT metric, t, v, lag(t) OVER (PARTITION BY metric ORDER BY t) AS p, {E - B} // count(*) OVER (PARTITION BY metric) < {DENSE} AS dense FROM near WHERE {_raw_where(B, E, "closed", "extended")}),
+      cut AS (SELECT *, coalesce(p, {B}) AS q, unnest(range((coalesce(p, {B}) - {B}) // {DENSE}, CASE WHEN t < {E} THEN (t - {B}) // {DENSE} ELSE ({E} - 1 - {B}) // {DENSE} END + 1)) AS k FROM got WHERE dense AND coalesce(p, {B}) < {E}),
+      part AS (SELECT metric, k, v, t < {E} AND k = (t - {B}) // {DENSE} AS mine, CASE WHEN t < {E} AND k = (t - {B}) // {DENSE} THEN t ELSE least({B} + (k + 1) * {DENSE}, {E}) END - greatest(q, {B} + k * {DENSE}) AS d FROM cut),
+      win AS (SELECT metric, CAST({DENSE} AS BIGINT) AS interval, {B} + k * {DENSE} AS t, min(v) AS mn, max(v) AS mx, sum(CASE WHEN mine THEN v ELSE 0 END) AS s, count(*) FILTER (mine) AS c, sum(v * d) AS i, CAST(sum(d) AS BIGINT) AS a FROM part GROUP BY metric, k
+        UNION ALL SELECT metric, 0, t, v, v, v, 1, v * (t - coalesce(p, t)), t - coalesce(p, t) FROM got WHERE NOT dense)
+      SELECT metric, interval, t, {_ROUNDED} FROM win"""
     one = f"WITH {_RAW}, {_NEIGHBOURS}, {_aggregate(B, E)}"
     out = {
         "rollup_hourly": level(HOUR), "rollup_daily": level(DAY), "rollup_24d": level(24 * DAY), "rollup_pyramid": pyramid, "rollup_incremental": pyramid, "stream_rollup": pyramid,
@@ -276,6 +354,8 @@ def oracle_sql() -> dict[str, str]:
         "smooth_levels": f"WITH {_RAW}, {_level(HOUR)}, {_smooth(7)}",
         "flex_single": f"{one} SELECT metric, CAST({E - B} AS BIGINT) AS interval, CAST({B} AS BIGINT) AS t, {_ROUNDED} FROM total",
         "flex_fallback": f"WITH {_RAW}, {_level(DAY)} SELECT metric, interval, t, {_ROUNDED} FROM level WHERE t >= {E}",
+        "flex_clamped": f"WITH {_RAW}, {_level(24 * DAY)} SELECT metric, interval, t, {_ROUNDED}, CAST({24 * DAY} AS BIGINT) AS span_ns FROM level",
+        "flex_dense": flex_dense,
         "smooth_raw": smooth_raw,
         "aggregate_range": aggregate(B, E), "aggregate_hierarchical": aggregate(B, E), "aggregate_narrow": aggregate(NB, NE), "aggregate_clamped": aggregate(EARLY, LATE), "aggregate_before_data": aggregate(EARLY, EARLY + DAY),
         "aggregate_rows": f"""WITH {_RAW}, {_level(DAY)}, m AS (SELECT metric, min(mn) AS mn, max(mx) AS mx, sum(s) AS s, CAST(sum(c) AS BIGINT) AS c, sum(i) AS i, CAST(sum(a) AS BIGINT) AS a
@@ -283,21 +363,31 @@ def oracle_sql() -> dict[str, str]:
         "means": f"{one} SELECT metric, round(CASE WHEN c <> 0 THEN s / c ELSE 'NaN' END, 6) AS mean_sum, round(CASE WHEN a <> 0 THEN i / a ELSE 'NaN' END, 6) AS mean_integral, round(CASE WHEN a <> 0 THEN i / a WHEN c <> 0 THEN s / c ELSE 'NaN' END, 6) AS mean FROM total",
         "check_raw_issues": f"WITH {_FAULTY}, {_check()} SELECT * FROM issues WHERE issue IS NOT NULL",
         "check_raw_fast": f"WITH {_FAULTY}, latest AS (SELECT * FROM faulty QUALIFY row_number() OVER (PARTITION BY metric ORDER BY pos DESC) <= 4096), {_check('latest')} SELECT * FROM issues WHERE issue IS NOT NULL",
-        "check_level_density": f"""WITH {_RAW}, {_level(HOUR)}, holed AS (SELECT * FROM level WHERE (t // {HOUR}) % 50 <> 7), ends AS (SELECT metric, min(t) AS lo, max(t) AS hi FROM raw GROUP BY metric),
-          near AS (SELECT h.metric, h.t, lo, hi, lag(h.t) OVER w AS p, lead(h.t) OVER w AS n FROM holed h JOIN ends ON ends.metric = h.metric WINDOW w AS (PARTITION BY h.metric ORDER BY h.t))
-          SELECT metric, t, 'gap' AS issue FROM near WHERE p <> t - {HOUR}
-          UNION ALL SELECT metric, t, 'first_row' FROM near WHERE p IS NULL AND t <> lo - lo % {HOUR}
-          UNION ALL SELECT metric, t, 'last_row' FROM near WHERE n IS NULL AND t + {HOUR} <> hi - hi % {HOUR}""",
+        "check_level_rows": f"WITH {_RAW}, {three}, ends AS (SELECT metric, min(t) AS first, max(t) AS last FROM raw GROUP BY metric), {_LEVEL_ISSUES} SELECT * FROM level_issues",
+        "check_metrics": f"""WITH {_RAW}, {_FAULTY}, {three}, ends AS (SELECT metric, arg_min(t, pos) AS first, arg_max(t, pos) AS last FROM faulty GROUP BY metric), {_LEVEL_ISSUES}, {_check()}
+          SELECT metric, CAST(0 AS BIGINT) AS interval, CAST(pos AS BIGINT) AS pos, t, issue FROM issues WHERE issue IS NOT NULL
+          UNION ALL SELECT metric, 0, -1, first, 'first_after_last' FROM ends WHERE first > last
+          UNION ALL SELECT metric, interval, pos, t, issue FROM level_issues
+          UNION ALL SELECT 'view', {DAY}, -1, -1, 'empty' UNION ALL SELECT 'orphan', 0, -1, -1, 'empty_raw'""",
+        "check_metrics_walk": f"""WITH {_ORDERS}, ends AS (SELECT min(t) AS first, max(t) AS last FROM raw)
+          SELECT 'orders' AS metric, CAST({7**4 * DAY} AS BIGINT) AS interval, CAST(-1 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS t, 'empty' AS issue FROM ends WHERE first // {7**4 * DAY} <> last // {7**4 * DAY}
+          UNION ALL SELECT 'orders', {7**5 * DAY}, -1, 0, 'not_empty' FROM ends WHERE first // {7**5 * DAY} = last // {7**5 * DAY}
+          UNION ALL SELECT 'orders', 0, -1, first, 'first_out_of_time' FROM ends WHERE first < {quality.GENESIS}
+          UNION ALL SELECT 'orders', 0, -1, first, 'last_out_of_time' FROM ends WHERE last < {quality.GENESIS}
+          UNION ALL SELECT 'orders', {49 * DAY}, -1, -1, 'header_interval'""",
         "corrupt_metrics": f"WITH {_FAULTY}, latest AS (SELECT * FROM faulty QUALIFY row_number() OVER (PARTITION BY metric ORDER BY pos DESC) <= 4096), {_check('latest')} SELECT DISTINCT metric FROM issues WHERE issue IS NOT NULL",
         "repair_filtered": f"WITH {_FAULTY}, {_REPAIRED} SELECT metric, pos, t, v FROM kept",
         "repair_rollup": f"WITH {_FAULTY}, {_REPAIRED}, {_level(DAY, 'kept')} SELECT metric, interval, t, {_ROUNDED} FROM level",
         "clone_rebucket": f"""WITH {_FAULTY}, fit AS (SELECT *, max(t) OVER (PARTITION BY metric ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM faulty WHERE NOT isnan(v) AND abs(v) <= 1e20),
           kept AS (SELECT metric, t, v FROM fit WHERE t > coalesce(before, 0)), {_level(5 * HOUR, 'kept')} SELECT metric, interval, t, {_ROUNDED} FROM level""",
-        "throttle_cooldown": f"""WITH RECURSIVE {_RAW}, steps AS (SELECT metric, min(t) AS t FROM raw GROUP BY metric UNION ALL
-          SELECT s.metric, (SELECT min(r.t) FROM raw r WHERE r.metric = s.metric AND r.t > s.t + {COOLDOWN}) FROM steps s WHERE s.t IS NOT NULL)
-          SELECT r.metric, r.t, r.v FROM steps s JOIN raw r ON r.metric = s.metric AND r.t = s.t""",
+        "clone_points": f"WITH {_FAULTY}, fit AS (SELECT *, max(t) OVER (PARTITION BY metric ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM faulty) SELECT metric, pos, t, v FROM fit WHERE t > coalesce(before, 0)",
+        "throttle_cooldown": throttled(_RAW, COOLDOWN), "throttle_by_user": throttled(_USERS, 50 * HOUR),
+        "row_times": f"""WITH {_RAW}, {three}, rows_ AS (SELECT metric, interval, t FROM l0 UNION ALL SELECT metric, interval, t FROM l1 UNION ALL SELECT metric, interval, t FROM l2)
+          SELECT metric, interval, t, CAST(interval // {SECOND} AS VARCHAR) || '.000000000s' AS width, strftime(make_timestamp(t // 1000), '%Y-%m-%dT%H:%M:%S') || '.000000000Z' AS begins FROM rows_""",
         "synthetic_dummy": "SELECT 'dummy' AS metric, (50 * range + 1) * 1000000 AS t, CAST(42 AS DOUBLE) AS v FROM range(100000)",
     }
+    out["check_level_fast"] = out["check_level_rows"].replace("FROM holed h JOIN", f"FROM (SELECT * FROM holed QUALIFY row_number() OVER (PARTITION BY metric, interval ORDER BY pos DESC) <= {quality.FAST_ROWS}) h JOIN")
+    out["aggregate_by_user"] = aggregate(B, E).replace(_RAW, _USERS)
     out["binary_points"] = f"WITH {_RAW} SELECT metric, t, v FROM raw"
     out["binary_level"] = level(HOUR)
     settings = f"CAST({HOUR} AS BIGINT) AS interval_min, CAST(24 AS BIGINT) AS interval_factor, CAST({24 * DAY} AS BIGINT) AS interval_max, count(*) AS entries, min(t) AS first, max(t) AS last"
