@@ -1,7 +1,10 @@
 """The write and read operators on a small series whose answers are known, and on random ones against a fold."""
 
 import math
+import os
+import sys
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -11,7 +14,9 @@ from tidemark.model import RAW
 from tidemark.operators import aggregate as agg
 from tidemark.operators import retrieve, rollup, scans
 from tidemark.operators.scans import CLOSED, EXTENDED, INFINITY, OPEN
-from tidemark.streaming.rollup import OpenBuckets
+
+sys.path.insert(0, os.path.dirname(__file__))
+from fold import folded  # noqa: E402
 
 OFFSET = 1_519_130_000
 CONFIG = RollupConfig(10 * SECOND, 1000 * SECOND, 10)
@@ -155,14 +160,6 @@ def test_hierarchical_equals_direct(spark):
             assert want[name][4] == sum(v * max(0, min(t, hi) - max(p, lo)) for (p, _), (t, v) in zip(own, own[1:], strict=False))
 
 
-def folded(series, config):
-    """Level rows by adding one point after another."""
-    buckets, out = OpenBuckets(config), []
-    for t, v in series:
-        out += list(buckets.add(t, v))
-    return sorted((w, s, *x) for w, s, x in out)
-
-
 streams = st.lists(st.tuples(st.integers(1, 60), st.integers(-9, 9)), min_size=1, max_size=25)
 
 
@@ -183,6 +180,24 @@ def test_batch_incremental_and_fold_agree(spark, steps, low, factor, cut):
     assert flat(old.unionByName(rollup.extend_pyramid(old, pts, config))) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(streams, st.sampled_from([4, 8, 12]), st.sampled_from([2, 4]), st.lists(st.integers(0, 25), max_size=4))
+def test_stream_and_fold_agree(steps, low, factor, cuts):
+    """Whatever the micro-batches."""
+    from tidemark.streaming.rollup import advance
+
+    config = RollupConfig(low, low * factor**2, factor)
+    t = np.cumsum([d for d, _ in steps])
+    v = np.array([x for _, x in steps], float)
+    held, previous, got = [], 0, []
+    for i, j in zip([0, *sorted(cuts)], [*sorted(cuts), len(t)], strict=True):
+        if i < min(j, len(t)):
+            held, closed = advance(config.levels, previous, held, t[i:j], v[i:j])
+            previous = int(t[i:j][-1])
+            got += [tuple(r) for rows in closed for r in rows[["interval", "t", "mn", "mx", "s", "c", "i", "a"]].itertuples(index=False)]
+    assert sorted(got) == folded(list(zip(t.tolist(), v.tolist(), strict=True)), config)
+
+
 def test_fold_by_hand():
     assert folded([(23, 42.0)], RollupConfig(10, 10, 2)) == []
     assert folded([(5, 1.0), (12, 3.0), (20, 5.0)], RollupConfig(10, 20, 2)) == [

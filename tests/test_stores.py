@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DAY, SECOND, RollupConfig
 from tidemark.errors import AccessError, DuplicateMetric, FormatError, MissingMetricConfig, OutOfOrder, TidemarkError
+from tidemark.functions.ordered import with_position
 from tidemark.functions.text import duration_text, row_text, time_text
 from tidemark.model import RAW
 from tidemark.operators import quality, rollup
@@ -60,6 +61,34 @@ def test_catalog(spark, tmp_path):
     assert "foo.backup-0" in again.catalog.names()
 
 
+def test_many_metrics_at_once(spark, tmp_path):
+    """One insertion for all; names with any characters stay in the store's folder; what failed half-way is completed by doing it again."""
+    odd = ["x.a", "x.b/../..", "x.c d=e%", "y.a"]
+    config = {"type": "file", "path": f"file://{tmp_path}/db", "metrics": {"x": {**META, "prefix": True}, "y.a": {"interval_min": 20, "interval_max": 20, "interval_factor": 2}, "r": {**META, "mode": "R"}}}
+    cat = Catalog.from_config(spark, config)
+    every = lambda ts: spark.createDataFrame([(m, t, float(t % 7)) for m in odd for t in ts], RAW)
+    cat.insert(every([23, 45, 210]))
+    cat.insert(every([220, 531, 1200]))
+    for m in odd:
+        own = Catalog.from_config(spark, config)[m]
+        want = rollup.pyramid(points(spark, [23, 45, 210, 220, 531, 1200], m), RollupConfig(20, 20, 2) if m == "y.a" else RollupConfig(10, 1000, 10))
+        assert sorted(map(tuple, own.levels().collect())) == sorted(map(tuple, want.collect())) and own.count() == 6
+    assert cat.names() == sorted(odd) and sorted(p.name for p in tmp_path.iterdir()) == ["db"]
+    for bad, error in ((points(spark, [5], "z"), MissingMetricConfig), (points(spark, [5], "r"), AccessError), (points(spark, [1200], "x.a"), OutOfOrder), (points(spark, [0], "x.n"), OutOfOrder)):
+        with pytest.raises(error):
+            cat.insert(bad)
+    # levels were written, the points weren't
+    import shutil
+
+    shutil.copytree(f"{tmp_path}/db/raw", f"{tmp_path}/raw")
+    cat.insert(every([2500, 2501]))
+    shutil.rmtree(f"{tmp_path}/db/raw")
+    shutil.move(f"{tmp_path}/raw", f"{tmp_path}/db/raw")
+    cat.insert(every([2500, 2501]))
+    want = rollup.pyramid(points(spark, [23, 45, 210, 220, 531, 1200, 2500, 2501], "x.a"), RollupConfig(10, 1000, 10))
+    assert sorted(map(tuple, cat["x.a"].levels().collect())) == sorted(map(tuple, want.collect())) and cat["x.a"].count() == 8
+
+
 def test_binary_files(spark, tmp_path):
     config = RollupConfig(10, 1000, 10)
     (tmp_path / "m").mkdir()
@@ -93,7 +122,7 @@ def test_checks_of_sound_metrics_are_empty(spark):
     day = 11_000 * DAY
     pts = points(spark, [day + k * 700 * SECOND for k in range(300)]).withColumn("pos", F.col("t"))
     config = RollupConfig(3600 * SECOND, DAY, 24)
-    levels = rollup.pyramid(pts, config)
+    levels = with_position(rollup.pyramid(pts, config), "t", DAY, ("metric", "interval"))
     assert quality.check_metrics(pts, levels, config, day + 40 * DAY).count() == 0
     assert quality.corrupt_metrics(pts, levels, config, day - 1).count() == 1  # all in the future
 
@@ -109,18 +138,22 @@ def test_dummy(spark):
     assert [tuple(r) for r in dummy_points(spark, 2).collect()] == [("dummy", 1_000_000, 42.0), ("dummy", 51_000_000, 42.0)]
 
 
-def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
-    from tidemark.streaming.rollup import stream_levels
+@pytest.mark.parametrize("late", ["drop", "mark"])
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path, late):
+    from tidemark.streaming.rollup import late_points, level_rows, stream_levels
 
     config = RollupConfig(10, 100, 10)
 
-    def run(part):
+    def run(part, late=late):
         points(spark, part).write.mode("append").parquet(f"{tmp_path}/in")
         s = spark.readStream.schema(RAW).parquet(f"{tmp_path}/in")
-        q = stream_levels(s, config, strict=False).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q = stream_levels(s, config, late).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
         q.awaitTermination()
 
     run([23, 45, 210])
     run([220, 209, 531])  # 209 is late
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == sorted(tuple(r) for r in rollup.pyramid(points(spark, [23, 45, 210, 220, 531]), config).collect())
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, level_rows(out).collect())) == sorted(map(tuple, rollup.pyramid(points(spark, [23, 45, 210, 220, 531]), config).collect()))
+    assert [r.t for r in late_points(out).collect()] == ([209] if late == "mark" else [])
+    with pytest.raises(Exception, match="not after"):
+        run([7], "raise")

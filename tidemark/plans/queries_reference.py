@@ -130,18 +130,61 @@ def _rollup(interval):
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
     from tidemark.streaming.rollup import stream_levels
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(F.col("event_type").alias("metric"), _nanos("ts").alias("t"), F.col("value").alias("v"))
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     query = stream_levels(rows, CONFIG).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
     query.awaitTermination()
     return shaped(spark.read.parquet(f"{at}/rows"))
 
 
+def _restarted(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream that is stopped between two deliveries and goes on from its checkpoint. The second delivery has all points from SPLIT on, and those of two days before, which are late."""
+    from tidemark.streaming.rollup import stream_levels
+
+    at, all_ = shared_path(spark, "restarted"), points(spark, sf)
+    for part in (all_.where(F.col("t") < SPLIT), all_.where(F.col("t") >= SPLIT - 2 * DAY)):
+        part.write.mode("append").parquet(f"{at}/in")
+        rows = spark.readStream.schema(all_.schema).parquet(f"{at}/in")
+        query = stream_levels(rows, CONFIG, "mark").writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
+        query.awaitTermination()
+    return spark.read.parquet(f"{at}/rows")
+
+
+def _stream_restarted(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.streaming.rollup import level_rows
+
+    return shaped(level_rows(_restarted(spark, sf)))
+
+
+def _stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.streaming.rollup import late_points
+
+    return late_points(_restarted(spark, sf))
+
+
+def _stream_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a stream that is told to raise fails on a late point."""
+    from pyspark.errors import StreamingQueryException
+
+    from tidemark.streaming.rollup import stream_levels
+
+    at, all_ = shared_path(spark, "order"), points(spark, sf)
+    outcome = []
+    for name, part in (("in order", all_.where(F.col("t") < SPLIT)), ("late", all_.where(F.col("t").between(SPLIT - 2 * DAY, SPLIT)))):
+        part.write.mode("append").parquet(f"{at}/in")
+        rows = spark.readStream.schema(all_.schema).parquet(f"{at}/in")
+        query = stream_levels(rows, CONFIG).writeStream.format("noop").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+            outcome.append((name, "taken"))
+        except StreamingQueryException as e:
+            outcome.append((name, "OutOfOrder" if "OutOfOrder" in str(e) else str(e)))
+    return spark.createDataFrame(outcome, "delivery string, outcome string")
+
+
 def _incremental(spark, sf) -> DataFrame:
     """Levels of the first part of the points, gone on with when all are there."""
     all_ = points(spark, sf)
@@ -224,6 +267,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_text": lambda s, d: rollup.one_level(points(s, d), CONFIG, DAY).select("metric", "t", row_text().alias("text")),
         "row_times": lambda s, d: _levels(s, d).select("metric", "interval", "t", duration_text("interval").alias("width"), time_text("t").alias("begins")),
         "stream_rollup": _stream,
+        "stream_restarted": _stream_restarted,
+        "stream_late": _stream_late,
+        "stream_order": _stream_order,
         "binary_points": lambda s, d: read_records(s, _files(s, d)).select("metric", "t", "v"),
         "binary_level": lambda s, d: shaped(read_records(s, _files(s, d), HOUR)),
         "binary_headers": lambda s, d: describe_files(s, _files(s, d)).select("metric", "interval", "interval_min", "interval_factor", "interval_max", "entries", "first", "last"),
@@ -335,7 +381,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT metric, interval, t, {_ROUNDED} FROM win"""
     one = f"WITH {_RAW}, {_NEIGHBOURS}, {_aggregate(B, E)}"
     out = {
-        "rollup_hourly": level(HOUR), "rollup_daily": level(DAY), "rollup_24d": level(24 * DAY), "rollup_pyramid": pyramid, "rollup_incremental": pyramid, "stream_rollup": pyramid,
+        "rollup_hourly": level(HOUR), "rollup_daily": level(DAY), "rollup_24d": level(24 * DAY), "rollup_pyramid": pyramid, "rollup_incremental": pyramid, "stream_rollup": pyramid, "stream_restarted": pyramid,
+        "stream_late": f"WITH {_RAW} SELECT metric, t, v FROM raw WHERE t >= {SPLIT - 2 * DAY} AND t < {SPLIT}",
+        "stream_order": "SELECT 'in order' AS delivery, 'taken' AS outcome UNION ALL SELECT 'late', 'OutOfOrder'",
         "rollup_by_user": level(DAY, _USERS), "rollup_orders_weekly": level(49 * DAY, _ORDERS),
         "range_per_metric": f"WITH {_RAW} SELECT metric, min(t) AS first, max(t) AS last FROM raw GROUP BY metric",
         "count_all": f"WITH {_RAW} SELECT metric, count(*) AS n FROM raw GROUP BY metric",

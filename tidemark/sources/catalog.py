@@ -2,14 +2,15 @@
 
 ``<path>/meta/metric=…`` holds a metric's settings as JSON, written once: later configurations don't change them.
 ``<path>/raw/metric=…`` and ``<path>/levels/interval=…/metric=…`` hold the rows, so that reading one metric or level
-prunes the others' files. Each insertion goes on from the last closed buckets.
+prunes the others' files. An insertion, of one metric or of many at once, goes on from the last closed buckets: of what is
+stored it reads the levels and the points since then. It writes the levels from the lowest up, and the points last. Each
+of these goes on from its own end, so an insertion that failed in between is completed by repeating it as it was.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,19 @@ from tidemark.errors import AccessError, DuplicateMetric, MissingMetricConfig, O
 from tidemark.model import LEVEL, RAW, VALUES
 from tidemark.operators import aggregate as agg
 from tidemark.operators import quality, retrieve, scans
-from tidemark.operators.rollup import extend_pyramid, pyramid
+from tidemark.operators.metric_configs import attach_configs
+from tidemark.operators.rollup import extend_pyramid
 from tidemark.operators.scans import CLOSED, EXTENDED, OPEN
+from tidemark.sources.shared import materialize
+
+SETTINGS = ("interval_min", "interval_max", "interval_factor")
+# Fixed value: the characters that Spark escapes in the names of partition folders, besides control characters.
+_ESCAPED = frozenset("\"#%'*/:=?\\{[]^\x7f")
+
+
+def folder(name: str) -> str:
+    """The partition folder of a metric, named as Spark names it, so that no name leaves the table's own folder."""
+    return "metric=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED or c < " " else c for c in name)
 
 
 @dataclass(frozen=True)
@@ -77,11 +89,71 @@ class Catalog:
         self.entries[name] = entry if isinstance(entry, Entry) else Entry.from_dict(entry)
         return self[name]
 
+    def _all(self, kind: str, schema: str) -> DataFrame:
+        """A whole table, all metrics."""
+        if not self.exists(f"{self.path}/{kind}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}")
+
+    def points(self) -> DataFrame:
+        """metric, t, v of all stored metrics."""
+        return self._all("raw", "t bigint, v double, metric string").select("metric", "t", "v")
+
+    def levels(self) -> DataFrame:
+        """The level rows of all stored metrics."""
+        return self._all("levels", "t bigint, mn double, mx double, s double, c bigint, i double, a bigint, interval bigint, metric string").select(*(f.name for f in LEVEL))
+
+    def metas(self) -> DataFrame:
+        """name and settings of all stored metrics."""
+        schema = "name string, interval_min bigint, interval_max bigint, interval_factor bigint"
+        return self.spark.read.schema(schema).json(f"{self.path}/meta") if self.exists(f"{self.path}/meta") else self.spark.createDataFrame([], schema)
+
+    def insert(self, points: DataFrame) -> None:
+        """Appends points (metric, t, v) of any number of metrics, and the level rows that they close, in a few jobs for each different settings.
+
+        Each metric must have a configuration, and be readable and writable (one that is only written is replaced, one at a time, by its own ``insert``).
+        """
+        entries = [(name, e.prefix, e.mode.value, *e.config.to_dict().values()) for name, e in self.entries.items()]
+        table = self.spark.createDataFrame(entries, "cfg_name string, is_prefix boolean, rw_mode string, interval_min bigint, interval_max bigint, interval_factor bigint")
+        found = attach_configs(points.select("metric").distinct(), table, ["rw_mode", *SETTINGS])
+        held = self.metas().select(F.col("name").alias("metric"), F.struct(*SETTINGS).alias("held"))
+        found = found.join(held, "metric", "left").select("metric", "rw_mode", F.col("held").isNotNull().alias("stored"), *(F.coalesce(f"held.{c}", c).alias(c) for c in SETTINGS))
+        found = materialize(found, "metrics")  # read several times; one row a metric
+        wrong = found.where("rw_mode is null or rw_mode <> 'RW'").orderBy("metric").first()
+        if wrong is not None:
+            raise MissingMetricConfig(wrong["metric"]) if wrong["rw_mode"] is None else AccessError(f"{wrong['metric']} has to be readable and writable")
+        fresh = found.where("not stored")
+        if not fresh.isEmpty():
+            fresh.select("metric", F.col("metric").alias("name"), *SETTINGS).write.mode("append").partitionBy("metric").json(f"{self.path}/meta")
+        for r in found.select(*SETTINGS).distinct().collect():  # as many as there are different settings
+            own = found.where(" and ".join(f"{c} = {r[c]}" for c in SETTINGS)).select("metric")
+            self.append(points.select("metric", "t", "v").join(own, "metric", "left_semi"), RollupConfig(*(r[c] for c in SETTINGS)), own)
+
+    def append(self, new: DataFrame, config: RollupConfig, own: DataFrame) -> None:
+        """Appends the points of the metrics ``own``, all of which have these settings."""
+        only = lambda df: df.join(own, "metric", "left_semi")
+        levels = only(self.levels())
+        closed = materialize(levels.where(F.col("interval") == config.interval_min).groupBy("metric").agg((F.max("t") + config.interval_min).alias("start")), "closed")
+        # the stored points since the last closed bucket: by one literal for all metrics, then by each metric's own; everything only if a stored metric has no bucket yet
+        low = own.join(self.metas().select(F.col("name").alias("metric")), "metric", "left_semi").join(closed, "metric", "left").agg(F.min(F.coalesce("start", F.lit(0)))).first()[0] or 0
+        tail = only(self.points().where(F.col("t") >= low)).join(closed, "metric", "left").where("start is null or t >= start").drop("start")
+        last = tail.groupBy("metric").agg(F.max("t").alias("last"))
+        size = new.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("d"), F.min("t").alias("low")).join(last, "metric", "left")
+        wrong = size.where("n <> d or low is null or low <= coalesce(last, 0)").first()
+        if wrong is not None:
+            raise OutOfOrder(f"times of {wrong['metric']} must rise and be after {wrong['last'] or 0}")
+        rows = materialize(extend_pyramid(levels, tail.unionByName(new), config), "levels", ("interval",))
+        for w in config.levels:
+            part = rows.where(F.col("interval") == w).select("metric", "t", *VALUES)
+            if not part.isEmpty():
+                part.repartition("metric").sortWithinPartitions("metric", "t").write.mode("append").partitionBy("metric").parquet(f"{self.path}/levels/interval={w}")
+        new.repartitionByRange("metric", "t").sortWithinPartitions("metric", "t").write.mode("append").partitionBy("metric").parquet(f"{self.path}/raw")
+
     def names(self) -> list[str]:
         """The metrics that are stored, configured or not, in order."""
         if not self.exists(f"{self.path}/meta"):
             return []
-        return [r["metric"] for r in self.spark.read.json(f"{self.path}/meta", schema="metric string, name string").select(F.col("name").alias("metric")).distinct().orderBy("metric").toLocalIterator()]
+        return [r["name"] for r in self.metas().select("name").distinct().orderBy("name").toLocalIterator()]
 
 
 class StoredMetric:
@@ -90,7 +162,7 @@ class StoredMetric:
     def __init__(self, catalog: Catalog, name: str, entry: Entry):
         self.catalog, self.name, self.mode, self.spark = catalog, name, entry.mode, catalog.spark
         self._fresh = entry.mode is Mode.WRITE  # overwrites what there is at the first insertion
-        at = f"metric={quote(name, safe='')}"
+        at = folder(name)
         self._meta, self._raw, self._levels = f"{catalog.path}/meta/{at}", f"{catalog.path}/raw/{at}", catalog.path + "/levels/interval={}/" + at
         if catalog.exists(self._meta) and not self._fresh:
             row = self.spark.read.json(self._meta).first()
@@ -131,30 +203,15 @@ class StoredMetric:
         return out
 
     def insert(self, points: DataFrame) -> None:
-        """Appends points (t, v) and the level rows that they close. Times have to rise, from the last one stored on."""
+        """Appends points (t, v) and the level rows that they close. Times have to rise, from the last one stored on. A metric that is only written is emptied by its first insertion."""
         if not self.mode.writes:
             raise AccessError(f"{self.name} is for reading only")
+        if self._fresh:
+            for path in (self._raw, *(self._levels.format(w) for w in self.config.levels)):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         new = points.select(F.lit(self.name).alias("metric"), "t", "v")
-        old = None if self._fresh or not self.catalog.exists(self._raw) else self._points()
-        last = old.agg(F.max("t")).first()[0] or 0 if old is not None else 0
-        n, distinct, low = new.agg(F.count("*"), F.count_distinct("t"), F.min("t")).first()
-        if not n:
-            return
-        if low <= last or distinct < n:
-            raise OutOfOrder(f"times of {self.name} must rise and be after {last}")
-        if old is None:
-            rows, mode = pyramid(new, self.config), "overwrite"
-        else:
-            rows, mode = extend_pyramid(self._stored_levels(), old.unionByName(new), self.config), "append"
-        rows = rows.persist()
-        try:
-            for w in self.config.levels:
-                part = rows.where(F.col("interval") == w).select("t", *VALUES)
-                if mode == "overwrite" or not part.isEmpty():
-                    part.sortWithinPartitions("t").write.mode(mode).parquet(self._levels.format(w))
-            new.select("t", "v").sortWithinPartitions("t").write.mode(mode).parquet(self._raw)
-        finally:
-            rows.unpersist()
+        self.catalog.append(new, self.config, self.spark.createDataFrame([(self.name,)], "metric string"))
         self._fresh = False
 
     def flush(self) -> None:
@@ -172,7 +229,10 @@ class StoredMetric:
         return retrieve.retrieve_flex(self.points(), self.levels(), self.config, begin, end, limit, scope, smooth)
 
     def aggregate(self, begin: int, end: int) -> DataFrame:
-        return agg.aggregate_hierarchical(self.points(), self.levels(), self.config, begin, end)
+        first, last = self.range()
+        if not last:
+            return agg.aggregate(self.points(), begin, end)
+        return agg.aggregate_hierarchical(self.points(), self.levels(), self.config, begin, end, self.spark.createDataFrame([(self.name, first, last)], "metric string, first bigint, last bigint"))
 
     def count(self, begin: int | None = None, end: int | None = None, scope: scans.Scopes = (CLOSED, EXTENDED)) -> int:
         row = scans.count(self.points(), begin, end, scope).first()

@@ -1,83 +1,104 @@
 """The pyramid as a stream: closed buckets of all levels, emitted as later points arrive.
 
 State per metric: the last point's time and the open bucket of each level. Points have to arrive in the order of
-time within a metric (within a micro-batch they are sorted); ``strict`` raises on a late one, else it is passed over.
+time within a metric (within a micro-batch they are sorted), so there is no lateness to wait for and no watermark. What is to be done with
+a late point is said by ``late``: "raise" fails the batch, "drop" passes over it, "mark" emits it beside the levels,
+so that a sink can put it aside (``late_points``).
+
+A micro-batch is taken in whole columns: the stretches between points are cut at the bucket ends and added up
+level by level. A metric's part of one micro-batch is held by one task, so the trigger's size bounds its memory.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from tidemark.config import RollupConfig
 from tidemark.errors import OutOfOrder
-from tidemark.model import LEVEL_COLUMNS
+from tidemark.model import LEVEL_COLUMNS, VALUES
 
 OUTPUT = "metric string, interval bigint, t bigint, mn double, mx double, s double, c bigint, i double, a bigint"
 STATE = "previous bigint, open binary"
-_NOTHING = (float("inf"), float("-inf"), 0.0, 0, 0.0, 0)
-
-
-def _merge(x: tuple, y: tuple) -> tuple:
-    return (min(x[0], y[0]), max(x[1], y[1]), x[2] + y[2], x[3] + y[3], x[4] + y[4], x[5] + y[5])
-
-
-class OpenBuckets:
-    """The open bucket of each level, as start → aggregate."""
-
-    def __init__(self, config: RollupConfig, previous: int = 0, levels: list[tuple[int, tuple]] | None = None):
-        self.widths, self.previous = config.levels, previous
-        self.open: list[tuple[int, tuple] | None] = levels or [None] * len(self.widths)
-
-    def add(self, t: int, v: float) -> Iterator[tuple[int, int, tuple]]:
-        """Takes a point; yields (width, start, aggregate) for each bucket that it closes."""
-        width, p = self.widths[0], self.previous or t
-        if self.open[0] is None:
-            self.open[0] = (p - p % width, _NOTHING)
-        start, held = self.open[0]
-        while t >= start + width:
-            d = start + width - max(p, start)
-            yield from self._close(0, start, _merge(held, (v, v, 0.0, 0, v * d, d)))
-            start, held = start + width, _NOTHING
-        d = t - max(p, start)
-        self.open[0] = (start, _merge(held, (v, v, v, 1, v * d, d)))
-        self.previous = t
-
-    def _close(self, k: int, start: int, value: tuple) -> Iterator[tuple[int, int, tuple]]:
-        yield self.widths[k], start, value
-        if k + 1 < len(self.widths):
-            up = self.widths[k + 1]
-            s, held = self.open[k + 1] or (start - start % up, _NOTHING)
-            held = _merge(held, value)
-            if start + self.widths[k] == s + up:
-                self.open[k + 1] = (s + up, _NOTHING)
-                yield from self._close(k + 1, s, held)
-            else:
-                self.open[k + 1] = (s, held)
-
-
-def stream_levels(points: DataFrame, config: RollupConfig, strict: bool = True) -> DataFrame:
+#: The interval that marks a late point; its value is in ``s``.
+LATE = -1
+_MERGE = {"mn": np.fmin, "mx": np.maximum, "s": np.add, "c": np.add, "i": np.add, "a": np.add}
+
+
+def _grouped(start: np.ndarray, rows: dict[str, np.ndarray], held: tuple[int, dict] | None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Rows in order of ``start`` merged by it, together with what is held of the first one."""
+    first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]])
+    out = {c: _MERGE[c].reduceat(x, first) for c, x in rows.items()}
+    if held is not None and held[0] == start[0]:
+        for c in out:
+            out[c][0] = _MERGE[c](out[c][0], held[1][c])
+    return start[first], out
+
+
+def advance(widths: list[int], previous: int, held: list, t: np.ndarray, v: np.ndarray) -> tuple[list, list[pd.DataFrame]]:
+    """Takes points in order of time: (the open bucket of each level as (start, values), the closed rows)."""
+    held, closed = list(held) or [None] * len(widths), []
+    p = np.r_[previous or t[0], t[:-1]]
+    w = widths[0]
+    n = t // w - p // w + 1
+    at = np.repeat(np.arange(len(t)), n)
+    b = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p // w, n)) * w
+    own, value = b == t[at] // w * w, v[at]
+    d = np.minimum(t[at], b + w) - np.maximum(p[at], b)
+    rows = {"mn": value, "mx": value, "s": np.where(own, value, 0.0), "c": own.astype(np.int64), "i": value * d, "a": d}
+    start, end = b, int(t[-1] // w * w)
+    for k, w in enumerate(widths):
+        start, rows = _grouped(start // w * w, rows, held[k])
+        done = start + w <= end
+        held[k] = None if done[-1] else (int(start[-1]), {c: x[-1] for c, x in rows.items()})
+        start, rows = start[done], {c: x[done] for c, x in rows.items()}
+        if not len(start):
+            break
+        closed.append(pd.DataFrame({"interval": w, "t": start, **rows}))
+        end = int(start[-1] + w)
+    return held, closed
+
+
+def stream_levels(points: DataFrame, config: RollupConfig, late: str = "raise") -> DataFrame:
     """Level rows from a stream of points (metric, t, v), in append mode. Recovery is by the checkpointed state."""
-    import pickle
+    if late not in ("raise", "drop", "mark"):
+        raise ValueError(f"late points are to be raised, dropped or marked, not {late!r}")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            previous, held = state.get
-            buckets = OpenBuckets(config, previous, pickle.loads(held))
-        else:
-            buckets = OpenBuckets(config)
-        rows = []
-        for t, v in pd.concat(list(frames)).sort_values("t", kind="stable")[["t", "v"]].itertuples(index=False):
-            if t <= buckets.previous or t <= 0:
-                if strict:
-                    raise OutOfOrder(f"time {t} of {key[0]} is not after {buckets.previous}")
-                continue
-            rows += [(key[0], w, s, *x) for w, s, x in buckets.add(int(t), float(v))]
-        state.update((buckets.previous, pickle.dumps(buckets.open)))
-        if rows:
-            yield pd.DataFrame(rows, columns=LEVEL_COLUMNS)
-
-    return points.select("metric", "t", "v").groupBy("metric").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+        previous, held = (state.get[0], pickle.loads(state.get[1])) if state.exists else (0, [])
+        pdf = pd.concat(list(frames)).sort_values("t", kind="stable")
+        t, v = pdf["t"].to_numpy(np.int64), pdf["v"].to_numpy(float)
+        good = t > max(previous, 0)
+        good[1:] &= t[1:] != t[:-1]
+        if not good.all():
+            if late == "raise":
+                raise OutOfOrder(f"time {t[~good][0]} of {key[0]} is not after {previous}")
+            if late == "mark":
+                x = v[~good]
+                yield pd.DataFrame({"metric": key[0], "interval": LATE, "t": t[~good], "mn": x, "mx": x, "s": x, "c": 1, "i": 0.0, "a": 0})[LEVEL_COLUMNS]
+            t, v = t[good], v[good]
+        if len(t):
+            held, closed = advance(config.levels, previous, held, t, v)
+            state.update((int(t[-1]), pickle.dumps(held)))
+            for rows in closed:
+                yield rows.assign(metric=key[0])[LEVEL_COLUMNS]
+        elif not state.exists:
+            state.update((previous, pickle.dumps(held)))
+
+    return points.select("metric", "t", "v").where("metric is not null and t is not null and v is not null").groupBy("metric").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+
+
+def level_rows(out: DataFrame) -> DataFrame:
+    """The level rows of a stream with marked late points."""
+    return out.where(F.col("interval") != LATE).select("metric", "interval", "t", *VALUES)
+
+
+def late_points(out: DataFrame) -> DataFrame:
+    """metric, t, v: the late points of a stream that marks them."""
+    return out.where(F.col("interval") == LATE).select("metric", "t", F.col("s").alias("v"))
