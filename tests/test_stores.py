@@ -99,8 +99,14 @@ def test_binary_files(spark, tmp_path):
         f.write(b"half a")
     binary.write_file(str(tmp_path / "m/10.rec"), config, np.array([(20, 1, 2, 3, 1, 4, 10)], binary.ROW), 10)
     assert [tuple(r) for r in binary.read_records(spark, str(tmp_path)).collect()] == [("m", 0, 23, 1.5), ("m", 1, 45, 2.5)]
-    assert [tuple(r) for r in binary.read_records(spark, str(tmp_path), 10, "m").collect()] == [("m", 10, 20, 1.0, 2.0, 3.0, 1, 4.0, 10)]
+    assert [tuple(r) for r in binary.read_records(spark, str(tmp_path), 10, "m").collect()] == [("m", 10, 20, 1.0, 2.0, 3.0, 1, 4.0, 10, 0)]
     assert [(r.entries, r.first, r.last) for r in binary.describe_files(spark, str(tmp_path)).orderBy("interval").collect()] == [(2, 23, 45), (1, 20, 20)]
+    odd = ["a/b", "..", "%41", "x:y z"]
+    binary.write_records(spark.createDataFrame([(m, t, 1.0) for m in odd for t in (5, 7)], RAW), f"file://{tmp_path}/odd", config)
+    assert sorted({r.metric for r in binary.read_records(spark, f"file://{tmp_path}/odd").collect()}) == sorted(odd)
+    assert [tuple(r) for r in binary.read_records(spark, f"file://{tmp_path}/odd", metric="..").collect()] == [("..", 0, 5, 1.0), ("..", 1, 7, 1.0)]
+    assert sorted(r.metric for r in binary.describe_files(spark, f"file://{tmp_path}/odd").collect()) == sorted(odd)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["m", "odd"]
     good = open(path, "rb").read()
     for at, x in ((0, b"X"), (8, b"\0"), (24, b"\7")):
         open(path, "wb").write(good[:at] + x + good[at + 1 :])

@@ -79,7 +79,7 @@ def _headers(spark: SparkSession) -> DataFrame:
 RULES = quality.RepairRules(drop_above=150.0, drop_below=-50.0, intervals=[(NB, NE), (SPLIT, SPLIT + 2 * HOUR)], absolute=True)
 
 
-_stores: dict[tuple[str, str], str] = {}
+_stores: dict[tuple[str, ...], str] = {}
 
 
 def _store(spark: SparkSession, sf: str) -> str:
@@ -193,14 +193,14 @@ def _incremental(spark, sf) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf: str) -> str:
-    """The events and their hourly level as binary files."""
-    import uuid
-
-    at = shared_dir(spark).removeprefix("file://") + f"/records-{uuid.uuid4().hex}"
-    rows = points(spark, sf)
-    write_records(rows, at, CONFIG)
-    write_records(rollup.lowest_level(rows, HOUR), at, CONFIG, HOUR)
-    return at
+    """The events and their hourly level as binary files, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf, "files")
+    if key not in _stores:
+        at, rows = shared_path(spark, "records"), points(spark, sf)
+        write_records(rows, at, CONFIG)
+        write_records(_levels(spark, sf), at, CONFIG, HOUR)
+        _stores[key] = at
+    return _stores[key]
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,14 +7,14 @@ written is read up to its last whole record.
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -33,9 +33,21 @@ ROW = np.dtype([("t", "<i8"), ("mn", "<f8"), ("mx", "<f8"), ("s", "<f8"), ("c",
 RECORDS_PER_PART = 4_000_000
 
 
-def read_header(path: str) -> dict[str, int]:
-    """The header of a file: interval, interval_min, interval_factor, interval_max, offset (of the records), records, width."""
-    with open(path, "rb") as f:
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it. Any that Arrow knows will do, as long as all executors reach it; paths without a scheme are local."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def metric_folder(name: str) -> str:
+    """A metric's folder: its name, with everything quoted that could leave the folder it is in."""
+    quoted = "".join(c if c not in "/\\%:?#[]" and c >= " " else "".join(f"%{b:02X}" for b in c.encode()) for c in name)
+    return quoted.replace(".", "%2E") if quoted.strip(".") == "" else quoted
+
+
+def read_header(path: str, system: fs.FileSystem | None = None) -> dict[str, int]:
+    """The header of a file (``path`` is one in ``system``, if that is given): interval, interval_min, interval_factor, interval_max, offset (of the records), records, width, first and last (times; None without records)."""
+    system, at = (system, path) if system else _at(path)
+    with system.open_input_file(at) as f:
         head = f.read(PREAMBLE.size)
         if len(head) < PREAMBLE.size:
             raise FormatError(f"{path} is too short")
@@ -46,40 +58,50 @@ def read_header(path: str) -> dict[str, int]:
             raise FormatError(f"{path} has another byte order")
         if size < HEADER.size:
             raise FormatError(f"{path} has a header of {size} bytes")
-        version, interval, num, den, low, factor, high = HEADER.unpack(f.read(HEADER.size))
-    if version != VERSION:
-        raise FormatError(f"{path} has version {version}")
-    if (num, den) != (1, 1_000_000_000):
-        raise FormatError(f"{path} doesn't count in nanoseconds")
-    offset = PREAMBLE.size + size
-    width = (ROW if interval else POINT).itemsize
-    return {"interval": interval, "interval_min": low, "interval_factor": factor, "interval_max": high, "offset": offset, "width": width, "records": max(0, os.path.getsize(path) - offset) // width}
+        head = f.read(HEADER.size)
+        if len(head) < HEADER.size:
+            raise FormatError(f"{path} is too short")
+        version, interval, num, den, low, factor, high = HEADER.unpack(head)
+        if version != VERSION:
+            raise FormatError(f"{path} has version {version}")
+        if (num, den) != (1, 1_000_000_000):
+            raise FormatError(f"{path} doesn't count in nanoseconds")
+        offset = PREAMBLE.size + size
+        width = (ROW if interval else POINT).itemsize
+        records = max(0, f.size() - offset) // width
+        ends = [struct.unpack("<q", f.read_at(8, offset + i * width))[0] for i in (0, records - 1)] if records else [None, None]
+    return {"interval": interval, "interval_min": low, "interval_factor": factor, "interval_max": high, "offset": offset, "width": width, "records": records, "first": ends[0], "last": ends[1]}
+
+
+def _preamble(config: RollupConfig, interval: int) -> bytes:
+    return PREAMBLE.pack(MAGIC, BOM, HEADER.size) + HEADER.pack(VERSION, interval, 1, 1_000_000_000, config.interval_min, config.interval_factor, config.interval_max)
 
 
 def write_file(path: str, config: RollupConfig, records: np.ndarray, interval: int = 0) -> None:
     """Writes a file of points (interval 0) or level rows."""
-    with open(path, "wb") as f:
-        f.write(PREAMBLE.pack(MAGIC, BOM, HEADER.size))
-        f.write(HEADER.pack(VERSION, interval, 1, 1_000_000_000, config.interval_min, config.interval_factor, config.interval_max))
+    system, at = _at(path)
+    with system.open_output_stream(at) as f:
+        f.write(_preamble(config, interval))
         f.write(np.ascontiguousarray(records, ROW if interval else POINT).tobytes())
 
 
 def write_records(rows: DataFrame, path: str, config: RollupConfig, interval: int = 0, suffix: str = "rec") -> None:
     """Writes one file a metric under ``path`` (a folder that all executors share) from points or the rows of one level.
 
-    Each metric streams through one task in order of time; a file appears under its name only when it is complete,
-    so a task that is tried again leaves nothing half-written.
+    The format has one file a metric, so each metric streams through one task, in order of time and with the memory of a
+    batch. A file appears under its name only when it is complete, so a task that is tried again leaves nothing half-written.
     """
     kind = ROW if interval else POINT
     name = f"{interval}.{suffix}" if interval else f"raw.{suffix}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _at(path)
         metric, part, file = None, "", None
 
         def finish() -> None:
             if file is not None:
                 file.close()
-                os.replace(part, os.path.join(os.path.dirname(part), name))
+                system.move(part, f"{part.rpartition('/')[0]}/{name}")
 
         for batch in batches:
             labels = batch.column("metric").dictionary_encode()
@@ -92,10 +114,10 @@ def write_records(rows: DataFrame, path: str, config: RollupConfig, interval: in
                 if names[code[i]] != metric:
                     finish()
                     metric = names[code[i]]
-                    os.makedirs(os.path.join(path, metric), exist_ok=True)
-                    part = os.path.join(path, metric, f".{uuid.uuid4().hex}")
-                    write_file(part, config, np.empty(0, kind), interval)
-                    file = open(part, "ab")  # noqa: SIM115  closed by finish
+                    system.create_dir(f"{root}/{metric_folder(metric)}", recursive=True)
+                    part = f"{root}/{metric_folder(metric)}/.{uuid.uuid4().hex}"
+                    file = system.open_output_stream(part)
+                    file.write(_preamble(config, interval))
                 file.write(data[i:j].tobytes())
         finish()
         yield from ()
@@ -117,30 +139,38 @@ class _Reader(DataSourceReader):
         self.path, self.interval, self.metric = options["path"], int(options.get("interval", 0)), options.get("metric")
 
     def partitions(self):
-        name = f"{self.interval}.*" if self.interval else "raw.*"  # whatever the ending
-        parts = []
-        for path in sorted(glob.glob(os.path.join(glob.escape(self.path), glob.escape(self.metric) if self.metric else "*", name))):
-            n = read_header(path)["records"]
-            parts += [_Part(path, os.path.basename(os.path.dirname(path)), i, min(RECORDS_PER_PART, n - i)) for i in range(0, n, RECORDS_PER_PART)]
+        system, root = _at(self.path)
+        wanted, parts = metric_folder(self.metric) if self.metric else None, []
+        for info in sorted(system.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda x: x.path):
+            above, _, name = info.path.rpartition("/")
+            metric = above.rpartition("/")[2]
+            # whatever the ending
+            if info.type != fs.FileType.File or name.partition(".")[0] != (str(self.interval) if self.interval else "raw") or wanted not in (None, metric):
+                continue
+            n = read_header(info.path, system)["records"]
+            parts += [_Part(info.path, unquote(metric), i, min(RECORDS_PER_PART, n - i)) for i in range(0, n, RECORDS_PER_PART)]
         return parts or [_Part("", "", 0, 0)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         if not partition.count:
             return
-        head = read_header(partition.path)
+        system = _at(self.path)[0]
+        head = read_header(partition.path, system)
         kind = ROW if head["interval"] else POINT
         step = 100_000
-        with open(partition.path, "rb") as f:
+        with system.open_input_file(partition.path) as f:
             f.seek(head["offset"] + partition.first * kind.itemsize)
             for i in range(0, partition.count, step):
                 n = min(step, partition.count - i)
                 data = np.frombuffer(f.read(n * kind.itemsize), kind)
                 columns = {"metric": pa.array([partition.metric] * n)}
+                place = pa.array(np.arange(partition.first + i, partition.first + i + n))
                 if head["interval"]:
                     columns["interval"] = pa.array(np.full(n, head["interval"], np.int64))
                     columns |= {c: pa.array(np.ascontiguousarray(data[c]).astype(np.int64 if c in "tca" else float)) for c in ROW.names}
+                    columns["pos"] = place
                 else:
-                    columns |= {"pos": pa.array(np.arange(partition.first + i, partition.first + i + n)), "t": pa.array(np.ascontiguousarray(data["t"])), "v": pa.array(np.ascontiguousarray(data["v"]))}
+                    columns |= {"pos": place, "t": pa.array(np.ascontiguousarray(data["t"])), "v": pa.array(np.ascontiguousarray(data["v"]))}
                 yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -153,7 +183,7 @@ class RecordFiles(DataSource):
 
     def schema(self) -> str:
         if int(self.options.get("interval", 0)):
-            return "metric string, interval bigint, t bigint, mn double, mx double, s double, c bigint, i double, a bigint"
+            return "metric string, interval bigint, t bigint, mn double, mx double, s double, c bigint, i double, a bigint, pos bigint"
         return "metric string, pos bigint, t bigint, v double"
 
     def reader(self, schema) -> DataSourceReader:
@@ -169,15 +199,21 @@ def read_records(spark: SparkSession, path: str, interval: int = 0, metric: str
 
 
 def describe_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: metric, file, the header's fields, entries, first and last time."""
-    rows = []
-    for file in sorted(glob.glob(os.path.join(glob.escape(path), "*", "*.*"))):
-        h = read_header(file)
-        ends = [None, None]
-        if h["records"]:
-            with open(file, "rb") as f:
-                for k, i in enumerate((0, h["records"] - 1)):
-                    f.seek(h["offset"] + i * h["width"])
-                    ends[k] = struct.unpack("<q", f.read(8))[0]
-        rows.append((os.path.basename(os.path.dirname(file)), os.path.basename(file), h["interval"], h["interval_min"], h["interval_factor"], h["interval_max"], h["records"], *ends))
-    return spark.createDataFrame(rows, "metric string, file string, interval bigint, interval_min bigint, interval_factor bigint, interval_max bigint, entries bigint, first bigint, last bigint")
+    """One row per file: metric, file, named_interval (what its name says, 0 for raw), the header's fields, entries, first and last time. Headers are read in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file in batch.column("file").to_pylist():
+                h = read_header(file)
+                above, _, name = unquote(file).rpartition("/")
+                stem = name.partition(".")[0]
+                rows.append((unquote(above.rpartition("/")[2]), name, int(stem) if stem.isdigit() else 0, *(h[c] for c in ("interval", "interval_min", "interval_factor", "interval_max", "records", "first", "last"))))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k < 2 else pa.int64()) for k, x in enumerate(columns)], ["metric", "file", *_DESCRIBED])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(path).select(F.col("_metadata.file_path").alias("file"))
+    return files.mapInArrow(run, "metric string, file string, " + ", ".join(f"{c} bigint" for c in _DESCRIBED))
+
+
+_DESCRIBED = ("named_interval", "interval", "interval_min", "interval_factor", "interval_max", "entries", "first", "last")
