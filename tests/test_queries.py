@@ -2,9 +2,9 @@
 
 import pytest
 
-from tidemark.plans import queries_reference, queries_series
+from tidemark.plans import queries_catalog, queries_reference, queries_series
 
-CASES = [(m, n) for m in (queries_reference, queries_series) for n in m.oracle_sql()]
+CASES = [(m, n) for m in (queries_reference, queries_catalog, queries_series) for n in m.oracle_sql()]
 
 
 @pytest.mark.parametrize(("module", "name"), CASES, ids=[n for _, n in CASES])
@@ -13,7 +13,7 @@ def test_same_as_sql(same_as_sql, module, name):
 
 
 def test_every_sql_has_its_query():
-    for m in (queries_reference, queries_series):
+    for m in (queries_reference, queries_catalog, queries_series):
         assert set(m.oracle_sql()) <= set(m.queries())
 
 

@@ -93,7 +93,7 @@ def regrid(points: DataFrame, configs: DataFrame, radius: int = 2, min_support:
     missing = F.col("own_support") < least_own - 1e-6
     det = F.expr("w0 * w2 - w1 * w1")
     fit = F.when(det > F.expr("1e-6 * w0 * w0"), F.expr("(w2 * v0 - w1 * v1)") / F.when(det > 0, det)).when(F.col("w0") > 1e-12, F.expr("v0 / nullif(w0, 0)"))
-    enough = F.col("support") >= min_support
+    enough = F.col("support") >= min_support - 1e-6
     return (
         points_.withColumn("support", effective("w0", "ww"))
         .withColumn("own_support", effective("o0", "oo"))

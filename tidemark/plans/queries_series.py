@@ -29,20 +29,33 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return job.results(batch) if batch else spark.createDataFrame([], "feed string, row_id bigint")
 
 
+def _digits(column: str, n: int):
+    """So many digits of a number, off the ties: sums differ by the order of addition."""
+    c = F.col(column)
+    return F.when(c.isNull() | (c == 0), c).otherwise(F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))) + 0.33 * 10.0 ** -n, n - 1)).alias(column)
+
+
+def _digits_sql(column: str, n: int) -> str:
+    return f"CASE WHEN {column} IS NULL OR {column} = 0 THEN {column} ELSE round({column} / pow(10.0, floor(log10(abs({column})))) + {0.33 * 10.0**-n!r}, {n - 1}) END AS {column}"
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    return regrid(_table(spark, sf, "raw_points"), _table(spark, sf, "metric_configs"))
+
+
 def p2_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The whole grid with estimates, support and marks."""
-    return regrid(_table(spark, sf, "raw_points"), _table(spark, sf, "metric_configs"))
+    return _grid(spark, sf).select("metric", "t", "n", _digits("value", 3), F.round("support", 5).alias("support"), "missing", "filled")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """The slots of the grid that have no support of their own."""
-    return p2_grid(spark, sf).where("missing").select("metric", "t")
+    return _grid(spark, sf).where("missing").select("metric", "t")
 
 
 def p5_totals(spark: SparkSession, sf: str) -> DataFrame:
     totals = trailing_totals(_table(spark, sf, "level_rows"))
-    digits = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.round(F.col(c) / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))) + 3.3e-8, 6)).alias(c)  # noqa: E731  seven digits, off the ties: sums differ by the order of addition
-    return totals.select("metric", "t", "c_7", "c_30", digits("s_7"), digits("s_30"), digits("i_30"), F.round("c_avg_7", 6).alias("c_avg_7"))
+    return totals.select("metric", "t", "c_7", "c_30", _digits("s_7", 7), _digits("s_30", 7), _digits("i_30", 7), F.round("c_avg_7", 6).alias("c_avg_7"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +96,7 @@ _CALENDAR = """
 
 
 def oracle_sql() -> dict[str, str]:
-    """Local regressions and forests have no SQL: their tests compare with brute force."""
+    """Forests have no SQL: their tests compare with brute force."""
     differs = " OR ".join(f"{c} IS DISTINCT FROM lag({c}) OVER w" for c in VALUES)
     return {
         "p1_found": f"""
@@ -105,6 +118,26 @@ def oracle_sql() -> dict[str, str]:
               LEFT JOIN metric_configs p ON p.is_prefix AND starts_with(c.metric, p.cfg_name || '.')),
             days AS (SELECT metric, w, k * w // 86400000000000 AS day, unnest(range(min(k), max(k) + 1)) AS k FROM slots GROUP BY metric, w, k * w // 86400000000000)
             SELECT d.metric, d.k * d.w AS t FROM days d ANTI JOIN slots s ON s.metric = d.metric AND s.k = d.k""",
+        # the regression by plain weighted sums over the readings near each grid point
+        "p2_grid": f"""
+            WITH {_CURRENT},
+            readings AS (
+              SELECT c.metric, c.t, c.v, coalesce(e.interval_min, p.interval_min) AS w, c.t // coalesce(e.interval_min, p.interval_min) AS k
+              FROM current c
+              LEFT JOIN metric_configs e ON e.cfg_name = c.metric AND NOT e.is_prefix
+              LEFT JOIN metric_configs p ON p.is_prefix AND starts_with(c.metric, p.cfg_name || '.')),
+            grid AS (SELECT metric, w, unnest(range(min(k), max(k) + 1)) AS k FROM readings GROUP BY metric, w, k * w // 86400000000000),
+            near AS (SELECT metric, t, v, w, k AS own, k + unnest([-2, -1, 0, 1, 2]) AS k FROM readings),
+            weighed AS (SELECT g.metric, g.w, g.k, n.v, n.own, CAST(n.t - g.k * g.w AS DOUBLE) / g.w - 0.5 AS d FROM grid g LEFT JOIN near n ON n.metric = g.metric AND n.k = g.k),
+            sums AS (
+              SELECT metric, w, k, count(*) FILTER (own = k) AS n, sum(v) FILTER (own = k) AS mine, coalesce(sum(1 - d * d / 6.25), 0) AS w0, sum((1 - d * d / 6.25) * d) AS w1, sum((1 - d * d / 6.25) * d * d) AS w2,
+                sum((1 - d * d / 6.25) * v) AS v0, sum((1 - d * d / 6.25) * d * v) AS v1, coalesce(sum((1 - d * d / 6.25) * (1 - d * d / 6.25)), 0) AS ww
+              FROM weighed GROUP BY metric, w, k),
+            fits AS (
+              SELECT metric, k * w AS t, n, mine, CASE WHEN ww > 1e-12 THEN w0 * w0 / ww ELSE 0 END AS support,
+                CASE WHEN w0 * w2 - w1 * w1 > 1e-6 * w0 * w0 THEN (w2 * v0 - w1 * v1) / (w0 * w2 - w1 * w1) WHEN w0 > 1e-12 THEN v0 / w0 END AS fit FROM sums),
+            out AS (SELECT metric, t, n, CASE WHEN support >= 2 - 1e-6 THEN fit WHEN n > 0 THEN mine / n END AS value, round(support, 5) AS support, n = 0 AS missing, n = 0 AND support >= 2 - 1e-6 AND fit IS NOT NULL AS filled FROM fits)
+            SELECT metric, t, n, {_digits_sql("value", 3)}, support, missing, filled FROM out""",
         "p5_found": _CALENDAR + "SELECT metric, t FROM totals WHERE c_7 = 0 AND c_30 > 0",
-        "p5_totals": _CALENDAR + f"""SELECT metric, t, c_7, c_30, {", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE round({c} / pow(10.0, floor(log10(abs({c})))) + 3.3e-8, 6) END AS {c}" for c in ("s_7", "s_30", "i_30"))}, round(c_7 / 7.0, 6) AS c_avg_7 FROM totals""",
+        "p5_totals": _CALENDAR + f"""SELECT metric, t, c_7, c_30, {", ".join(_digits_sql(c, 7) for c in ("s_7", "s_30", "i_30"))}, round(c_7 / 7.0, 6) AS c_avg_7 FROM totals""",
     }

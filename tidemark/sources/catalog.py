@@ -106,7 +106,9 @@ class Catalog:
     def metas(self) -> DataFrame:
         """name and settings of all stored metrics."""
         schema = "name string, interval_min bigint, interval_max bigint, interval_factor bigint"
-        return self.spark.read.schema(schema).json(f"{self.path}/meta") if self.exists(f"{self.path}/meta") else self.spark.createDataFrame([], schema)
+        if not self.exists(f"{self.path}/meta"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).json(f"{self.path}/meta").select("name", *SETTINGS)
 
     def insert(self, points: DataFrame) -> None:
         """Appends points (metric, t, v) of any number of metrics, and the level rows that they close, in a few jobs for each different settings.
