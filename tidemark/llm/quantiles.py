@@ -231,7 +231,9 @@ def merge_sketches(sketches: DataFrame, keys: list[str], salts: int = 16) -> Dat
             arrow = None
             for batch in batches:
                 arrow = batch.schema
-                for row in batch.select(names).to_pylist():
+                columns = batch.select(names).columns
+                for i in range(batch.num_rows):  # one sketch at a time in Python
+                    row = dict(zip(names, (c[i].as_py() for c in columns), strict=True))
                     this = tuple(row[k] for k in by)
                     if this != key or total is None:
                         if total is not None:
