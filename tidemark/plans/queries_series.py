@@ -71,8 +71,14 @@ def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
     return score_readings(_table(spark, sf, "raw_points"), _table(spark, sf, "metric_configs"))
 
 
+def p6_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What is implausible by the rules alone."""
+    rows = implausible_readings(_table(spark, sf, "raw_points"), _table(spark, sf, "metric_configs"))
+    return rows.where("impossible or frozen").select("metric", "t", "impossible", "frozen")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_grid, p5_found, p5_totals, p6_found, p6_scores)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_grid, p5_found, p5_totals, p6_found, p6_rules, p6_scores)}
 
 
 _CURRENT = """current AS (
@@ -138,6 +144,21 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN w0 * w2 - w1 * w1 > 1e-6 * w0 * w0 THEN (w2 * v0 - w1 * v1) / (w0 * w2 - w1 * w1) WHEN w0 > 1e-12 THEN v0 / w0 END AS fit FROM sums),
             out AS (SELECT metric, t, n, CASE WHEN support >= 2 - 1e-6 THEN fit WHEN n > 0 THEN mine / n END AS value, round(support, 5) AS support, n = 0 AS missing, n = 0 AND support >= 2 - 1e-6 AND fit IS NOT NULL AS filled FROM fits)
             SELECT metric, t, n, {_digits_sql("value", 3)}, support, missing, filled FROM out""",
+        "p6_rules": """
+            WITH series AS (
+              SELECT metric, t, v FROM (
+                SELECT metric, t, v, row_number() OVER (PARTITION BY metric, t ORDER BY arrived_at DESC, point_id DESC) AS rn FROM raw_points)
+              WHERE rn = 1 AND t > 0 AND v IS NOT NULL),
+            configured AS (
+              SELECT c.metric, c.t, c.v, coalesce(e.lo, p.lo) AS lo, coalesce(e.hi, p.hi) AS hi FROM series c
+              LEFT JOIN metric_configs e ON e.cfg_name = c.metric AND NOT e.is_prefix
+              LEFT JOIN metric_configs p ON p.is_prefix AND starts_with(c.metric, p.cfg_name || '.') AND e.cfg_name IS NULL),
+            linked AS (SELECT *, CASE WHEN v = lag(v) OVER w AND NOT isnan(v) THEN 0 ELSE 1 END AS begins FROM configured WINDOW w AS (PARTITION BY metric ORDER BY t)),
+            runs AS (SELECT *, sum(begins) OVER (PARTITION BY metric ORDER BY t) AS run FROM linked),
+            sized AS (SELECT *, count(*) OVER (PARTITION BY metric, run) >= 25 AS still FROM runs),
+            shares AS (SELECT *, avg(CASE WHEN still THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY metric) < 0.2 AS freezes FROM sized),
+            flagged AS (SELECT metric, t, NOT isfinite(v) OR abs(v) > 1e20 OR coalesce(v < lo, false) OR coalesce(v > hi, false) AS impossible, still AND freezes AS frozen FROM shares)
+            SELECT metric, t, impossible, frozen FROM flagged WHERE impossible OR frozen""",
         "p5_found": _CALENDAR + "SELECT metric, t FROM totals WHERE c_7 = 0 AND c_30 > 0",
         "p5_totals": _CALENDAR + f"""SELECT metric, t, c_7, c_30, {", ".join(_digits_sql(c, 7) for c in ("s_7", "s_30", "i_30"))}, round(c_7 / 7.0, 6) AS c_avg_7 FROM totals""",
     }
