@@ -255,6 +255,7 @@ DROP = {
     "csv": "id,name,x\n" + "".join(f"{k},{w},{k * 1.5}\n" for k, w in enumerate(WORDS)),
     "pipes": "| a | b |\n|---|---|\n" + "".join(f"| {w} | {k} |\n" for k, w in enumerate(WORDS)),
     "aligned": "".join(f"{w:<14}{k:>6}{k * 1.25:>9.2f}  ok\n" for k, w in enumerate(WORDS)),
+    "aligned after a word": "The rows are these, and they were not in the log as it was.\nAnd the rest of it is with them.\n" + "".join(f"{w:<14}{k:>6}{k * 1.25:>9.2f}  ok\n" for k, w in enumerate(WORDS)),
     "log": "".join(f"2024-01-02 03:04:{k:02d} INFO {w} done\n" for k, w in enumerate(WORDS)),
     "hex": "".join(f"{16 * k:08x}  f0 35 6a 1f 2f b9 5f 09 ba 29 55 25 80 ba 53 f3\n" for k in range(20)),
     "base64": "fWdD2ifmO80bBH2dJTA3mj+4EOPyJdidlbM8oR+VcOnhPY8FerUYJtJHiQy0BB3sqp7ohsagm+F8\n" * 3 + "Bn07cUTsJeIcLb91edpaPfSw2WecNuKyXkI+jzn5lQrV+dy+Fykm73myX4e6t/EboTO1aLYqZ+3=\n",
@@ -288,6 +289,7 @@ def test_every_statistic_decides_something():
     assert "random" in changed_without("symbol_ratio", "control_ratio") and "consonants" in changed_without("vowel_ratio", instead=1.0)
     assert {"comments", "sentences"} <= changed_without("common_words")
     assert "sentences" in changed_without("punctuated_lines") and "sentences" in changed_without("item_words")
+    assert "aligned after a word" in changed_without("digit_ratio")
     assert {"zeros", "embedded", "comments"} <= changed_without("source_share") and "yaml lists" in changed_without("config_share")
 
 

@@ -74,6 +74,10 @@ def _cells(line: str) -> tuple[str, int] | None:
     return None
 
 
+#: Kinds of lines that may be source.
+_OPEN_KINDS = frozenset(("text", "word", "aligned", "item"))
+
+
 def _kind(s: str) -> str:
     m = _LINE.match(s)
     if m:
@@ -95,7 +99,9 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_SPACE, _DIGIT, _LETTER, _VOWEL, _CONTROL = (1 << k for k in range(5))
+_SPACE, _DIGIT, _LETTER, _VOWEL, _CONTROL = range(5)
+#: (5, 32): which sets of bits have each bit.
+_HAS = np.array([[k >> bit & 1 for k in range(32)] for bit in range(5)])
 
 
 def _periodic(c: np.ndarray) -> float:
@@ -149,9 +155,9 @@ def _grams(words: list[str]) -> tuple[float, float, float, float]:
 
 def _duplicates(parts: list[str]) -> float:
     """The share of the characters that lie in repeats of a part that came before."""
-    total = sum(map(len, parts))
-    if not total:
+    if len(set(parts)) == len(parts):
         return 0.0
+    total = sum(map(len, parts))
     return sum((n - 1) * len(p) for p, n in Counter(parts).items() if n > 1) / total
 
 
@@ -179,8 +185,9 @@ def verdict(s: SimpleNamespace) -> bool:
         if not (voice and (s.source_share >= EMBEDDED or s.item_words >= 15 and s.punctuated_lines >= 0.5)):
             listed += s.item_share
     table = s.row_share
-    if not voice and not program and not config:
-        table += s.cells_share + s.aligned_share
+    if not program and not config:
+        # enumerations in running words aren't rows, nor are gaps between them, unless figures stand in between
+        table += (0.0 if voice else s.cells_share) + (0.0 if voice and s.digit_ratio < 0.08 else s.aligned_share)
     repeated = 0.0
     if not program and not config:
         # periods cover their own characters only; a passage that makes up half of a text makes all of it repetition
@@ -188,10 +195,10 @@ def verdict(s: SimpleNamespace) -> bool:
         repeated = max(s.periodic_share, whole if whole > 0.5 else 0.0)
     blob = s.blob_share if s.source_share < EMBEDDED else 0.0
     form = listed + table + s.log_share + blob
-    # no known form, no voice, no source: signs instead of words, words without vowels, or characters that aren't text
+    # no known form and no source: signs instead of words, words without vowels, or characters that aren't text
     signs = s.symbol_ratio > 0.3 and s.source_share < PROGRAM and not config
     mute = s.vowel_ratio < 0.15 and s.n_words >= 4 and s.source_share < PROGRAM and not config
-    random = mute or not voice and (signs or s.control_ratio > 0.02)
+    random = mute or signs or s.control_ratio > 0.02
     return bool(form + repeated > 0.5 or random and s.n_chars >= 16)
 
 
@@ -202,19 +209,20 @@ def measures(text: str) -> SimpleNamespace:
     total, n_words, n = sum(map(len, words)), len(words), max(1, len(text))
     points = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind_of = _CLASS[np.minimum(points, 0x500)]
-    n_of = np.bincount(kind_of, minlength=32)
-    of = lambda bit: int(n_of[[k for k in range(32) if k & bit]].sum())
-    letters = of(_LETTER)
+    counts = (_HAS @ np.bincount(kind_of, minlength=32)).tolist()
+    letters = counts[_LETTER]
     lines = [x for x in (y.strip() for y in text.splitlines()) if x]
     kinds = [_kind(x) for x in lines]
     chars, number = Counter(), Counter(kinds)
     for k, x in zip(kinds, lines, strict=True):
         chars[k] += len(x)
     body = max(1, sum(chars.values()))
-    code = [k in ("text", "word", "aligned", "item") and (x[-1] in ";{}" or bool(_CODE.search(x))) for k, x in zip(kinds, lines, strict=True)]
+    code = [k in _OPEN_KINDS and (x[-1] in ";{}" or _CODE.search(x) is not None) for k, x in zip(kinds, lines, strict=True)]
     source = sum(len(x) for k, x, c in zip(kinds, lines, code, strict=True) if c and k in ("text", "word", "aligned"))
     # an item that goes on in the next line is the beginning of a paragraph
-    whole = [x for k, x, c, after, stop in zip(kinds, lines, code, [*kinds[1:], ""], [*lines[1:], ""], strict=False) if k == "item" and not (after == "text" and stop[:1].islower())]
+    whole = []
+    if number["item"]:
+        whole = [x for k, x, after, stop in zip(kinds, lines, [*kinds[1:], ""], [*lines[1:], ""], strict=True) if k == "item" and not (after == "text" and stop[:1].islower())]
     # separated values: one number of cells for most of the lines that may be rows
     shapes: Counter = Counter()
     size: Counter = Counter()
@@ -234,16 +242,16 @@ def measures(text: str) -> SimpleNamespace:
     share = lambda x: x / body
     return SimpleNamespace(
         n_chars=len(text), n_words=n_words, n_lines=len(lines), mean_word_length=total / n_words if n_words else 0.0,
-        symbol_ratio=max(0, len(text) - of(_SPACE) - total) / n, digit_ratio=of(_DIGIT) / n,
-        vowel_ratio=of(_VOWEL) / letters if 2 * letters > total else 1.0, control_ratio=(of(_CONTROL) + text.count("\ufffd")) / n,
+        symbol_ratio=max(0, len(text) - counts[_SPACE] - total) / n, digit_ratio=counts[_DIGIT] / n,
+        vowel_ratio=counts[_VOWEL] / letters if 2 * letters > total else 1.0, control_ratio=(counts[_CONTROL] + text.count("\ufffd")) / n,
         punctuated_lines=sum(x.endswith(_ENDS) for x in lines) / max(1, len(lines)), common_words=sum(map(COMMON_WORDS.__contains__, words)) / max(1, n_words),
         duplicate_lines=_duplicates(lines), duplicate_paragraphs=_duplicates([q.strip() for q in re.split(r"\r?\n\s*\n", text) if q.strip()]),
-        top_2gram=top[0], top_3gram=top[1], top_4gram=top[2], repeated_5grams=top[3], periodic_share=_periodic(points[kind_of & _SPACE == 0]),
+        top_2gram=top[0], top_3gram=top[1], top_4gram=top[2], repeated_5grams=top[3], periodic_share=_periodic(points[kind_of & 1 == 0]),
         item_share=share(sum(map(len, whole))), item_words=sum(len(x.split()) for x in whole) / max(1, len(whole)),
         word_list_share=share(chars["word"]) if number["word"] >= 5 and number["word"] > 0.5 * len(lines) else 0.0, lock_share=share(chars["lock"]),
         row_share=share(chars["pipe"] + certain), cells_share=share(cells), aligned_share=share(aligned),
         log_share=share(chars["hex"] + chars["log"]), blob_share=share(chars["blob"]), source_share=share(source),
-        config_share=len(_YAML.findall(text)) / max(1, len(lines)) if number["item"] or number["word"] or number["text"] else 0.0,
+        config_share=len(_YAML.findall(text)) / max(1, len(lines)) if ":" in text else 0.0,
     )
 
 
