@@ -131,6 +131,34 @@ def test_long_gaps_and_empty(spark):
     assert (r.n, r.a, r.b, r.covered) == (200_000, 8, 800_004, 800_008 - 10)
 
 
+def scans_of(df):
+    """The filters on t of each scan of files."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.findall(r"(LessThan|GreaterThan|LessThanOrEqual|GreaterThanOrEqual)\(t,", x) for x in re.findall(r"PushedFilters: \[([^\n]*?)\]", plan)]
+
+
+def test_both_bounds_reach_every_scan_of_a_range(spark, points, levels, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    points.write.parquet(f"{tmp_path}/raw")
+    levels.write.partitionBy("interval").parquet(f"{tmp_path}/levels")
+    raw, rows = spark.read.parquet(f"{tmp_path}/raw"), spark.read.parquet(f"{tmp_path}/levels")
+    b, e = at(25), at(215)
+    both = lambda filters: any(x.startswith("Greater") for x in filters) and any(x.startswith("Less") for x in filters)
+    for scope in ((CLOSED, CLOSED), (CLOSED, EXTENDED), (EXTENDED, OPEN), (EXTENDED, EXTENDED)):
+        found = scans_of(scans.raw_scan(raw, b, e, scope))
+        assert both(found[0]) and len(found) == 1 + scope.count(EXTENDED) and all(found)
+    found = scans_of(agg.aggregate(raw, b, e))
+    assert all(found) and sum(both(x) for x in found) >= 1  # the others are before the begin and after the end
+    ends = spark.createDataFrame([("foo", at(11), at(225))], "metric string, first bigint, last bigint")
+    plan = agg.aggregate_hierarchical(raw, rows, CONFIG, b, e, ends)._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.split("\n") if "PushedFilters" in line]
+    of_raw, of_levels = [x for x in reads if "/raw]" in x], [x for x in reads if "/levels]" in x]
+    assert of_raw and all("GreaterThanOrEqual(t," in x and "LessThan" in x for x in of_raw)
+    assert of_levels and all(("GreaterThanOrEqual(t," in x or "EqualTo(t," in x) and "interval" in x.partition("PartitionFilters")[2].partition("PushedFilters")[0] for x in of_levels)
+
+
 def test_hierarchical_equals_direct(spark):
     """Many metrics at once: dense and sparse ones, some that begin or end within the range, with points on and off the grid."""
     import random

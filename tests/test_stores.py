@@ -133,6 +133,25 @@ def test_checks_of_sound_metrics_are_empty(spark):
     assert quality.corrupt_metrics(pts, levels, config, day - 1).count() == 1  # all in the future
 
 
+def test_shared_tables(spark, monkeypatch):
+    from tidemark.sources import shared
+
+    monkeypatch.setattr(shared, "_made", {})
+    got = shared.materialize(spark.range(3), "x")
+    assert got.count() == 3 and len(shared._made) == 1
+    assert shared.clear(spark) == 1 and shared.clear(spark) == 0
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="share"):
+        shared.shared_dir(Cluster)
+
+
 def test_texts(spark):
     row = spark.createDataFrame([("m", 90 * SECOND, 1_519_130_000 * SECOND + 7, 1.0, 2.0, 3.0, 2, 4.0, 5)], "metric string, interval bigint, t bigint, mn double, mx double, s double, c bigint, i double, a bigint")
     got = row.select(duration_text("interval"), time_text("t"), row_text(), duration_text(F.lit(-5).cast("bigint"))).first()

@@ -207,9 +207,9 @@ def with_season(described: DataFrame) -> DataFrame:
     days = (F.max("b").over(Window.partitionBy("metric")) - F.min("a").over(Window.partitionBy("metric"))) / DAY_NS
     profile = materialize(by.withColumn("days", days).where((F.col("days") >= PHASED) & (F.col("spread") > 0)).select("metric", "hour", "usual", "spread"), "profile")
     z = F.abs(F.col("v") - F.col("usual")) / F.col("spread")
-    code = F.when(F.isnan(z) | (z > 200), 15).otherwise(F.least(F.floor(2 * F.log2(1 + z)), F.lit(15))).cast("int")
+    code = F.when(z.isNull(), 0).when(F.isnan(z) | (z > 200), 15).otherwise(F.least(F.floor(2 * F.log2(1 + z)), F.lit(15))).cast("int")
     out = described.withColumn("hour", hour).join(profile, ["metric", "hour"], "left")
-    return out.select("metric", "t", "v", F.col("cell").bitwiseOR(F.shiftleft(F.coalesce(code, F.lit(0)), 16)).alias("cell"), "flags")
+    return out.select("metric", "t", "v", F.col("cell").bitwiseOR(F.shiftleft(code, 16)).alias("cell"), "flags")
 
 
 def _score_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

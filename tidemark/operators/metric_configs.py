@@ -51,7 +51,8 @@ def attach_configs(points: DataFrame, configs: DataFrame, columns: list[str], me
     depths = sorted({name.count(".") + 1 for name in table.prefix}, reverse=True)
     points = points.drop(*columns)
     one = F.struct(*columns)
-    unique = configs.dropDuplicates(["cfg_name", "is_prefix"])
+    rows = [tuple(row[c] for c in configs.columns) for row in (*table.exact.values(), *table.prefix.values())]
+    unique = configs.sparkSession.createDataFrame(rows, configs.schema)
 
     def side(name: str, where: Column) -> DataFrame:
         return F.broadcast(unique.where(where).select(F.col("cfg_name").alias(f"__k{name}"), one.alias(f"__c{name}")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DAY, SECOND, RollupConfig
 from tidemark.functions.ordered import with_position
 from tidemark.functions.text import duration_text, row_text, time_text
-from tidemark.model import LEVEL, LEVEL_COLUMNS, VALUES, mean, mean_integral, mean_sum
+from tidemark.model import LEVEL, LEVEL_COLUMNS, RAW, VALUES, mean, mean_integral, mean_sum
 from tidemark.operators import aggregate as agg
 from tidemark.operators import quality, retrieve, rollup, scans
 from tidemark.operators.scans import CLOSED, EXTENDED, INFINITY, OPEN
@@ -83,11 +83,12 @@ _stores: dict[tuple[str, ...], str] = {}
 
 
 def _store(spark: SparkSession, sf: str) -> str:
-    """The pyramid of the events as stored tables, built once in an application: levels (a folder an interval, in order of metric and time), and where points begin and end."""
+    """The events and their pyramid as stored tables, built once in an application: raw points and levels (a folder an interval) in order of metric and time, and where points begin and end."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _stores:
         at, rows = shared_path(spark, "pyramid"), points(spark, sf)
         rollup.pyramid(rows, CONFIG).repartition("interval").sortWithinPartitions("interval", "metric", "t").write.partitionBy("interval").parquet(f"{at}/levels")
+        rows.repartitionByRange("metric", "t").sortWithinPartitions("metric", "t").write.parquet(f"{at}/raw")
         scans.time_range(rows).coalesce(1).write.parquet(f"{at}/ends")
         _stores[key] = at
     return _stores[key]
@@ -98,6 +99,11 @@ def _levels(spark, sf) -> DataFrame:
     return spark.read.schema(LEVEL).parquet(f"{_store(spark, sf)}/levels").select(*LEVEL_COLUMNS)
 
 
+def _raw(spark, sf) -> DataFrame:
+    """The stored points."""
+    return spark.read.schema(RAW).parquet(f"{_store(spark, sf)}/raw")
+
+
 def _ends(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{_store(spark, sf)}/ends")
 
@@ -224,32 +230,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_by_user": lambda s, d: shaped(rollup.one_level(user_points(s, d), CONFIG, DAY)),
         "rollup_orders_weekly": lambda s, d: shaped(rollup.one_level(order_points(s, d), WEEKS, 49 * DAY)),
         "rollup_incremental": _incremental,
-        "range_per_metric": lambda s, d: scans.time_range(points(s, d)),
-        "count_all": lambda s, d: scans.count(points(s, d)),
+        "range_per_metric": lambda s, d: scans.time_range(_raw(s, d)),
+        "count_all": lambda s, d: scans.count(_raw(s, d)),
         "metric_names": lambda s, d: scans.metric_names(points(s, d)),
-        "last_point": lambda s, d: scans.last_points(points(s, d)),
+        "last_point": lambda s, d: scans.last_points(_raw(s, d)),
         "last_row": lambda s, d: shaped(scans.last_rows(_levels(s, d), DAY)),
-        "point_before_or_on": lambda s, d: scans.point_before_or_on(points(s, d), B),
-        "point_on_or_after": lambda s, d: scans.point_on_or_after(points(s, d), B),
-        "retrieve_min_samples": lambda s, d: shaped(retrieve.retrieve_samples(points(s, d), _levels(s, d), CONFIG, B, E, 100)),
-        "retrieve_raw_rows": lambda s, d: shaped(retrieve.retrieve_rows(points(s, d), _levels(s, d), CONFIG, B, E, HOUR - 1, (CLOSED, EXTENDED))),
-        "flex_raw": lambda s, d: retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, 60 * SECOND, smooth=False)[1],
-        "flex_level": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, 5 * HOUR, (EXTENDED, OPEN), smooth=False)[1]),
-        "flex_smooth_level": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, 5 * HOUR, (EXTENDED, OPEN))[1], "span_ns"),
-        "flex_single": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, -1)[1]),
-        "flex_fallback": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, E, LATE, 365 * DAY, (CLOSED, EXTENDED), smooth=False)[1]),
-        "flex_clamped": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, EARLY, LATE, 365 * DAY, (EXTENDED, OPEN))[1], "span_ns"),
-        "flex_dense": lambda s, d: shaped(retrieve.retrieve_flex(points(s, d), _levels(s, d), CONFIG, B, E, DENSE)[1]),
-        "smooth_raw": lambda s, d: shaped(retrieve.smooth_points(scans.raw_scan(points(s, d), B, E, (EXTENDED, EXTENDED)), B, E, 5000 * SECOND)),
+        "point_before_or_on": lambda s, d: scans.point_before_or_on(_raw(s, d), B),
+        "point_on_or_after": lambda s, d: scans.point_on_or_after(_raw(s, d), B),
+        "retrieve_min_samples": lambda s, d: shaped(retrieve.retrieve_samples(_raw(s, d), _levels(s, d), CONFIG, B, E, 100)),
+        "retrieve_raw_rows": lambda s, d: shaped(retrieve.retrieve_rows(_raw(s, d), _levels(s, d), CONFIG, B, E, HOUR - 1, (CLOSED, EXTENDED))),
+        "flex_raw": lambda s, d: retrieve.retrieve_flex(_raw(s, d), _levels(s, d), CONFIG, B, E, 60 * SECOND, smooth=False)[1],
+        "flex_level": lambda s, d: shaped(retrieve.retrieve_flex(_raw(s, d), _levels(s, d), CONFIG, B, E, 5 * HOUR, (EXTENDED, OPEN), smooth=False)[1]),
+        "flex_smooth_level": lambda s, d: shaped(retrieve.retrieve_flex(_raw(s, d), _levels(s, d), CONFIG, B, E, 5 * HOUR, (EXTENDED, OPEN))[1], "span_ns"),
+        "flex_single": lambda s, d: shaped(retrieve.retrieve_flex(_raw(s, d), _levels(s, d), CONFIG, B, E, -1)[1]),
+        "flex_fallback": lambda s, d: shaped(retrieve.retrieve_flex(_raw(s, d), _levels(s, d), CONFIG, E, LATE, 365 * DAY, (CLOSED, EXTENDED), smooth=False)[1]),
+        "flex_clamped": lambda s, d: shaped(retrieve.retrieve_flex(_raw(s, d), _levels(s, d), CONFIG, EARLY, LATE, 365 * DAY, (EXTENDED, OPEN))[1], "span_ns"),
+        "flex_dense": lambda s, d: shaped(retrieve.retrieve_flex(_raw(s, d), _levels(s, d), CONFIG, B, E, DENSE)[1]),
+        "smooth_raw": lambda s, d: shaped(retrieve.smooth_points(scans.raw_scan(_raw(s, d), B, E, (EXTENDED, EXTENDED)), B, E, 5000 * SECOND)),
         "smooth_levels": lambda s, d: shaped(retrieve.smooth_rows(scans.level_scan(_levels(s, d), HOUR, B, E), 7 * HOUR), "span_ns"),
-        "aggregate_range": lambda s, d: shaped(agg.aggregate(points(s, d), B, E)),
-        "aggregate_hierarchical": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, B, E, _ends(s, d))),
-        "aggregate_narrow": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, NB, NE, _ends(s, d))),
-        "aggregate_clamped": lambda s, d: shaped(agg.aggregate_hierarchical(points(s, d), _levels(s, d), CONFIG, EARLY, LATE)),
+        "aggregate_range": lambda s, d: shaped(agg.aggregate(_raw(s, d), B, E)),
+        "aggregate_hierarchical": lambda s, d: shaped(agg.aggregate_hierarchical(_raw(s, d), _levels(s, d), CONFIG, B, E, _ends(s, d))),
+        "aggregate_narrow": lambda s, d: shaped(agg.aggregate_hierarchical(_raw(s, d), _levels(s, d), CONFIG, NB, NE, _ends(s, d))),
+        "aggregate_clamped": lambda s, d: shaped(agg.aggregate_hierarchical(_raw(s, d), _levels(s, d), CONFIG, EARLY, LATE)),
         "aggregate_by_user": lambda s, d: shaped(agg.aggregate_hierarchical(user_points(s, d), rollup.pyramid(user_points(s, d), CONFIG), CONFIG, B, E)),
-        "aggregate_before_data": lambda s, d: shaped(agg.aggregate(points(s, d), EARLY, EARLY + DAY)),
+        "aggregate_before_data": lambda s, d: shaped(agg.aggregate(_raw(s, d), EARLY, EARLY + DAY)),
         "aggregate_rows": lambda s, d: shaped(agg.aggregate_rows(_levels(s, d), DAY, B, E)),
-        "means": lambda s, d: agg.aggregate(points(s, d), B, E).select("metric", F.round(mean_sum(), 6).alias("mean_sum"), F.round(mean_integral(), 6).alias("mean_integral"), F.round(mean(), 6).alias("mean")),
+        "means": lambda s, d: agg.aggregate(_raw(s, d), B, E).select("metric", F.round(mean_sum(), 6).alias("mean_sum"), F.round(mean_integral(), 6).alias("mean_integral"), F.round(mean(), 6).alias("mean")),
         "check_raw_issues": lambda s, d: quality.check_raw(faulty_points(s, d)),
         "check_raw_fast": lambda s, d: quality.check_raw(faulty_points(s, d), fast=True),
         "check_level_rows": lambda s, d: quality.check_levels(_faulty_levels(s, d), _ends(s, d)),
@@ -277,9 +283,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for a, x in NAMES.items():
         for b, y in NAMES.items():
-            q[f"count_scope_{a}_{b}"] = lambda s, d, z=(x, y): scans.count(points(s, d), B, E, z)
-            q[f"retrieve_raw_{a}_{b}"] = lambda s, d, z=(x, y): retrieve.retrieve_points(points(s, d), NB, NE + 3 * HOUR, z).select("metric", "t", "v")
-            q[f"retrieve_level_{a}_{b}"] = lambda s, d, z=(x, y): shaped(scans.level_scan(rollup.lowest_level(points(s, d), HOUR), HOUR, NB, NE + 30 * HOUR, z))
+            q[f"count_scope_{a}_{b}"] = lambda s, d, z=(x, y): scans.count(_raw(s, d), B, E, z)
+            q[f"retrieve_raw_{a}_{b}"] = lambda s, d, z=(x, y): retrieve.retrieve_points(_raw(s, d), NB, NE + 3 * HOUR, z).select("metric", "t", "v")
+            q[f"retrieve_level_{a}_{b}"] = lambda s, d, z=(x, y): shaped(scans.level_scan(_levels(s, d), HOUR, NB, NE + 30 * HOUR, z))
     return q
 
 
