@@ -95,12 +95,18 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return text_statistics(_table(spark, sf, "documents"))
 
 
+def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics that SQL can count too."""
+    rounded = (F.round(c, 6).alias(c) for c in ("digit_ratio", "punctuated_lines", "duplicate_lines"))
+    return text_statistics(_table(spark, sf, "documents")).select("doc_id", "n_chars", "n_lines", *rounded)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return text_statistics(_table(spark, sf, "documents")).where("not_prose").select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_percentiles, p3_families, p3_within, p4_found, p4_runs, p7_found, p8_sample, p8_shares, p8_rules, p8_shards, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p3_percentiles, p3_families, p3_within, p4_found, p4_runs, p7_found, p8_sample, p8_shares, p8_rules, p8_shards, p9_found, p9_counts, p9_statistics)}
 
 
 _RUNS = """
@@ -121,12 +127,29 @@ _RUNS = """
 """
 
 
+# What ends a line, and what is white space at its ends, as in Python.
+_LINE_END = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_COUNTS = rf"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    lines AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(string_split_regex(text, '{_LINE_END}')), '^{_SPACE}+', ''), '{_SPACE}+$', '') AS line FROM docs),
+    kept AS (SELECT doc_id, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY doc_id, line),
+    counted AS (
+      SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, sum(CASE WHEN regexp_matches(line, '[.!?"''…:;)”。]$') THEN n ELSE 0 END) / sum(n) AS punctuated_lines,
+        sum((n - 1) * length(line)) / sum(n * length(line)) AS duplicate_lines FROM kept GROUP BY doc_id)
+    SELECT d.doc_id, length(text) AS n_chars, coalesce(n_lines, 0) AS n_lines, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1), 6) AS digit_ratio,
+      round(coalesce(punctuated_lines, 0), 6) AS punctuated_lines, round(coalesce(duplicate_lines, 0), 6) AS duplicate_lines
+    FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Percentiles within a bound, alignments, samples and text rules have no SQL: their tests compare with brute force. What has to hold for all percentiles and samples has."""
     usable = "SELECT metric FROM (SELECT metric, v, row_number() OVER (PARTITION BY metric, t ORDER BY arrived_at DESC, point_id DESC) AS rn FROM raw_points WHERE t > 0) WHERE rn = 1 AND v IS NOT NULL AND isfinite(v) AND abs(v) <= 1e20"
     return {
         "p3_within": f"SELECT DISTINCT metric, true AS n_right, p, true AS within FROM ({usable}), (SELECT CAST(unnest({PROBABILITIES}) AS DOUBLE) AS p)",
         "p8_rules": "SELECT source, true AS no_copy_twice, true AS within_repeats, true AS share_met FROM mix_targets WHERE source IS NOT NULL",
+        "p9_counts": _COUNTS,
         "p8_shards": "SELECT CAST(0 AS BIGINT) AS split_shards, CAST(0 AS BIGINT) AS rows_out_of_order",
         "p4_found": _RUNS.format(more=""),
         "p4_runs": _RUNS.format(more=", count(*) AS n, max(t) - min(t) AS duration_ns"),
