@@ -117,7 +117,8 @@ class FolderRuns:
     """Runs over a landing folder of Parquet files. ``out`` gets a folder ``batch_id=...`` a batch, ``manifest`` likewise.
 
     The function that processes a batch gets the rows with a column ``input``, the path of their file, and has to
-    keep it: by it the results of a file that is processed again supersede its earlier ones. Files that have gone keep their results.
+    keep it: by it the results of a file that is processed again supersede its earlier ones. (A column of the files
+    with that name is hidden by it.) Files that have gone keep their results; files without rows are processed and have none.
     """
 
     def __init__(self, spark: SparkSession, landing: str, out: str, manifest: str, glob: str = "*.parquet", trust_times: bool = True):
