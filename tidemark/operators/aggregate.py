@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import RollupConfig, grid_ceil, interval_begin
@@ -72,18 +72,23 @@ def _edge_frame(ends: DataFrame, kind: str, keep: Column, start: Column, stop: C
     return out.join(held, "metric", "left")
 
 
-def _edges(near: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    """metric and the six columns of each edge, from the points near it (metric, kind, t, v) through the first one at or after its end."""
-    near = near.join(edges.select("metric", "kind", "from", "to"), ["metric", "kind"]).where(F.col("t") >= F.col("from"))
-    nexts = near.where(F.col("t") >= F.col("to")).groupBy("metric", "kind").agg(F.min_by("v", "t").alias("next"))
-    rows = with_previous(near.where(F.col("t") < F.col("to")).select("metric", "kind", "t", "v"), width, keys=("metric", "kind"))
-    d = F.col("t") - F.col("p")
-    inside = rows.groupBy("metric", "kind").agg(
-        F.min("v").alias("mn"), F.max("v").alias("mx"), F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"), F.sum(F.col("v") * d).alias("i"), F.sum(d).alias("a"),
-        F.min("t").alias("t0"), F.min_by("v", "t").alias("v0"), F.max("t").alias("t1"),
+def _edges(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """metric and the six columns of each edge, from the points near it (metric, kind, t, v) through the first one at or after its end.
+
+    An edge is at most two buckets of the lowest level wide, so its points are ordered in one task. One exchange: every
+    edge joins its points as a row without time, and so is there without points, too.
+    """
+    about = ["from", "to", "earlier", "held"]
+    rows = near.join(edges, ["metric", "kind"]).where(F.col("t") >= F.col("from")).select("metric", "kind", *about, "t", "v")
+    rows = rows.unionByName(edges.select("metric", "kind", *about, F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("double").alias("v")))
+    rows = rows.withColumn("p", F.lag("t").over(Window.partitionBy("metric", "kind").orderBy("t")))
+    t, v, d = F.col("t"), F.col("v"), F.col("t") - F.col("p")
+    own, beyond = t < F.col("to"), t >= F.col("to")
+    out = rows.groupBy("metric", "kind", *about).agg(
+        F.min(F.when(own, v)).alias("mn"), F.max(F.when(own, v)).alias("mx"), F.sum(F.when(own, v)).alias("s"), F.count(F.when(own, 1)).alias("c"), F.sum(F.when(own, v * d)).alias("i"), F.sum(F.when(own, d)).alias("a"),
+        F.min(F.when(own, t)).alias("t0"), F.min_by(v, F.when(own, t)).alias("v0"), F.max(F.when(own, t)).alias("t1"), F.min_by(v, F.when(beyond, t)).alias("next"),
     )
-    out = edges.join(inside, ["metric", "kind"], "left").join(nexts, ["metric", "kind"], "left")
-    some, reached = F.col("c").isNotNull(), F.coalesce("next", "held")
+    some, reached = F.col("c") > 0, F.coalesce("next", "held")
     lead = F.when(some & F.col("earlier"), F.col("t0") - F.col("from")).otherwise(0)
     tail = F.when(reached.isNull(), 0).when(some, F.col("to") - F.col("t1")).when(F.col("earlier"), F.col("to") - F.col("from")).otherwise(0)
     return out.select("metric", *_or_identity({
@@ -134,6 +139,6 @@ def aggregate_hierarchical(points: DataFrame, levels: DataFrame, config: RollupC
         frames.append(ended)
         near.append(points.where((t >= low) & (t <= high)).withColumn("kind", F.lit("tail")))
     if frames:
-        parts = parts.unionByName(_edges(reduce(DataFrame.unionByName, near), reduce(DataFrame.unionByName, frames), width))
-    out = ends.select("metric").join(parts.groupBy("metric").agg(*merged()), "metric", "left")
-    return out.select("metric", *_or_identity({c: F.col(c) for c in VALUES}))
+        parts = parts.unionByName(_edges(reduce(DataFrame.unionByName, near), reduce(DataFrame.unionByName, frames)))
+    nothing = ends.select("metric", *_or_identity({c: F.lit(None) for c in VALUES}))
+    return parts.unionByName(nothing).groupBy("metric").agg(*merged())

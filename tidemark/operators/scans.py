@@ -54,10 +54,13 @@ def raw_scan(points: DataFrame, begin: int, end: int, scope: Scopes = (CLOSED, E
         whole = F.struct(*(F.col(c) for c in points.columns))
         ends = points.groupBy("metric").agg(F.array_distinct(F.array_compact(F.array(F.max_by(F.when(before, whole), F.when(before, F.col("t"))), F.min_by(F.when(after, whole), F.when(after, F.col("t")))))).alias("__rows"))
         return ends.select(F.explode("__rows").alias("__row")).select(*(F.col(f"__row.{c}").alias(c) for c in points.columns))
+    # what lies beyond one side is within the other, except where an empty range leaves out its only time
     if scope[0] is EXTENDED:
-        out = out.unionByName(_outermost(points.where(before), "max_by").where(right if scope[1] is not EXTENDED else F.lit(True)))
+        edge = _outermost(points.where(before), "max_by")
+        out = out.unionByName(edge.where(right) if scope[1] is OPEN and begin == end else edge)
     if scope[1] is EXTENDED:
-        out = out.unionByName(_outermost(points.where(after), "min_by").where(left if scope[0] is not EXTENDED else F.lit(True)))
+        edge = _outermost(points.where(after), "min_by")
+        out = out.unionByName(edge.where(left) if scope[0] is OPEN and begin == end else edge)
     return out
 
 

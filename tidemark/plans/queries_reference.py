@@ -226,7 +226,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_hourly": _rollup(HOUR),
         "rollup_daily": _rollup(DAY),
         "rollup_24d": _rollup(24 * DAY),
-        "rollup_pyramid": lambda s, d: shaped(_levels(s, d)),
+        "rollup_pyramid": lambda s, d: shaped(rollup.pyramid(points(s, d), CONFIG)),
+        "stored_pyramid": lambda s, d: shaped(_levels(s, d)),
         "rollup_by_user": lambda s, d: shaped(rollup.one_level(user_points(s, d), CONFIG, DAY)),
         "rollup_orders_weekly": lambda s, d: shaped(rollup.one_level(order_points(s, d), WEEKS, 49 * DAY)),
         "rollup_incremental": _incremental,
@@ -387,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT metric, interval, t, {_ROUNDED} FROM win"""
     one = f"WITH {_RAW}, {_NEIGHBOURS}, {_aggregate(B, E)}"
     out = {
-        "rollup_hourly": level(HOUR), "rollup_daily": level(DAY), "rollup_24d": level(24 * DAY), "rollup_pyramid": pyramid, "rollup_incremental": pyramid, "stream_rollup": pyramid, "stream_restarted": pyramid,
+        "rollup_hourly": level(HOUR), "rollup_daily": level(DAY), "rollup_24d": level(24 * DAY), "rollup_pyramid": pyramid, "stored_pyramid": pyramid, "rollup_incremental": pyramid, "stream_rollup": pyramid, "stream_restarted": pyramid,
         "stream_late": f"WITH {_RAW} SELECT metric, t, v FROM raw WHERE t >= {SPLIT - 2 * DAY} AND t < {SPLIT}",
         "stream_order": "SELECT 'in order' AS delivery, 'taken' AS outcome UNION ALL SELECT 'late', 'OutOfOrder'",
         "rollup_by_user": level(DAY, _USERS), "rollup_orders_weekly": level(49 * DAY, _ORDERS),
