@@ -56,7 +56,8 @@ _NESTED = re.compile(r"[{}\[\]<>]|\w\(|\b0x")
 _WORD = re.compile(r"\w+")
 _ENDS = (".", "!", "?", '"', "'", "…", ":", ";", ")", "”", "。")
 _VOWELS = "aeiouyäöüáéíóúàèìòùâêîôûåæøœаеиоуыэюяαεηιουω"
-_CODE = re.compile(r"[;{}]$|^(?:def|class|return|import|from|if|for|while|func|fn|let|var|const|static|public|package|use|using|#include|SELECT|INSERT|CREATE|UPDATE)\b|^(?:\}|</?\w)|[\w\])]\s{0,8}[-+*/]?=\s{0,8}\S|\w\([^)]{0,200}\)\s{0,8}[;{:]?$|0x[0-9a-fA-F]{1,16}\w?,|^[-\d.,\s]+,$")
+_CODE = re.compile(r"^(?:\}|</?\w)|[\w\])]\s{0,8}[-+*/]?=\s{0,8}\S|\w\([^)]{0,200}\)\s{0,8}[;{:]?$|0x[0-9a-fA-F]{1,16}\w?,|^[-\d.,\s]+,$")
+_KEYWORD = re.compile(r"(?:def|class|return|import|from|if|for|while|func|fn|let|var|const|static|public|package|use|using|#include|SELECT|INSERT|CREATE|UPDATE)\b")
 _YAML = re.compile(r"^\s*(?:-\s+)?[\w.\"'/-]+\s*:(?:\s|$)", re.M)
 
 #: The longest period of repeated characters, and the least length of a stretch of them.
@@ -78,6 +79,13 @@ def _cells(line: str) -> tuple[str, int] | None:
 _OPEN_KINDS = frozenset(("text", "word", "aligned", "item"))
 
 
+def _is_code(x: str) -> bool:
+    """Whether a line looks like source. The search is made only where a character that it needs is there."""
+    if x[-1] in ";{}" or _KEYWORD.match(x):
+        return True
+    return ("=" in x or "(" in x or "0x" in x or x[0] in "}<" or x[-1] == ",") and _CODE.search(x) is not None
+
+
 def _kind(s: str) -> str:
     m = _LINE.match(s)
     if m:
@@ -217,7 +225,7 @@ def measures(text: str) -> SimpleNamespace:
     for k, x in zip(kinds, lines, strict=True):
         chars[k] += len(x)
     body = max(1, sum(chars.values()))
-    code = [k in _OPEN_KINDS and (x[-1] in ";{}" or _CODE.search(x) is not None) for k, x in zip(kinds, lines, strict=True)]
+    code = [k in _OPEN_KINDS and _is_code(x) for k, x in zip(kinds, lines, strict=True)]
     source = sum(len(x) for k, x, c in zip(kinds, lines, code, strict=True) if c and k in ("text", "word", "aligned"))
     # an item that goes on in the next line is the beginning of a paragraph
     whole = []
