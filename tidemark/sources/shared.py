@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -39,6 +41,15 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+@atexit.register
+def _clear_at_exit() -> None:
+    """What is left goes with the process, if its session is still there."""
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession() if _made else None
+        if spark is not None:
+            clear(spark)
+
+
 def materialize(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
