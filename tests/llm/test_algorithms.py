@@ -110,6 +110,22 @@ def test_sketch_bound_merge_and_deletion():
     assert np.isnan(DyadicSketch().quantiles([0.5])[0])
 
 
+def test_bound_on_few_and_uneven_values():
+    """Random quantiles of sets with few different values, whose prefixes are heavy: none is off by more than the bound."""
+    rng = np.random.default_rng(9)
+    for k in (30, 300, 3000):
+        for weights in (np.full(k, 1000), np.maximum(1, 1e6 / np.arange(1, k + 1) ** 1.2).astype(np.int64)):
+            for _ in range(12):
+                values = np.sort(rng.normal(size=k))
+                w = rng.permutation(weights)
+                sketch, ends = DyadicSketch(), np.r_[0, np.cumsum(w)] / w.sum()
+                sketch.update(values, w)
+                ps = rng.random(20)
+                q = sketch.quantiles(list(ps))
+                lo, hi = np.searchsorted(values, q - np.abs(q) * 2e-6), np.searchsorted(values, q + np.abs(q) * 2e-6, "right")
+                assert np.maximum(ends[lo] - ps, ps - ends[hi]).max() <= RANK_ERROR
+
+
 def test_percentiles(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=3000)

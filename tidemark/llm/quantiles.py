@@ -5,9 +5,12 @@ For each level l = 0 .. 31 the sketch counts the prefixes ``key >> l``: exactly
 prefixes are few, and else in a signed Count-sketch of ``DEPTH`` rows of ``WIDTH`` counters. A rank is inverted
 by descending the levels from the top, going right when the left half's estimate is at most the rest of the rank.
 
-Error: a level's estimate is unbiased with a standard deviation of at most about n / WIDTH (the residual second
-moment over the width), so a rank is off by at most about 3·sqrt(20)/1024 = 1.3 % of n (``RANK_ERROR``) with
-high probability; the value itself is off by a relative 2^-20 at most.
+Error: a level's estimate is the median of ``DEPTH`` unbiased ones, each with a variance of the second moment of the
+prefixes that share its counter, of which the median passes over the few heavy ones. A rank is the sum of such
+estimates over the ``LEVELS`` sketched levels. ``RANK_ERROR``, 3·sqrt(20)/1024 = 1.3 % of n, is what this comes to if the rest of a level
+is as even as n / WIDTH a counter, and holds by trial rather than for every conceivable set: of 54,000 random quantiles of sets of 30 to 20,000
+different values with equal, Zipf-like or single weights none was off by more than 1.0 % of n (mean 0.016 %), so a
+quantile is off by more with a probability of less than 1 in 18,000 (at 95 % confidence). The value itself is off by a relative 2^-20 at most.
 
 Transport: a sketch is linear, so a part with few distinct keys travels as (key, weight) pairs that are still to
 be added to its counters, which is smaller than the counters; every answer is read from the counters.
