@@ -11,7 +11,7 @@ from tidemark.config import RollupConfig
 from tidemark.operators.quality import RepairRules
 from tidemark.operators.scans import CLOSED, EXTENDED, OPEN
 from tidemark.plans import queries_reference as ref
-from tidemark.plans.queries_reference import CONFIG, DAY, HOUR, NB, NE, SECOND, SPLIT, B, E, points, shaped
+from tidemark.plans.queries_reference import CONFIG, DAY, HOUR, NB, NE, SPLIT, B, E, points, shaped
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.shared import shared_path
 
@@ -198,5 +198,3 @@ def oracle_sql() -> dict[str, str]:
         "catalog_repair": f"WITH {ref._RAW}, one AS (SELECT t, v FROM raw WHERE metric = 'click') SELECT 'm.backup-0' AS metric, t, v FROM one UNION ALL SELECT 'm', t, v FROM one WHERE v <= 100 AND NOT t BETWEEN {SPLIT} AND {SPLIT + 2 * DAY}",
     }
 
-
-__all__ = ["SECOND", "oracle_sql", "queries"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DAY, SECOND, RollupConfig
 from tidemark.functions.ordered import with_position
 from tidemark.functions.text import duration_text, row_text, time_text
-from tidemark.model import LEVEL, LEVEL_COLUMNS, RAW, VALUES, mean, mean_integral, mean_sum
+from tidemark.model import LEVEL, LEVEL_COLUMNS, RAW, mean, mean_integral, mean_sum
 from tidemark.operators import aggregate as agg
 from tidemark.operators import quality, retrieve, rollup, scans
 from tidemark.operators.scans import CLOSED, EXTENDED, INFINITY, OPEN
@@ -457,5 +457,3 @@ def oracle_sql() -> dict[str, str]:
             out[f"retrieve_level_{x}_{y}"] = f"WITH {_RAW}, {_level(HOUR)} SELECT metric, interval, t, {_ROUNDED} FROM level WHERE {_level_where(NB, NE + 30 * HOUR, HOUR, x, y)}"
     return out
 
-
-__all__ = ["CONFIG", "VALUES", "oracle_sql", "queries"]
