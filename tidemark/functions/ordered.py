@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_previous(points: DataFrame, chunk: int, t: str = "t", keys: tuple[str, ...] = ("metric",)) -> DataFrame:
-    """Adds ``p``, the time of the point before (null for the first), and ``last``, the last time of the key."""
+def with_previous(points: DataFrame, chunk: int, t: str = "t", keys: tuple[str, ...] = ("metric",), then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``p``, the time of the point before (null for the first), and ``last``, the last time of the key. Points of one time are in order of ``then``."""
     points = points.withColumn("__chunk", F.expr(f"{t} div {chunk}"))
     ends = points.groupBy(*keys, "__chunk").agg(F.max(t).alias("__end"))
     over = Window.partitionBy(*keys)
     ends = ends.withColumn("__before", F.lag("__end").over(over.orderBy("__chunk"))).withColumn("last", F.max("__end").over(over)).drop("__end")
-    w = Window.partitionBy(*keys, "__chunk").orderBy(t)
+    w = Window.partitionBy(*keys, "__chunk").orderBy(t, *then)
     out = points.withColumn("__lag", F.lag(t).over(w)).join(ends, [*keys, "__chunk"])
     return out.withColumn("p", F.coalesce("__lag", "__before")).drop("__chunk", "__lag", "__before")
 

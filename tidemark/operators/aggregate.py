@@ -39,11 +39,11 @@ def aggregate(points: DataFrame, begin: int, end: int) -> DataFrame:
     _check(begin, end)
     points = points.select("metric", "t", "v")
     t, first = F.col("t"), F.col("p").isNull()
-    near = with_previous(points.where((t >= begin) & (t < end)), max(1, (end - begin) // 64))
+    near = with_previous(points.where((t >= begin) & (t < end)), max(1, (end - begin) // 64), then=("v",))
     inside = near.groupBy("metric").agg(
         F.min("v").alias("mn"), F.max("v").alias("mx"), F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"),
-        F.sum(F.when(t < F.col("last"), F.col("v"))).alias("s_but_last"), F.sum(F.when(~first, F.col("v") * (t - F.col("p")))).alias("i"), F.sum(F.when(~first, t - F.col("p"))).alias("a"),
-        F.min("t").alias("t0"), F.min_by("v", "t").alias("v0"), F.max("t").alias("t1"),
+        F.sum(F.when(t < F.col("last"), F.col("v"))).alias("s_but_last"), F.count(F.when(t < F.col("last"), 1)).alias("c_but_last"), F.sum(F.when(~first, F.col("v") * (t - F.col("p")))).alias("i"), F.sum(F.when(~first, t - F.col("p"))).alias("a"),
+        F.min("t").alias("t0"), F.max(F.when(first, F.col("v"))).alias("v0"), F.max("t").alias("t1"),
     )
     before = points.where(t < begin).groupBy("metric").agg(F.lit(True).alias("earlier"))
     after = points.where(t >= end).groupBy("metric").agg(F.min_by("v", "t").alias("next")).withColumn("later", F.lit(True))
@@ -54,7 +54,7 @@ def aggregate(points: DataFrame, begin: int, end: int) -> DataFrame:
     reached = F.when(later & (some | earlier), F.col("next"))
     return out.select("metric", *_or_identity({
         "mn": F.least("mn", reached), "mx": F.greatest("mx", reached),
-        "s": F.when(later, F.col("s")).otherwise(F.col("s_but_last")), "c": F.when(later, F.col("c")).otherwise(F.col("c") - 1),
+        "s": F.when(later, F.col("s")).otherwise(F.col("s_but_last")), "c": F.when(later, F.col("c")).otherwise(F.col("c_but_last")),
         "i": F.coalesce("i", F.lit(0.0)) + F.coalesce(F.col("v0") * lead, F.lit(0.0)) + F.coalesce(reached * tail, F.lit(0.0)), "a": F.coalesce("a", F.lit(0)) + lead + tail,
     }))
 
@@ -81,12 +81,12 @@ def _edges(near: DataFrame, edges: DataFrame) -> DataFrame:
     about = ["from", "to", "earlier", "held"]
     rows = near.join(edges, ["metric", "kind"]).where(F.col("t") >= F.col("from")).select("metric", "kind", *about, "t", "v")
     rows = rows.unionByName(edges.select("metric", "kind", *about, F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("double").alias("v")))
-    rows = rows.withColumn("p", F.lag("t").over(Window.partitionBy("metric", "kind").orderBy("t")))
+    rows = rows.withColumn("p", F.lag("t").over(Window.partitionBy("metric", "kind").orderBy("t", "v")))
     t, v, d = F.col("t"), F.col("v"), F.col("t") - F.col("p")
     own, beyond = t < F.col("to"), t >= F.col("to")
     out = rows.groupBy("metric", "kind", *about).agg(
         F.min(F.when(own, v)).alias("mn"), F.max(F.when(own, v)).alias("mx"), F.sum(F.when(own, v)).alias("s"), F.count(F.when(own, 1)).alias("c"), F.sum(F.when(own, v * d)).alias("i"), F.sum(F.when(own, d)).alias("a"),
-        F.min(F.when(own, t)).alias("t0"), F.min_by(v, F.when(own, t)).alias("v0"), F.max(F.when(own, t)).alias("t1"), F.min_by(v, F.when(beyond, t)).alias("next"),
+        F.min(F.when(own, t)).alias("t0"), F.min_by(v, F.when(own, F.struct(t, v))).alias("v0"), F.max(F.when(own, t)).alias("t1"), F.min_by(v, F.when(beyond, F.struct(t, v))).alias("next"),
     )
     some, reached = F.col("c") > 0, F.coalesce("next", "held")
     lead = F.when(some & F.col("earlier"), F.col("t0") - F.col("from")).otherwise(0)

@@ -21,10 +21,11 @@ def lowest_level(points: DataFrame, interval: int, starts: DataFrame | None = No
     """The closed buckets of width ``interval`` from points (metric, t, v).
 
     ``starts`` (metric, start) are metrics whose buckets up to ``start`` are closed already: the first point's
-    stretch then begins there, and buckets before it don't appear. Times must be positive and unique in a metric.
+    stretch then begins there, and buckets before it don't appear. Times must be positive. Of points with one time all count,
+    and the one of the least value takes the stretch before them.
     Null metrics are a metric of their own only in windows, not in joins, and are left out, as are null times.
     """
-    seg = with_previous(points.where("metric is not null and t is not null").select("metric", "t", "v"), interval * CHUNK)
+    seg = with_previous(points.where("metric is not null and t is not null").select("metric", "t", "v"), interval * CHUNK, then=("v",))
     if starts is not None:
         seg = seg.join(starts.select("metric", "start"), "metric", "left").withColumn("p", F.coalesce("p", "start", "t"))
     else:

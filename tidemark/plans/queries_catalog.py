@@ -31,8 +31,8 @@ def _catalog(spark: SparkSession, sf: str) -> Catalog:
         path = shared_path(spark, "events")
         catalog = Catalog.from_config(spark, _config(path, ev=ENTRY))
         rows = points(spark, sf).withColumn("metric", F.concat(F.lit("ev."), "metric"))
-        catalog.insert(rows.where(F.col("t") < SPLIT))
-        catalog.insert(rows.where(F.col("t") >= SPLIT))
+        catalog.insert(rows.where(F.col("t") < SPLIT), repeated=True)  # as in SQL, each event is a point
+        catalog.insert(rows.where(F.col("t") >= SPLIT), repeated=True)
         _stores[key] = path
     return Catalog.from_config(spark, _config(_stores[key], ev={**ENTRY, "mode": "R"}))
 

@@ -110,10 +110,11 @@ class Catalog:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).json(f"{self.path}/meta").select("name", *SETTINGS)
 
-    def insert(self, points: DataFrame) -> None:
+    def insert(self, points: DataFrame, repeated: bool = False) -> None:
         """Appends points (metric, t, v) of any number of metrics, and the level rows that they close, in a few jobs for each different settings.
 
         Each metric must have a configuration, and be readable and writable (one that is only written is replaced, one at a time, by its own ``insert``).
+        A time that comes twice is refused, or if ``repeated`` each of its points is stored and counts; all have to be after those stored before.
         """
         entries = [(name, e.prefix, e.mode.value, *e.config.to_dict().values()) for name, e in self.entries.items()]
         table = self.spark.createDataFrame(entries, "cfg_name string, is_prefix boolean, rw_mode string, interval_min bigint, interval_max bigint, interval_factor bigint")
@@ -129,9 +130,9 @@ class Catalog:
             fresh.select("metric", F.col("metric").alias("name"), *SETTINGS).write.mode("append").partitionBy("metric").json(f"{self.path}/meta")
         for r in found.select(*SETTINGS).distinct().collect():  # as many as there are different settings
             own = found.where(" and ".join(f"{c} = {r[c]}" for c in SETTINGS)).select("metric")
-            self.append(points.select("metric", "t", "v").join(own, "metric", "left_semi"), RollupConfig(*(r[c] for c in SETTINGS)), own)
+            self.append(points.select("metric", "t", "v").join(own, "metric", "left_semi"), RollupConfig(*(r[c] for c in SETTINGS)), own, repeated)
 
-    def append(self, new: DataFrame, config: RollupConfig, own: DataFrame) -> None:
+    def append(self, new: DataFrame, config: RollupConfig, own: DataFrame, repeated: bool = False) -> None:
         """Appends the points of the metrics ``own``, all of which have these settings."""
         only = lambda df: df.join(own, "metric", "left_semi")
         levels = only(self.levels())
@@ -140,7 +141,8 @@ class Catalog:
         low = own.join(self.metas().select(F.col("name").alias("metric")), "metric", "left_semi").join(closed, "metric", "left").agg(F.min(F.coalesce("start", F.lit(0)))).first()[0] or 0
         tail = only(self.points().where(F.col("t") >= low)).join(closed, "metric", "left").where("start is null or t >= start").drop("start")
         last = tail.groupBy("metric").agg(F.max("t").alias("last"))
-        size = new.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("d"), F.min("t").alias("low")).join(last, "metric", "left")
+        times = F.count("t") if repeated else F.count_distinct("t")
+        size = new.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), times.alias("d"), F.min("t").alias("low")).join(last, "metric", "left")
         wrong = size.where("n <> d or low is null or low <= coalesce(last, 0)").first()
         if wrong is not None:
             raise OutOfOrder(f"times of {wrong['metric']} must rise and be after {wrong['last'] or 0}")
@@ -204,8 +206,8 @@ class StoredMetric:
             out = one if out is None else out.unionByName(one)
         return out
 
-    def insert(self, points: DataFrame) -> None:
-        """Appends points (t, v) and the level rows that they close. Times have to rise, from the last one stored on. A metric that is only written is emptied by its first insertion."""
+    def insert(self, points: DataFrame, repeated: bool = False) -> None:
+        """Appends points (t, v) and the level rows that they close. Times have to rise, from the last one stored on (``repeated``: one may come several times). A metric that is only written is emptied by its first insertion."""
         if not self.mode.writes:
             raise AccessError(f"{self.name} is for reading only")
         if self._fresh:
@@ -213,7 +215,7 @@ class StoredMetric:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         new = points.select(F.lit(self.name).alias("metric"), "t", "v")
-        self.catalog.append(new, self.config, self.spark.createDataFrame([(self.name,)], "metric string"))
+        self.catalog.append(new, self.config, self.spark.createDataFrame([(self.name,)], "metric string"), repeated)
         self._fresh = False
 
     def flush(self) -> None:
