@@ -6,6 +6,8 @@ crosses; its own bucket also gets the point's count and sum. A bucket exists onc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,17 +83,18 @@ def one_level(points: DataFrame, config: RollupConfig, interval: int) -> DataFra
     return level
 
 
-def extend_pyramid(levels: DataFrame, points: DataFrame, config: RollupConfig) -> DataFrame:
+def extend_pyramid(levels: DataFrame, points: DataFrame, config: RollupConfig, kept: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """The rows to add to ``levels`` when ``points`` (all that there are, or all since the lowest level's last closed bucket) has grown.
 
     Each level goes on from its last closed bucket, so nothing before that is read or written again.
+    ``kept`` may store what all levels are made from, the lowest one and the last times, so that the points are cut once only.
     """
-    last = last_times(points)
+    last = kept(last_times(points))
     ends = levels.groupBy("metric", "interval").agg((F.max("t") + F.max("interval")).alias("start"))
     end_of = lambda w: ends.where(F.col("interval") == w).select("metric", "start")
     low = config.interval_min
     tail = points.join(end_of(low), "metric", "left").where("start is null or t >= start").drop("start")
-    new = lowest_level(tail, low, end_of(low)).join(end_of(low), "metric", "left").where("start is null or t >= start").drop("start")
+    new = kept(lowest_level(tail, low, end_of(low)).join(end_of(low), "metric", "left").where("start is null or t >= start").drop("start"))
     out, child = new, new
     for below, width in zip(config.levels, config.levels[1:], strict=False):
         # the child's rows, old and new, since this level's last closed bucket

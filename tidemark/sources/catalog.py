@@ -146,7 +146,7 @@ class Catalog:
         wrong = size.where("n <> d or low is null or low <= coalesce(last, 0)").first()
         if wrong is not None:
             raise OutOfOrder(f"times of {wrong['metric']} must rise and be after {wrong['last'] or 0}")
-        rows = materialize(extend_pyramid(levels, tail.unionByName(new), config), "levels", ("interval",))
+        rows = materialize(extend_pyramid(levels, tail.unionByName(new), config, lambda rows: materialize(rows, "base")), "levels", ("interval",))
         for w in config.levels:
             part = rows.where(F.col("interval") == w).select("metric", "t", *VALUES)
             if not part.isEmpty():
