@@ -4,7 +4,10 @@ import pytest
 
 from tidemark.plans import queries_catalog
 
-CASES = [(queries_catalog, "catalog_aggregate")]
+CASES = [
+    (queries_catalog, "catalog_aggregate"),
+    (queries_catalog, "catalog_many"),
+]
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +30,26 @@ def test_same_as_sql_on_repeated_events(spark, repeated, module, name):
     got, want = module.queries()[name](spark, repeated).toPandas(), con.execute(module.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert comparable(got) == comparable(want)
+
+
+def test_aggregate_to_a_repeated_last_point(spark):
+    """No point of the last time counts, and the least value of a time takes the stretch before it."""
+    from tidemark.model import RAW
+    from tidemark.operators.aggregate import aggregate
+
+    rows = spark.createDataFrame([("m", t, v) for t, v in ((10, 1.0), (20, 3.0), (20, 2.0), (30, 5.0), (30, 5.0))], RAW)
+    assert [tuple(r) for r in aggregate(rows, 5, 40).collect()] == [("m", 1.0, 5.0, 6.0, 3, 70.0, 20)]
+
+
+def test_repeated_times_only_where_asked_for(spark, tmp_path):
+    from tidemark.errors import OutOfOrder
+    from tidemark.model import RAW
+    from tidemark.sources.catalog import Catalog
+
+    cat = Catalog.from_config(spark, {"type": "file", "path": f"file://{tmp_path}/db", "metrics": {"m": {"interval_min": 10, "interval_max": 100, "interval_factor": 10}}})
+    rows = lambda *ts: spark.createDataFrame([("m", t, 1.0) for t in ts], RAW)
+    cat.insert(rows(5, 5, 23), repeated=True)
+    for bad, repeated in ((rows(30, 30), False), (rows(23, 30), True), (rows(30, None), True)):
+        with pytest.raises(OutOfOrder):
+            cat.insert(bad, repeated)
+    assert cat["m"].count() == 3 and sorted((r.t, r.c, r.a) for r in cat["m"].levels().collect()) == [(0, 2, 5), (10, 0, 10)]
