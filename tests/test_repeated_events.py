@@ -7,6 +7,7 @@ from tidemark.plans import queries_catalog
 CASES = [
     (queries_catalog, "catalog_aggregate"),
     (queries_catalog, "catalog_many"),
+    (queries_catalog, "catalog_repair"),
 ]
 
 

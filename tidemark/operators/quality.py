@@ -117,18 +117,20 @@ def corrupt_metrics(points: DataFrame, levels: DataFrame, config: RollupConfig,
 
 @dataclass(frozen=True)
 class RepairRules:
-    """What to drop: values beyond the limits, and points in any of the closed intervals; whether to take absolute values."""
+    """What to drop: values beyond the limits, and points in any of the closed intervals; whether to take absolute values, and to keep points of a time that comes repeatedly."""
 
     drop_above: float | None = None
     drop_below: float | None = None
     intervals: list[tuple[int, int]] = field(default_factory=list)
     absolute: bool = False
+    repeated: bool = False
 
 
-def monotonic(rows: DataFrame) -> DataFrame:
-    """Drops every row whose time isn't after all times stored before it."""
+def monotonic(rows: DataFrame, repeated: bool = False) -> DataFrame:
+    """Drops every row whose time isn't after all times stored before it (``repeated``: nor the greatest of them)."""
     kept = with_running_max(rows.select("metric", "pos", "t", "v"), "pos", "t", CHUNK)
-    return kept.where((F.col("t") > F.coalesce("before", F.lit(0)))).drop("before")
+    after = F.col("t") >= F.coalesce("before", F.lit(1)) if repeated else F.col("t") > F.coalesce("before", F.lit(0))
+    return kept.where(after).drop("before")
 
 
 def repair(rows: DataFrame, rules: RepairRules) -> DataFrame:
@@ -141,7 +143,7 @@ def repair(rows: DataFrame, rules: RepairRules) -> DataFrame:
         ok = ok & (v >= rules.drop_below)
     for a, b in rules.intervals:
         ok = ok & ~t.between(a, b)
-    kept = monotonic(rows.where(ok))
+    kept = monotonic(rows.where(ok), rules.repeated)
     return kept.withColumn("v", F.abs("v")) if rules.absolute else kept
 
 

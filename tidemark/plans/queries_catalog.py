@@ -154,8 +154,8 @@ def catalog_repair(spark: SparkSession, sf: str) -> DataFrame:
     """A stored metric is repaired: its points, and those of the backup."""
     cat = Catalog.from_config(spark, _config(shared_path(spark, "repair"), m=CONFIG.to_dict()))
     metric = cat["m"]
-    metric.insert(points(spark, sf).where("metric = 'click'"))
-    backup = metric.repair(RepairRules(drop_above=100.0, intervals=[(SPLIT, SPLIT + 2 * DAY)]))
+    metric.insert(points(spark, sf).where("metric = 'click'"), repeated=True)  # as in SQL, each event is a point
+    backup = metric.repair(RepairRules(drop_above=100.0, intervals=[(SPLIT, SPLIT + 2 * DAY)], repeated=True))
     return metric.points().unionByName(cat[backup].points())
 
 
