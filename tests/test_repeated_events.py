@@ -2,12 +2,13 @@
 
 import pytest
 
-from tidemark.plans import queries_catalog
+from tidemark.plans import queries_catalog, queries_reference
 
 CASES = [
     (queries_catalog, "catalog_aggregate"),
     (queries_catalog, "catalog_many"),
     (queries_catalog, "catalog_repair"),
+    (queries_reference, "stream_rollup"),
 ]
 
 
@@ -54,3 +55,17 @@ def test_repeated_times_only_where_asked_for(spark, tmp_path):
         with pytest.raises(OutOfOrder):
             cat.insert(bad, repeated)
     assert cat["m"].count() == 3 and sorted((r.t, r.c, r.a) for r in cat["m"].levels().collect()) == [(0, 2, 5), (10, 0, 10)]
+
+
+def test_stream_takes_a_repeated_time_in_one_batch_only(spark, tmp_path):
+    from tidemark.config import RollupConfig
+    from tidemark.model import RAW
+    from tidemark.streaming.rollup import late_points, level_rows, stream_levels
+
+    for part in ([5, 5, 23], [23, 31, 31, 45]):
+        spark.createDataFrame([("m", t, 1.0) for t in part], RAW).write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema(RAW).parquet(f"{tmp_path}/in")
+        stream_levels(s, RollupConfig(10, 100, 10), "mark", repeated=True).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.t, r.c) for r in level_rows(out).collect()) == [(0, 2), (10, 0), (20, 1), (30, 2)]
+    assert [r.t for r in late_points(out).collect()] == [23]

@@ -141,7 +141,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(F.col("event_type").alias("metric"), _nanos("ts").alias("t"), F.col("value").alias("v"))
     at = shared_path(spark, "stream")
-    query = stream_levels(rows, CONFIG).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
+    query = stream_levels(rows, CONFIG, repeated=True).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
     query.awaitTermination()
     return shaped(spark.read.parquet(f"{at}/rows"))
 

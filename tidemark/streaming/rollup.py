@@ -3,7 +3,8 @@
 State per metric: the last point's time and the open bucket of each level. Points have to arrive in the order of
 time within a metric (within a micro-batch they are sorted), so there is no lateness to wait for and no watermark. What is to be done with
 a late point is said by ``late``: "raise" fails the batch, "drop" passes over it, "mark" emits it beside the levels,
-so that a sink can put it aside (``late_points``).
+so that a sink can put it aside (``late_points``). A time that comes again is late, too; if ``repeated``, only in a
+later micro-batch, so that a point delivered twice isn't counted twice.
 
 A micro-batch is taken in whole columns: the stretches between points are cut at the bucket ends and added up
 level by level. A metric's part of one micro-batch is held by one task, so the trigger's size bounds its memory.
@@ -65,17 +66,22 @@ def advance(widths: list[int], previous: int, held: list, t: np.ndarray, v: np.n
     return held, closed
 
 
-def stream_levels(points: DataFrame, config: RollupConfig, late: str = "raise") -> DataFrame:
-    """Level rows from a stream of points (metric, t, v), in append mode. Recovery is by the checkpointed state."""
+def stream_levels(points: DataFrame, config: RollupConfig, late: str = "raise", repeated: bool = False) -> DataFrame:
+    """Level rows from a stream of points (metric, t, v), in append mode. Recovery is by the checkpointed state.
+
+    ``repeated``: all points of a time that comes several times in a micro-batch count, the one of the least value with the stretch before them.
+    """
     if late not in ("raise", "drop", "mark"):
         raise ValueError(f"late points are to be raised, dropped or marked, not {late!r}")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         previous, held = (state.get[0], pickle.loads(state.get[1])) if state.exists else (0, [])
-        pdf = pd.concat(list(frames)).sort_values("t", kind="stable")
+        pdf = pd.concat([x[["t", "v"]] for x in frames])
+        pdf = pdf.sort_values(["t", "v"]) if repeated else pdf.sort_values("t", kind="stable")
         t, v = pdf["t"].to_numpy(np.int64), pdf["v"].to_numpy(float)
         good = t > max(previous, 0)
-        good[1:] &= t[1:] != t[:-1]
+        if not repeated:
+            good[1:] &= t[1:] != t[:-1]
         if not good.all():
             if late == "raise":
                 raise OutOfOrder(f"time {t[~good][0]} of {key[0]} is not after {previous}")
