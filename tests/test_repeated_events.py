@@ -9,6 +9,7 @@ CASES = [
     (queries_catalog, "catalog_many"),
     (queries_catalog, "catalog_repair"),
     (queries_reference, "stream_rollup"),
+    (queries_catalog, "catalog_counts"),
 ]
 
 
