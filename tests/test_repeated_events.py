@@ -10,6 +10,7 @@ CASES = [
     (queries_catalog, "catalog_repair"),
     (queries_reference, "stream_rollup"),
     (queries_catalog, "catalog_counts"),
+    (queries_catalog, "catalog_meta"),
 ]
 
 
