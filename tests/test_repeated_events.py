@@ -11,6 +11,7 @@ CASES = [
     (queries_reference, "stream_rollup"),
     (queries_catalog, "catalog_counts"),
     (queries_catalog, "catalog_meta"),
+    (queries_catalog, "catalog_retrieve"),
 ]
 
 
