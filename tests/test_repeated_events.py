@@ -12,6 +12,7 @@ CASES = [
     (queries_catalog, "catalog_counts"),
     (queries_catalog, "catalog_meta"),
     (queries_catalog, "catalog_retrieve"),
+    (queries_catalog, "catalog_flex"),
 ]
 
 
