@@ -13,6 +13,7 @@ CASES = [
     (queries_catalog, "catalog_meta"),
     (queries_catalog, "catalog_retrieve"),
     (queries_catalog, "catalog_flex"),
+    (queries_catalog, "catalog_names"),
 ]
 
 
