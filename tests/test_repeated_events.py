@@ -14,6 +14,7 @@ CASES = [
     (queries_catalog, "catalog_retrieve"),
     (queries_catalog, "catalog_flex"),
     (queries_catalog, "catalog_names"),
+    (queries_catalog, "catalog_rows"),
 ]
 
 
