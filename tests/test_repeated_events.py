@@ -40,6 +40,20 @@ def test_same_as_sql_on_repeated_events(spark, repeated, module, name):
     assert comparable(got) == comparable(want)
 
 
+GONE = [
+    ("catalog_many", "/levels"),
+]
+
+
+@pytest.mark.parametrize(("name", "part"), GONE, ids=[n for n, _ in GONE])
+def test_catalog_deleted_since_is_made_again(same_as_sql, spark, sf, name, part):
+    """What has gone from the shared folder since the catalog was made isn't read as empty."""
+    import shutil
+
+    shutil.rmtree(queries_catalog._catalog(spark, sf).path.removeprefix("file://") + part)
+    same_as_sql(queries_catalog, name)
+
+
 def test_aggregate_to_a_repeated_last_point(spark):
     """No point of the last time counts, and the least value of a time takes the stretch before it."""
     from tidemark.model import RAW

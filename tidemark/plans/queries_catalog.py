@@ -15,7 +15,8 @@ from tidemark.plans.queries_reference import CONFIG, DAY, HOUR, NB, NE, SPLIT, B
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.shared import shared_path
 
-_stores: dict[tuple[str, str], str] = {}
+#: Path of each catalog made, and the files and bytes that it has.
+_stores: dict[tuple[str, str], tuple[str, tuple[int, int]]] = {}
 #: The events' catalog: every event type is a metric below the prefix ``ev``.
 ENTRY = {"prefix": True, **CONFIG.to_dict()}
 
@@ -24,17 +25,27 @@ def _config(path: str, **metrics: dict) -> dict:
     return {"type": "file", "path": path, "metrics": metrics}
 
 
+def _held(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Files below a path and their bytes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return 0, 0
+    found = fs.getContentSummary(at)
+    return found.getFileCount(), found.getLength()
+
+
 def _catalog(spark: SparkSession, sf: str) -> Catalog:
-    """All events in a catalog, inserted in two parts, all metrics at once; made once in an application."""
+    """All events in a catalog, inserted in two parts, all metrics at once; made once in an application, and again if any of it has been deleted since: what is missing would read as empty."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _stores:
+    if key not in _stores or _held(spark, _stores[key][0]) != _stores[key][1]:
         path = shared_path(spark, "events")
         catalog = Catalog.from_config(spark, _config(path, ev=ENTRY))
         rows = points(spark, sf).withColumn("metric", F.concat(F.lit("ev."), "metric"))
         catalog.insert(rows.where(F.col("t") < SPLIT), repeated=True)  # as in SQL, each event is a point
         catalog.insert(rows.where(F.col("t") >= SPLIT), repeated=True)
-        _stores[key] = path
-    return Catalog.from_config(spark, _config(_stores[key], ev={**ENTRY, "mode": "R"}))
+        _stores[key] = path, _held(spark, path)
+    return Catalog.from_config(spark, _config(_stores[key][0], ev={**ENTRY, "mode": "R"}))
 
 
 def _small(spark: SparkSession, name: str, times: list[int]) -> DataFrame:
