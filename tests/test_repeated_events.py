@@ -43,6 +43,7 @@ def test_same_as_sql_on_repeated_events(spark, repeated, module, name):
 GONE = [
     ("catalog_many", "/levels"),
     ("catalog_counts", "/raw"),
+    ("catalog_meta", ""),
 ]
 
 
