@@ -44,6 +44,7 @@ GONE = [
     ("catalog_many", "/levels"),
     ("catalog_counts", "/raw"),
     ("catalog_meta", ""),
+    ("catalog_retrieve", "/raw/metric=ev.view"),
 ]
 
 
