@@ -45,6 +45,7 @@ GONE = [
     ("catalog_counts", "/raw"),
     ("catalog_meta", ""),
     ("catalog_retrieve", "/raw/metric=ev.view"),
+    ("catalog_flex", "/levels"),
 ]
 
 
