@@ -46,6 +46,7 @@ GONE = [
     ("catalog_meta", ""),
     ("catalog_retrieve", "/raw/metric=ev.view"),
     ("catalog_flex", "/levels"),
+    ("catalog_names", "/meta"),
 ]
 
 
