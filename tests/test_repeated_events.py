@@ -47,6 +47,7 @@ GONE = [
     ("catalog_retrieve", "/raw/metric=ev.view"),
     ("catalog_flex", "/levels"),
     ("catalog_names", "/meta"),
+    ("catalog_rows", "/levels/interval=3600000000000"),
 ]
 
 
